@@ -1,9 +1,12 @@
 """Registry of the training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from loomgraph.llm import exact_dedup
+from loomgraph.llm import exact_dedup, langid, packing, url_filter
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
