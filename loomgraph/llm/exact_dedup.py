@@ -57,7 +57,7 @@ def stream_state(spark: SparkSession, path: str, digest=sha256_digest, max_bytes
     """
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     where = where or shared_dir(spark)
-    keys = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    keys = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
