@@ -148,6 +148,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     return h, starts, ends, rows
 
 
+#: Cells of 8 bytes in one slice of a fixed-size array.
+SLICE = 1 << 14
+
+
+def slice_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A fixed-size int64 array as (slice, data) rows, for fold_slices."""
+    parts = [total[i : i + SLICE].tobytes() for i in range(0, len(total), SLICE)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "data"])
+
+
+def fold_slices(rows: DataFrame, op: np.ufunc, size: int) -> np.ndarray:
+    """Combine the tasks' fixed-size arrays, slice by slice, and fetch the one result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                now = np.frombuffer(data, dtype=np.int64)
+                total[k] = op(total[k], now) if k in total else now
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "data"])
+
+    found = rows.repartition("slice").mapInArrow(run, "slice int, data binary").collect()
+    if not found:
+        return np.zeros(size, dtype=np.int64)
+    return np.concatenate([np.frombuffer(r["data"], dtype=np.int64) for r in sorted(found, key=lambda r: r["slice"])])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id reachable over undirected edges, for each end of one.
 

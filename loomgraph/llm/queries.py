@@ -1,8 +1,9 @@
 """Registry of the training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from loomgraph.llm import exact_dedup, langid, packing, url_filter
+from loomgraph.llm import exact_dedup, langid, line_dedup, packing, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
