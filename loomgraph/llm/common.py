@@ -148,6 +148,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     return h, starts, ends, rows
 
 
+#: Fixed size of the set of key cells that near_keys broadcasts.
+CELLS = 1 << 18
+
+
+def near_keys(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of df whose key may be among keys.name: at most CELLS rows are broadcast, whatever keys' size."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).alias("_cell")
+    cells = keys.select(cell(name)).distinct()
+    return df.withColumn("_cell", cell(key)).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+
+
 #: Cells of 8 bytes in one slice of a fixed-size array.
 SLICE = 1 << 14
 

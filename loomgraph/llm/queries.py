@@ -1,6 +1,6 @@
 """Registry of the training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from loomgraph.llm import exact_dedup, langid, line_dedup, packing, url_filter
+from loomgraph.llm import exact_dedup, langid, line_dedup, near_dedup, packing, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
