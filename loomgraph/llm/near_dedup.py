@@ -57,8 +57,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for k, c in enumerate((_C[40], _C[41])):
         keys[full, k] = np.add.reduceat(mix64(h + place * c), first[full])
     s = np.zeros(len(h), dtype=np.uint64)
-    for k in range(WORDS):
-        s[: len(h) - k] += h[k:] * _C[k] if k else h * _C[0]
+    for k in range(min(WORDS, len(h))):
+        s[: len(h) - k] += h[k:] * _C[k]
     # a row of w words has max(1, w - 4) shingles; a short row's takes only its own words
     count = np.where(words >= WORDS, words - WORDS + 1, (words > 0).astype(np.int64))
     short = np.flatnonzero((words > 0) & (words < WORDS))
