@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 
 
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is absent (tests, one machine) a local folder is used.
     """
+    if spark.conf.get(BATCH) == "10000":  # Spark's default: too many whole texts at once
+        spark.conf.set(BATCH, "2000")
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = _local_base()
@@ -32,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL: list[str] = []
 
 
@@ -42,10 +45,15 @@ def _local_base() -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there."""
+    """Write df as a table in the shared folder and read it again: lineage ends there.
+
+    Shuffles that led to it are of no more use; a collection in the driver's
+    JVM lets Spark delete their files now and not when it happens to collect.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,10 +62,14 @@ def with_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
-def drop_column(docs: DataFrame, *names: str) -> DataFrame:
-    """Drop working names in any spelling, so that extra input columns can't clash."""
-    low = {n.lower() for n in names}
-    return docs.drop(*[c for c in docs.columns if c.lower() in low])
+def shelve(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rename the columns that an operator doesn't use, so that its working names can't clash with them.
+
+    Returns the renamed docs and what puts names and order back.
+    """
+    names = {c: c if c in used else f"_kept{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inner, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +109,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.where(_SPACE, np.uint64(0), _BYTE)
 _POW: dict[str, np.ndarray] = {}
 
 
@@ -117,35 +130,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"][:n], _POW["i"][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, row) of each word of the rows cut by offsets."""
     n = len(data)
+    none = np.zeros(0, np.int64)
     if not n:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z
-    sep = space[data]
-    before = np.empty(n, dtype=bool)
-    before[0] = True
-    before[1:] = sep[:-1]
-    inner = offsets[:-1]
-    before[inner[inner < n]] = True
-    starts = np.flatnonzero(before & ~sep)
-    after = np.empty(n, dtype=bool)
-    after[-1] = True
-    after[:-1] = sep[1:]
-    ends_at = offsets[1:] - 1
-    after[ends_at[ends_at >= 0]] = True
-    ends = np.flatnonzero(after & ~sep) + 1
+        return np.zeros(0, np.uint64), none, none, none
+    letter = ~_SPACE[data]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    cut = offsets[(offsets > 0) & (offsets < n)]
+    first[cut] = letter[cut]
+    starts = np.flatnonzero(first)
     if not len(starts):
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z
+        return np.zeros(0, np.uint64), none, none, none
+    last = letter
+    last[:-1] &= ~letter[1:]
+    last[cut - 1] = ~_SPACE[data[cut - 1]]
+    ends = np.flatnonzero(last) + 1
     p, inv = powers(n)
-    vals = _BYTE[data] * p
-    vals[sep] = 0
-    h = np.add.reduceat(vals, starts) * inv[starts]
+    h = np.add.reduceat(_LETTER[data] * p, starts) * inv[starts]
     h = mix64(h ^ (ends - starts).astype(np.uint64))
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return h, starts, ends, rows
+    per_row = np.diff(np.searchsorted(starts, offsets))
+    return h, starts, ends, np.repeat(np.arange(len(per_row)), per_row)
 
 
 #: Fixed size of the set of key cells that near_keys broadcasts.

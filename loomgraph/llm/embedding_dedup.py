@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, drop_column, materialize, with_uid
+from loomgraph.llm.common import components, materialize, with_uid
 
 THRESHOLD = 0.98
 SAMPLE = 4096
@@ -233,7 +233,7 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
-    v = with_uid(drop_column(vectors, "_uid").select("vec_id", "embedding", "label"))
+    v = with_uid(vectors.select("vec_id", "embedding", "label"))
     vec = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.forall("embedding", lambda c: c.isNotNull() & (F.abs(c.cast("double")) < F.lit(math.inf))) & F.exists("embedding", lambda c: c != 0)
     valid = F.coalesce(F.col("label").isNotNull() & fine, F.lit(False))
