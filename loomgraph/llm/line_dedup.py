@@ -27,15 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import chunks, drop_column, fold_slices, materialize, mix64, slice_rows, text_bytes, with_uid, word_hashes
+from loomgraph.llm.common import chunks, fold_slices, materialize, mix64, shelve, slice_rows, text_bytes, with_uid, word_hashes
 
 #: Jaccard threshold as a fraction: 4 / 5.
 THRESHOLD = (4, 5)
 SKETCH_BITS = 20
 #: Bits of the fixed bitmap of classes that have candidates.
 WANTED_BITS = 23
-BUFFER = 1 << 19
-WORD_GAP = r"[\t\n\x0B\f\r ]+"
+BUFFER = 1 << 18
 
 
 def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,24 +74,59 @@ def word_sketch(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        cells, waiting = [], 0
         for b in batches:
             data, offsets = text_bytes(b.column(0))
             for i, j in chunks(offsets):
                 h, *_ = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                total += np.bincount((h & mask).astype(np.int64), minlength=len(total))
+                cells.append((h & mask).astype(np.int64))
+                waiting += len(h)
+                if waiting > 1 << 20:
+                    total += np.bincount(np.concatenate(cells), minlength=len(total))
+                    cells, waiting = [], 0
+        if cells:
+            total += np.bincount(np.concatenate(cells), minlength=len(total))
         yield from slice_rows(total)
 
     return fold_slices(docs.select("text").mapInArrow(run, "slice int, data binary"), np.add, 1 << SKETCH_BITS)
 
 
-def _entries(docs: DataFrame, sketch: np.ndarray, threshold: tuple[int, int]) -> DataFrame:
-    """Index entries (word, class, bitmap, size and place) and, with z < 0, lines (class, row)."""
+def bitmaps(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit maps of each set's words."""
+    one = np.uint64(1)
+    return np.bitwise_or.reduceat(one << (h >> np.uint64(58)), first), np.bitwise_or.reduceat(one << ((h >> np.uint64(52)) & np.uint64(63)), first)
+
+
+def rarity_order(owner: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order by owner, then rarity, then hash: the same order of words in every set."""
+    top = (1 << 20) - 1
+    count = np.minimum(count, top)
+    if not len(owner) or owner[-1] > top:
+        return np.lexsort((h, count, owner))
+    key = (owner.astype(np.uint64) << np.uint64(44)) | (count.astype(np.uint64) << np.uint64(24)) | (h >> np.uint64(40))
+    order = np.argsort(key)
+    key = key[order]
+    return np.lexsort((h, count, owner)) if (key[1:] == key[:-1]).any() else order
+
+
+def _record(*cols: np.ndarray) -> pa.RecordBatch:
+    whole = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64, copy=False) for c in map(np.ascontiguousarray, cols)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in whole], names=list("kxyvzw"))
+
+
+def _entries(docs: DataFrame, sketch: np.ndarray, threshold: tuple[int, int], words: np.ndarray | None = None) -> DataFrame:
+    """Index entries (word, class, bitmaps, size and place, order) and, with z < 0, lines (class, row).
+
+    words: bitmap of words; only entries under one of them are made, and no lines.
+    """
     num, den = threshold
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 40) - 1))  # of fixed size
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((np.minimum(sketch, (1 << 40) - 1), words))  # of fixed size
     mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
+        sketch, only = shared.value
+        only = None if only is None else _unpacked(only)
         for b in batches:
             uid, by = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = text_bytes(b.column(2))
@@ -106,95 +140,174 @@ def _entries(docs: DataFrame, sketch: np.ndarray, threshold: tuple[int, int]) ->
                 first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
                 n = np.diff(np.append(first, len(h)))
                 lo, hi = set_keys(h, first)
-                sig = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), first)
+                sig, sig2 = bitmaps(h, first)
                 lines = line[first]
-                out = [(lo, uid[i:j][row[lines]], hi, -1 - number[lines], by[i:j][row[lines]])]
-                _, one = np.unique(lo, return_index=True)
+                order = by[i:j][row[lines]]
+                if only is None:
+                    yield _record(lo, uid[i:j][row[lines]], hi, np.zeros(len(lo), np.int64), -1 - number[lines], order)
+                one = np.lexsort((order, lo))  # of equal sets the earliest
+                one = one[np.append(True, lo[one][1:] != lo[one][:-1])]
                 chosen = np.zeros(len(first), dtype=bool)
                 chosen[one] = True
                 pick = np.repeat(chosen, n)
                 h, owner = h[pick], np.repeat(np.arange(len(first)), n)[pick]
-                # by rarity within the line; equal counts stay in the order of the hash
-                order = np.argsort((owner << 40) | sketch[(h & mask).astype(np.int64)], kind="stable")
-                h, owner = h[order], owner[order]
+                by_count = rarity_order(owner, sketch[(h & mask).astype(np.int64)], h)
+                h, owner = h[by_count], owner[by_count]
                 start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                 size = n[owner]
                 place = np.arange(len(h)) - np.repeat(start, n[owner[start]])
                 pre = place < size - (-(-num * size // den)) + 1
+                if only is not None:
+                    pre &= only[(h & np.uint64(len(only) - 1)).astype(np.int64)]
                 o = owner[pre]
-                out.append((h[pre], lo[o], sig[o], (size[pre] << 24) | place[pre], np.zeros(pre.sum(), np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.asarray(x[k]).astype(np.int64, copy=False) if np.asarray(x[k]).dtype != np.uint64 else x[k].view(np.int64) for x in out])) for k in range(5)],
-                    names=["k", "x", "y", "z", "w"],
-                )
+                if len(o):
+                    yield _record(h[pre], lo[o], sig[o], sig2[o], (size[pre] << 24) | place[pre], order[o])
 
-    return docs.select("_uid", "_by", "text").mapInArrow(run, "k long, x long, y long, z long, w long")
+    return docs.select("_uid", "_by", "text").mapInArrow(run, ENTRY)
 
 
-def meet(threshold: tuple[int, int]):
-    """Over rows sorted by word: candidate pairs of classes (kind 0) and the lines (kind 1)."""
-    num, den = threshold
+class Meeting:
+    """Finds candidate pairs among index entries that are sorted by word.
 
-    def pairs(k, x, y, z):
-        fresh = np.ones(len(k), dtype=bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
-        k, x, y, z = k[fresh], x[fresh], y[fresh].view(np.uint64), z[fresh]
-        n, place = z >> 24, z & 0xFFFFFF
-        alive = np.arange(len(k))
-        d = 0
+    Up to `all_up_to` earlier candidates of a class under a word are all told.
+    Where there are more, the `best` likeliest by their bitmaps are told and
+    the class is marked; among more than `crowd` classes under one word each is
+    compared with the `leaders` first ones alone and marked. Marked classes
+    that no told pair settles are met again without these limits (`only`:
+    bitmap of classes, one of which each pair must hold).
+    """
+
+    def __init__(self, threshold: tuple[int, int], all_up_to: int = 8, best: int = 2, crowd: int = 4096, leaders: int = 64, only: np.ndarray | None = None):
+        self.num, self.den = threshold
+        self.all_up_to, self.best, self.crowd, self.leaders, self.only = all_up_to, best, crowd, leaders, only
+
+    def _fits(self, c, i, o):
+        """(may i and o reach the threshold, how many words they differ by at least)."""
+        n, place, y, v = c["n"], c["place"], c["y"], c["v"]
+        ni, no, pi, po = n[i], n[o], place[i], place[o]
+        both = ni + no
+        need = -(-self.num * both // (self.num + self.den))
+        small, ps = np.minimum(ni, no), np.where(ni <= no, pi, po)
+        fits = (self.num * np.maximum(ni, no) <= self.den * small) & (ps <= small - (-(-2 * self.num * small // (self.num + self.den))))
+        fits &= np.minimum(ni - pi, no - po) >= need  # holds at the first word that a similar pair shares
+        only_i = np.maximum(_bits(y[i] & ~y[o]), _bits(v[i] & ~v[o]))
+        only_o = np.maximum(_bits(y[o] & ~y[i]), _bits(v[o] & ~v[i]))
+        fits &= (only_i <= ni - need) & (only_o <= no - need) & (c["x"][i] != c["x"][o])
+        if self.only is not None:
+            fits &= c["only"][i] | c["only"][o]
+        return fits, only_i + only_o
+
+    def _told(self, c, late, early, apart):
+        """Limit the candidates of each later class: (late, early, marked classes)."""
+        if self.only is not None or not len(late):
+            return late, early, late[:0]
+        count = np.bincount(late)
+        many = count[late] > self.all_up_to
+        if not many.any():
+            return late, early, late[:0]
+        order = np.lexsort((apart, late))
+        late, early, many = late[order], early[order], many[order]
+        start = np.cumsum(np.append(0, count[:-1]))
+        rank = np.arange(len(late)) - start[late]
+        keep = ~many | (rank < self.best)
+        return late[keep], early[keep], np.unique(late[many])
+
+    def _small(self, c, alive, run_of):
+        """Runs of few classes, all at once: rows alive."""
         found = []
+        d = 0
         while len(alive):
             d += 1
-            alive = alive[alive + d < len(k)]
+            alive = alive[alive + d < len(run_of)]
+            alive = alive[run_of[alive + d] == run_of[alive]]
             o = alive + d
-            ok = (k[o] == k[alive]) & (num * n[o] <= den * n[alive])
-            alive, o = alive[ok], o[ok]
-            need = -(-num * (n[alive] + n[o]) // (num + den))
-            fits = np.minimum(place[alive], place[o]) + np.minimum(n[alive] - place[alive], n[o] - place[o]) >= need
-            fits &= (_bits(y[alive] & ~y[o]) <= n[alive] - need) & (_bits(y[o] & ~y[alive]) <= n[o] - need)
-            fits &= x[alive] != x[o]
+            fits, apart = self._fits(c, alive, o)
             if fits.any():
-                a, b = x[alive[fits]], x[o[fits]]
-                found.append((np.minimum(a, b), np.maximum(a, b)))
-        if not found:
-            return None
-        both = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], 1), axis=0)
-        zero = np.zeros(len(both), np.int64)
-        return both[:, 0], both[:, 1], zero, zero, zero, np.zeros(len(both), np.int8)
-
-    def batch(cols):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "uid", "line", "by", "kind"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                found.append((o[fits], alive[fits], apart[fits]))
+        return [np.concatenate([f[k] for f in found]) for k in range(3)] if found else [np.zeros(0, np.int64)] * 3
+
+    def pairs(self, rows: np.ndarray):
+        k = rows[0]  # sorted
+        shared = np.zeros(len(k), dtype=bool)
+        shared[1:] = k[1:] == k[:-1]
+        shared[:-1] |= shared[1:]
+        k, x, y, v, z, w = rows[:, shared]
+        order = np.lexsort((w, x, k))  # of a class's entries under a word the earliest
+        k, x, w = k[order], x[order], w[order]
+        fresh = np.ones(len(k), dtype=bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+        order, k, x, w = order[fresh], k[fresh], x[fresh], w[fresh]
+        again = np.lexsort((x, w, k))  # within a word by first place
+        k, x, order = k[again], x[again], order[again]
+        c = {"x": x, "y": y[order].view(np.uint64), "v": v[order].view(np.uint64), "n": z[order] >> 24, "place": z[order] & 0xFFFFFF}
+        if self.only is not None:
+            c["only"] = self.only[x & (len(self.only) - 1)]
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        end = np.append(start[1:], len(k))
+        run_of = np.repeat(np.arange(len(start)), end - start)
+        size = end - start
+        few = (size > 1) & (size <= 64)
+        out = [self._told(c, *self._small(c, np.flatnonzero(few[run_of]), run_of))]
+        for a, b in zip(start[size > 64], end[size > 64], strict=True):
+            crowd = b - a > self.crowd and self.only is None
+            for s in range(a, b, 64):
+                late = np.arange(s, min(b, s + 64))
+                early = np.arange(a, min(a + self.leaders, late[-1]) if crowd else late[-1])
+                i, o = (g.ravel() for g in np.meshgrid(late, early, indexing="ij"))
+                i, o = i[o < i], o[o < i]
+                fits, apart = self._fits(c, i, o)
+                t = self._told(c, i[fits], o[fits], apart[fits])
+                out.append((t[0], t[1], late) if crowd else t)
+        late, early, marked = (np.concatenate([t[k] for t in out]) for k in range(3))
+        pair = np.unique(np.stack([np.minimum(x[late], x[early]), np.maximum(x[late], x[early])], 1), axis=0)
+        return pair, np.unique(x[marked])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of kind 0: a pair (a, b); kind 1: a line with its class (a, b), row, order and number; kind 2: a marked class a."""
         held: list[np.ndarray] = []
         waiting = 0
 
+        def row(a, b, uid, line, by, kind):
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(t)) for t in (a, b, uid, line, by)), pa.array(np.full(len(a), kind, np.int8))], names=["a", "b", "uid", "line", "by", "kind"])
+
         def cut(last: bool):
             nonlocal held, waiting
-            rows = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
+            rows = np.concatenate(held, axis=1) if held else np.zeros((6, 0), np.int64)
             end = rows.shape[1] if last else int(np.searchsorted(rows[0], rows[0, -1]))
-            held = [rows[:, end:]]
-            waiting = 0
-            return pairs(*rows[:, :end]) if end else None
+            held, waiting = [rows[:, end:]], 0
+            if not end:
+                return
+            pair, marked = self.pairs(rows[:, :end])
+            if len(pair):
+                zero = np.zeros(len(pair), np.int64)
+                yield row(pair[:, 0], pair[:, 1], zero, zero, zero, 0)
+            if len(marked):
+                zero = np.zeros(len(marked), np.int64)
+                yield row(marked, zero, zero, zero, zero, 2)
 
         for b in batches:
-            c = np.stack([b.column(i).to_numpy() for i in range(5)])
-            own = c[3] < 0
+            c = np.stack([b.column(i).to_numpy() for i in range(6)])
+            own = c[4] < 0
             if own.any():
-                k, x, y, z, w = c[:, own]
-                yield batch((k, y, x, (-1 - z), w, np.ones(len(k), np.int8)))
-            held.append(c[:4, ~own])
+                k, x, y, v, z, w = c[:, own]
+                yield row(k, y, x, -1 - z, w, 1)
+            held.append(c[:, ~own])
             waiting += held[-1].shape[1]
-            if waiting >= BUFFER and (got := cut(False)):
-                yield batch(got)
-        if held and (got := cut(True)):
-            yield batch(got)
+            if waiting >= BUFFER:
+                yield from cut(False)
+        yield from cut(True)
+
+
+MET = "a long, b long, uid long, line long, by long, kind byte"
+ENTRY = "k long, x long, y long, v long, z long, w long"
 
-    return run
 
+def met(entries: DataFrame, meeting: Meeting) -> DataFrame:
+    return entries.repartition("k").sortWithinPartitions("k").mapInArrow(meeting, MET)
 
-def _wanted(classes: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size over the first half of the classes' keys."""
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size over the low bits of a column of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << WANTED_BITS, dtype=bool)
@@ -202,17 +315,23 @@ def _wanted(classes: DataFrame) -> np.ndarray:
             bits[b.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] = True
         yield from slice_rows(np.packbits(bits).view(np.int64))
 
-    return fold_slices(classes.select("lo").mapInArrow(run, "slice int, data binary"), np.bitwise_or, (1 << WANTED_BITS) // 64)
+    return fold_slices(keys.mapInArrow(run, "slice int, data binary"), np.bitwise_or, (1 << WANTED_BITS) // 64)
+
 
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits.view(np.uint8)).astype(bool)
 
-def _texts(docs: DataFrame, lo_bits: np.ndarray) -> DataFrame:
-    """Lines that may be of a wanted class: lo, hi, uid, line, text (one of each class a batch)."""
-    shared = docs.sparkSession.sparkContext.broadcast(lo_bits)  # of fixed size
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines of rows uid that may be of a class in wanted (lo, uid): lo, hi, line_text (one of each class a block)."""
+    bitmaps = bitmap_of(wanted.select("lo")), bitmap_of(wanted.select("uid"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value.view(np.uint8)).astype(bool)
+        bits, rows = map(_unpacked, shared.value)
         for b in batches:
-            data, offsets = text_bytes(b.column(0))
+            hit = rows[b.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)]
+            data, offsets = text_bytes(b.column(1).filter(pa.array(hit)))
             for i, j in chunks(offsets):
                 part, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 at, row, _ = line_starts(part, cut)
@@ -228,7 +347,7 @@ def _texts(docs: DataFrame, lo_bits: np.ndarray) -> DataFrame:
                 text = [raw[at[x] : at[x + 1]].decode() for x in line[first[one]]]
                 yield pa.RecordBatch.from_arrays([pa.array(lo[one].view(np.int64)), pa.array(hi[one].view(np.int64)), pa.array(text, pa.string())], names=["lo", "hi", "line_text"])
 
-    return docs.select("text").mapInArrow(run, "lo long, hi long, line_text string")
+    return docs.select("_uid", "text").mapInArrow(run, "lo long, hi long, line_text string")
 
 
 def _order_key(docs: DataFrame):
@@ -236,41 +355,70 @@ def _order_key(docs: DataFrame):
     return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) if whole else F.col("_uid")
 
 
-def line_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, links) of docs with _uid: every line with words; every class with its first line,
-    whether that stays and its number of linked classes; pairs of linked classes with their similarity."""
+def _late(docs: DataFrame, near: DataFrame, firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(lo, hi) of classes that a verified pair of near finds similar to an earlier one."""
     num, den = threshold
-    docs = docs.withColumn("_by", _order_key(docs))
-    entries = _entries(docs, word_sketch(docs), threshold)
-    met = entries.repartition("k").sortWithinPartitions("k", "z", "x").mapInArrow(meet(threshold), "a long, b long, uid long, line long, by long, kind byte")
-    met = materialize(met, "met")
-    lines = met.where("kind = 1").select(F.col("a").alias("lo"), F.col("b").alias("hi"), "by", "uid", "line")
-    near = materialize(met.where("kind = 0").select("a", "b").distinct(), "near")
-    firsts = lines.groupBy("lo", "hi").agg(F.min(F.struct("by", "uid", "line")).alias("first"))
+    near = materialize(near, "near")
     ends = near.select(F.col("a").alias("lo")).union(near.select(F.col("b").alias("lo"))).distinct()
-    texts = _texts(docs, _wanted(ends)).join(ends, "lo", "left_semi").groupBy("lo", "hi").agg(F.min("line_text").alias("t"))
-    words = F.array_distinct(F.array_remove(F.split("t", WORD_GAP), ""))
-    sets = materialize(texts.select("lo", "hi", words.alias("words")).join(firsts, ["lo", "hi"]), "sets")
-    side = lambda p: sets.select(F.col("lo").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("hi", "words", "first")])
+    wanted = materialize(firsts.join(ends, "lo", "left_semi"), "wanted")
+    texts = _texts(docs, wanted.select("lo", "first.uid")).groupBy("lo", "hi").agg(F.min("line_text").alias("t"))
+    sets = materialize(texts.join(wanted, ["lo", "hi"]), "sets")
+    side = lambda p: sets.select(F.col("lo").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("hi", "t", "first")])
     both = near.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    both = both.withColumn("common", common).withColumn("all", F.size("words_a") + F.size("words_b") - F.col("common"))
-    links = both.where(F.col("common") * den >= F.col("all") * num).select("a", "hi_a", "first_a", "b", "hi_b", "first_b", (F.col("common") / F.col("all")).alias("similarity"))
-    links = materialize(links, "links")
-    one = links.select(F.col("a").alias("lo"), F.col("hi_a").alias("hi"), (F.col("first_b") < F.col("first_a")).alias("late"))
-    two = links.select(F.col("b").alias("lo"), F.col("hi_b").alias("hi"), (F.col("first_a") < F.col("first_b")).alias("late"))
-    linked = one.union(two).groupBy("lo", "hi").agg(F.count("*").alias("n_links"), F.max("late").alias("late"))
-    classes = firsts.join(linked, ["lo", "hi"], "left").select("lo", "hi", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), (~F.coalesce("late", F.lit(False))).alias("first_stays"))
-    return lines, materialize(classes, "classes"), links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = np.zeros(batch.num_rows, dtype=bool)
+            for k, (p, q) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                p, q = set(p.encode().split()), set(q.encode().split())  # the words' bytes: ASCII white space only
+                common = len(p & q)
+                same[k] = common * den >= (len(p) + len(q) - common) * num
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(same)) for c in batch.columns[2:]], names=batch.schema.names[2:])
+
+    kept = ["a", "hi_a", "first_a", "b", "hi_b", "first_b"]
+    links = both.select("t_a", "t_b", *kept).mapInArrow(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in kept))
+    later = F.when(F.col("first_a") < F.col("first_b"), F.struct(F.col("b").alias("lo"), F.col("hi_b").alias("hi"))).otherwise(F.struct(F.col("a").alias("lo"), F.col("hi_a").alias("hi")))
+    return links.select(later.alias("c")).select("c.lo", "c.hi").distinct()
+
+
+def _prefix_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(k): the words of the lines of classes (lo, uid), and of few others."""
+    lines = _texts(docs, classes).join(classes, "lo", "left_semi").select("line_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, *_ = word_hashes(*text_bytes(b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["k"])
+
+    return lines.mapInArrow(run, "k long")
+
+
+def line_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, **limits) -> tuple[DataFrame, DataFrame]:
+    """(lines, classes) of docs with _uid: every line with words, and every class with its first line and
+    whether that stays. limits: see Meeting; they change the work and not the result."""
+    docs = docs.withColumn("_by", _order_key(docs))
+    sketch = word_sketch(docs)
+    found = materialize(met(_entries(docs, sketch, threshold), Meeting(threshold, **limits)), "met")
+    lines = found.where("kind = 1").select(F.col("a").alias("lo"), F.col("b").alias("hi"), "by", "uid", "line")
+    firsts = materialize(lines.groupBy("lo", "hi").agg(F.min(F.struct("by", "uid", "line")).alias("first")), "firsts")
+    late = materialize(_late(docs, found.where("kind = 0").select("a", "b").distinct(), firsts, threshold), "late")
+    open_ = found.where("kind = 2").select(F.col("a").alias("lo")).distinct().join(late, "lo", "left_anti")
+    open_ = materialize(firsts.join(open_, "lo", "left_semi").select("lo", "first.uid"), "open")
+    if not open_.isEmpty():
+        rest = Meeting(threshold, only=_unpacked(bitmap_of(open_.select("lo"))))
+        more = met(_entries(docs, sketch, threshold, bitmap_of(_prefix_words(docs, open_))), rest).where("kind = 0").select("a", "b").distinct()
+        late = materialize(late.union(_late(docs, more, firsts, threshold)).distinct(), "late")
+    classes = firsts.join(late.withColumn("late", F.lit(True)), ["lo", "hi"], "left").select("lo", "hi", "first", F.col("late").isNull().alias("first_stays"))
+    return lines, materialize(classes, "classes")
 
 
 def removed_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """_uid, n_removed, n_links and the numbers (from 0) of the lines that go, for rows with words."""
-    lines, classes, _ = line_classes(docs, threshold)
+    """_uid, n_removed and the numbers (from 0) of the lines that go, for rows with words."""
+    lines, classes = line_classes(docs, threshold)
     told = lines.join(classes, ["lo", "hi"])
     goes = ~(F.col("first_stays") & F.col("first").eqNullSafe(F.struct("by", "uid", "line")))
     return told.groupBy(F.col("uid").alias("_uid")).agg(
-        F.count_if(goes).alias("n_removed"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list(F.when(goes, F.col("line").cast("int")))).alias("removed_lines")
+        F.count_if(goes).alias("n_removed"), F.sort_array(F.collect_list(F.when(goes, F.col("line").cast("int")))).alias("removed_lines")
     )
 
 
@@ -279,22 +427,22 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
 
     n_chars, where docs has it, is counted anew.
     """
-    columns = docs.columns
-    docs = with_uid(drop_column(docs, "_uid", "_by"))
+    docs, restore = shelve(docs, "doc_id", "text", "n_chars")
+    docs = with_uid(docs)
     gone = removed_lines(docs.select("_uid", "doc_id", "text"), threshold).where("n_removed > 0").select("_uid", "removed_lines")
     joined = docs.join(gone, "_uid", "left")
+    hit = F.col("removed_lines").isNotNull()
     parts = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed_lines", i))
-    left = F.array_join(parts, "\n")
-    joined = joined.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(left))
-    joined = joined.where(F.col("removed_lines").isNull() | (F.trim("text") != ""))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*[F.col(f"`{c}`") for c in columns])
+    joined = joined.withColumn("text", F.when(hit, F.array_join(parts, "\n")).otherwise(F.col("text")))
+    joined = joined.where(~hit | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return restore(joined)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, n_links (of its lines to other classes of lines), removed_lines."""
+    """One row per document: doc_id, n_lines, n_removed, removed_lines (from 0)."""
     docs = with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = docs.select("_uid", "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
     told = base.join(removed_lines(docs), "_uid", "left")
-    return told.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    return told.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, components, drop_column, fold_slices, materialize, mix64, near_keys, slice_rows, text_bytes, with_uid, word_hashes
-from loomgraph.llm.line_dedup import SKETCH_BITS, _order_key, meet
+from loomgraph.llm.common import chunks, components, fold_slices, materialize, mix64, near_keys, shelve, slice_rows, text_bytes, with_uid, word_hashes
+from loomgraph.llm.line_dedup import ENTRY, SKETCH_BITS, Meeting, _order_key, _record, bitmaps, met, rarity_order
 
 WORDS = 5
 DRAWN = 3
@@ -207,21 +207,21 @@ def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -
                 s, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(j - i), n)
-                order = np.lexsort((s, rarity[(s & mask).astype(np.int64)], owner))
+                order = rarity_order(owner, rarity[(s & mask).astype(np.int64)], s)
                 s = s[order]
-                sig = np.zeros(j - i, dtype=np.uint64)
-                np.bitwise_or.at(sig, owner, np.uint64(1) << (s >> np.uint64(58)))
+                full = n > 0
+                sig = np.zeros((2, j - i), dtype=np.uint64)
+                if full.any():
+                    sig[:, full] = bitmaps(s, bounds[:-1][full])
                 size = n[owner]
                 place = np.arange(len(s)) - bounds[owner]
                 pre = place < size - (-(-num * size // den)) + 1
                 o = owner[pre]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s[pre].view(np.int64)), pa.array(ids[i:j][o]), pa.array(sig[o].view(np.int64)), pa.array((size[pre] << 24) | place[pre]), pa.array(np.zeros(len(o), np.int64))], names=["k", "x", "y", "z", "w"]
-                )
+                yield _record(s[pre], ids[i:j][o], sig[0, o], sig[1, o], (size[pre] << 24) | place[pre], ids[i:j][o])
 
-    rows = texts.select("id", "text").mapInArrow(entries, "k long, x long, y long, z long, w long")
-    met = rows.repartition("k").sortWithinPartitions("k", "z", "x").mapInArrow(meet(threshold), "a long, b long, uid long, line long, by long, kind byte")
-    return met.select("a", "b").distinct()
+    rows = texts.select("id", "text").mapInArrow(entries, ENTRY)
+    # no limits: every pair that passes the filters
+    return met(rows, Meeting(threshold, all_up_to=1 << 62, crowd=1 << 62)).where("kind = 0").select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
@@ -269,10 +269,10 @@ def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds:
 
 def dedup_near(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs with one row of each near-duplicate group."""
-    columns = docs.columns
-    docs = with_uid(drop_column(docs, "_uid", "_by"))
+    docs, restore = shelve(docs, "doc_id", "text")
+    docs = with_uid(docs)
     gone = near_groups(docs, threshold).where("_uid <> keep_uid").select("_uid")
-    return docs.join(gone, "_uid", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return restore(docs.join(gone, "_uid", "left_anti"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
