@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _B = 0x9E3779B97F4A7C15 | 1
 
 
@@ -130,13 +130,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"][:n], _POW["i"][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, row) of each word of the rows cut by offsets."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LETTER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, row) of each word of the rows cut by offsets.
+
+    letters: a value for each byte; 0 for those between words.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if not n:
         return np.zeros(0, np.uint64), none, none, none
-    letter = ~_SPACE[data]
+    letter = (letters != 0)[data]
     first = letter.copy()
     first[1:] &= ~letter[:-1]
     cut = offsets[(offsets > 0) & (offsets < n)]
@@ -146,10 +149,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), none, none, none
     last = letter
     last[:-1] &= ~letter[1:]
-    last[cut - 1] = ~_SPACE[data[cut - 1]]
+    last[cut - 1] = letters[data[cut - 1]] != 0
     ends = np.flatnonzero(last) + 1
     p, inv = powers(n)
-    h = np.add.reduceat(_LETTER[data] * p, starts) * inv[starts]
+    h = np.add.reduceat(letters[data] * p, starts) * inv[starts]
     h = mix64(h ^ (ends - starts).astype(np.uint64))
     per_row = np.diff(np.searchsorted(starts, offsets))
     return h, starts, ends, np.repeat(np.arange(len(per_row)), per_row)

@@ -1,12 +1,13 @@
 """Registry of the training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from loomgraph.llm import embedding_dedup, exact_dedup, langid, line_dedup, near_dedup, packing, suffix_dedup, url_filter
+from loomgraph.llm import embedding_dedup, exact_dedup, langid, line_dedup, near_dedup, packing, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_embedding_near_dedup": embedding_dedup.op2_embedding_near_dedup,
     "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
