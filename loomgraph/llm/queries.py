@@ -1,6 +1,6 @@
 """Registry of the training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from loomgraph.llm import embedding_dedup, exact_dedup, langid, line_dedup, near_dedup, packing, suffix_dedup, toxicity, url_filter
+from loomgraph.llm import embedding_dedup, exact_dedup, langid, line_dedup, near_dedup, packing, sentencepiece_fst, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_sentencepiece": sentencepiece_fst.op6_sentencepiece,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
