@@ -112,7 +112,7 @@ class Model:
         table = np.empty((self.first[-1], size, len(langs)), dtype=np.float32)
         for i, lang in enumerate(langs):
             table[:, :, i] = -np.log2(self._tree(codes[lang], grams[lang][1]))
-        self.table = table.reshape(-1, len(langs))
+        self.table = table.reshape(int(self.first[-1]) * size, len(langs))
 
     def _code(self, symbols: list[np.ndarray]) -> np.ndarray:
         return reduce(lambda a, s: a * self.size + s, symbols, np.zeros_like(symbols[0]) if symbols else np.zeros(1, np.int64))

@@ -41,7 +41,7 @@ from loomgraph.llm.line_dedup import _order_key
 LENGTH = 400
 CROWD = 256
 BLOCK = 16
-PIECE = 1 << 22
+PIECE = 1 << 19
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
