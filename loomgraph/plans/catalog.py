@@ -1,4 +1,492 @@
-"""Registry of the graph engine's queries and their DuckDB equivalents."""
+"""Registry of the graph engine's queries and their DuckDB equivalents.
+
+Every query takes (spark, sf_dir) and runs over whole tables. Where SQL can say
+the same, ORACLES has the statement under the same name.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text as T
+from loomgraph.functions import vectors as V
+from loomgraph.models import extract_json
+from loomgraph.operators import edges as E
+from loomgraph.operators import frontier as Q
+from loomgraph.operators import graph as G
+from loomgraph.operators import ideas as I
+from loomgraph.operators import report as R
+from loomgraph.operators import store as S
+from loomgraph.operators import tree as Tr
+from loomgraph.operators.similarity import knn_join
+from loomgraph.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Gates for the embeddings table, whose vectors are never as near as ideas are.
+FAR_LINK, FAR_MERGE = 0.25, 0.35
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# SQL shared by the statements; white space and patterns as in functions.text
+_STRIP = "trim({}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12))"
+_BODY = _STRIP.format(r"regexp_replace(text, '(?m)^(Content \([^)]*\):|Title:.*|Journal:.*|MeSH terms:.*|Abstract:)[ \t\n\r\f]*', '', 'g')")
+_SENT = f"""
+sent AS (SELECT doc_id, lang, source, body, list_filter(list_transform(string_split(regexp_replace(body, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP.format('s')}), lambda s: s <> '') AS s
+         FROM (SELECT *, {_BODY} AS body FROM documents))"""
+_IDEAS = f"""{_SENT},
+long1 AS (SELECT doc_id, lang, source, list_filter(s, lambda x: length(x) >= 50)[1] AS q FROM sent),
+ideas AS (SELECT doc_id, doc_id AS id, lang, source, trim(regexp_replace(rtrim(q, '.'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS statement,
+                 array_to_string(list_slice(regexp_extract_all(q, '\\b([A-Z][A-Z0-9]{{2,}})\\b', 1), 1, 5), ',') AS entities, CAST(doc_id % 3 AS INTEGER) AS level
+          FROM long1 WHERE q IS NOT NULL)"""
+_BOW = """
+tok AS (SELECT id, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS t FROM {src}),
+bow AS (SELECT id, CAST(('0x' || substr(sha1(t), 1, 8)) AS BIGINT) % 128 AS bucket, count(*)::DOUBLE AS c FROM tok GROUP BY 1, 2),
+nrm AS (SELECT id, sqrt(sum(c * c)) AS n FROM bow GROUP BY 1)"""
+_CANON = """
+canon AS (SELECT *, min(id) OVER (PARTITION BY lower(statement)) AS canon FROM ideas),
+firsts AS (SELECT * FROM canon WHERE id = canon)"""
+_PAIRS = """
+dots AS (SELECT a.id AS qid, b.id AS cid, sum(a.c * b.c) AS d FROM bow a JOIN bow b ON a.bucket = b.bucket AND b.id < a.id GROUP BY 1, 2),
+sims AS (SELECT qid, cid, round(d / (x.n * y.n), 6) AS score FROM dots JOIN nrm x ON x.id = qid JOIN nrm y ON y.id = cid),
+near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM sims WHERE score >= 0.62 QUALIFY rank <= 8)"""
+_FLAGSHIP = f"WITH {_IDEAS}, {_CANON}, {_BOW.format(src='firsts')}, {_PAIRS}"
+_DECIDED = f"""{_FLAGSHIP},
+lv AS (SELECT qid, cid, rank, i.level AS own, j.level AS their FROM near JOIN ideas i ON i.id = qid JOIN ideas j ON j.id = cid),
+best AS (SELECT qid, arg_min(cid, rank) FILTER (WHERE own <> their) AS other, arg_min(cid, rank) AS anyone FROM lv GROUP BY 1),
+decided AS (SELECT id, CASE WHEN id <> canon THEN 'merge' WHEN anyone IS NOT NULL THEN 'link' ELSE 'new' END AS decision,
+                   CASE WHEN id <> canon THEN canon WHEN other IS NOT NULL THEN other ELSE anyone END AS target,
+                   CASE WHEN id <> canon THEN NULL WHEN other IS NOT NULL THEN 'part_of' WHEN anyone IS NOT NULL THEN 'related_to' END AS relation
+            FROM canon LEFT JOIN best ON qid = id)"""
+_EDGES = f"""{_DECIDED},
+raw AS (SELECT CASE WHEN relation = 'part_of' AND t.level < o.level THEN d.target ELSE d.id END AS source, CASE WHEN relation = 'part_of' AND t.level < o.level THEN d.id ELSE d.target END AS target, relation, d.id AS seq
+        FROM decided d JOIN ideas o ON o.id = d.id JOIN ideas t ON t.id = d.target WHERE decision = 'link'),
+pairs AS (SELECT least(source, target) AS a, greatest(source, target) AS b, arg_min(source, seq) AS s, arg_min(target, seq) AS t, arg_min(relation, seq) AS r, min(seq) AS seq FROM raw GROUP BY 1, 2),
+alle AS (SELECT source, target, relation, seq, false AS mirror FROM raw UNION ALL SELECT t, s, CASE WHEN r IN ('part_of', 'causes', 'enables') THEN 'related_to' ELSE r END, seq, true FROM pairs),
+edges AS (SELECT * FROM alle QUALIFY row_number() OVER (PARTITION BY source, target, relation ORDER BY seq, mirror) = 1)"""
+_COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
+
+
+def _ideas(spark, sf_dir) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    made = I.mock_ideas(docs.withColumn("_lv", (F.col("doc_id") % 3)), "doc_id", "text")
+    return made.withColumn("level", (F.col("doc_id") % 3).cast("int")).withColumn("id", F.col("doc_id"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), F.col("label").alias("domain"))
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    ideas = _ideas(spark, sf_dir)
+    told = I.decisions(ideas).where("decision = 'link'")
+    lv = ideas.select("id", "level")
+    joined = told.join(lv, "id").join(lv.select(F.col("id").alias("target"), F.col("level").alias("their")), "target")
+    a, b = E.oriented(F.col("id"), F.col("target"), F.col("relation"), F.col("level"), F.col("their"))
+    return E.with_mirrors(joined.select(a.alias("source"), b.alias("target"), "relation", F.lit("").alias("note"), F.col("id").alias("seq")))
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    """Each document's idea under its canonical id."""
+    named = I.first_wordings(_ideas(spark, sf_dir))
+    return named.select(F.col("doc_id").alias("pmid"), F.col("canon").alias("slug"), F.col("relation"), F.col("doc_id").alias("seq"))
+
+
+# ------------------------------------------------------------------ text
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, text, array_to_string(list_slice(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> ''), 1, 6), '-') AS h FROM documents)
+SELECT doc_id, CASE WHEN h = '' THEN 'idea' ELSE h END || '-' || substr(sha1(text), 1, 6) AS slug FROM w""")
+def slugify(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+
+
+@query(f"WITH {_SENT} SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(s[1], '') AS first_sentence, md5(array_to_string(s, '|')) AS digest FROM sent")
+def sentence_split(spark, sf_dir):
+    s = I.body_sentences(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.coalesce(F.try_element_at(s, F.lit(1)), F.lit("")).alias("first_sentence"), F.md5(F.array_join(s, "|")).alias("digest"))
+
+
+@query(f"WITH {_SENT}, h AS (SELECT doc_id, body, s, substr(array_to_string(list_slice(s, 1, 2), ' '), 1, 400) AS x FROM sent) SELECT doc_id, CASE WHEN x = '' THEN substr(body, 1, 400) ELSE x END AS summary, substr(coalesce(s[1], ''), 1, 200) AS key_finding FROM h")
+def mock_summary(spark, sf_dir):
+    summary, finding = I.mock_summary(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", summary.alias("summary"), finding.alias("key_finding"))
+
+
+@query(f"WITH {_IDEAS} SELECT doc_id, statement, entities, 'finding' AS type, 'supports' AS relation, 'mock' AS domain FROM ideas")
+def mock_idea(spark, sf_dir):
+    return _ideas(spark, sf_dir).select("doc_id", "statement", F.array_join("entities", ",").alias("entities"), "type", "relation", "domain")
+
+
+@query(f"WITH {_IDEAS}, {_BOW.format(src='ideas')} SELECT id AS doc_id, bucket, round(c / n, 6) AS weight FROM bow JOIN nrm USING (id)")
+def bow_embedding(spark, sf_dir):
+    v = _ideas(spark, sf_dir).select("doc_id", V.bow_embedding("statement").alias("v"))
+    return v.select("doc_id", F.posexplode("v").alias("bucket", "w")).where("w > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("weight"))
+
+
+@query(r"""SELECT item_id, list_slice(CASE WHEN len(p) > 0 THEN p ELSE [text] END, 1, 5)[1] AS first_question, CAST(CASE WHEN len(p) > 5 THEN 5 WHEN len(p) = 0 THEN 1 ELSE len(p) END AS BIGINT) AS n
+FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(text, ',| and '), lambda x: trim(x, ' .')), lambda x: x <> '') AS p FROM benchmark)""")
+def topic_questions(spark, sf_dir):
+    q = T.questions(F.col("text"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.element_at(q, 1).alias("first_question"), F.size(q).cast("long").alias("n"))
+
+
+@query(f"""WITH {_IDEAS}, x AS (SELECT doc_id, list_slice(list_filter(string_split(entities, ','), lambda e: e <> ''), 1, 3) AS e, array_to_string(list_slice(regexp_extract_all(statement, '([A-Za-z][A-Za-z-]{{3,}})', 1), 1, 6), ' ') AS w FROM ideas)
+SELECT doc_id, CASE WHEN len(e) > 0 THEN array_to_string(e, ' AND ') || ' mechanism' ELSE w END AS deep, CASE WHEN len(e) > 0 THEN array_to_string(e, ' OR ') ELSE w END AS broad FROM x""")
+def idea_query_string(spark, sf_dir):
+    e, s = F.col("entities"), F.col("statement")
+    return _ideas(spark, sf_dir).select("doc_id", T.idea_query(e, s, "depth").alias("deep"), T.idea_query(e, s, "breadth").alias("broad"))
+
+
+@query(r"""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped,
+CASE WHEN length(url) > 34 THEN rtrim(substr(url, 1, 34)) || '…' ELSE url END AS label, upper(substr(url, 1, 1)) || substr(url, 2) AS title, regexp_replace(trim(regexp_replace(html, '[ \t\n\r\f]+', ' ', 'g')), '^(.{0,80}).*$', '\1', 's') AS flat FROM pages""")
+def text_helpers(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", F.md5(T.html_escape(F.col("html"))).alias("escaped"), T.shortened(F.col("url"), 34).alias("label"), T.capitalised(F.col("url")).alias("title"), F.substring(T.collapse(F.col("html")), 1, 80).alias("flat"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_extract(spark, sf_dir):
+    text = F.concat(F.lit("Here: "), F.col("props"), F.lit(" {done}"))
+    return _table(spark, sf_dir, "events").select("event_id", F.from_json(extract_json(text), "k long")["k"].alias("k"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN source IN ('mechanism','method','finding','problem') THEN source ELSE 'finding' END AS type, CASE WHEN lang IN ('introduces','uses','supports','contradicts','extends') THEN lang ELSE 'supports' END AS relation,
+lower(trim(coalesce(source, 'general'))) AS domain, CAST(least(len(string_split(text, chr(10))), 5) AS BIGINT) AS n_entities FROM documents WHERE trim(text, chr(32)||chr(9)||chr(10)||chr(13)||chr(12)) <> ''""")
+def reply_normalisation(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    raw = F.array(F.struct(F.col("text").alias("statement"), F.col("source").alias("type"), F.col("lang").alias("relation_to_paper"), F.col("source").alias("domain"), F.split("text", "\n").alias("entities")))
+    return d.select("doc_id", F.explode(I.normalised_reply(raw)).alias("i")).select("doc_id", "i.type", "i.relation", "i.domain", F.size("i.entities").cast("long").alias("n_entities"))
+
+
+@query(r"""SELECT conv_id, CAST(len(list_slice(q, 1, 3)) AS BIGINT) AS n, coalesce(q[1], '') AS first_query FROM (SELECT conv_id, list_filter(list_transform(list(text ORDER BY turn), lambda x: trim(x, chr(32)||chr(9)||chr(10)||chr(13)||chr(12))), lambda x: x <> '') AS q FROM conversations GROUP BY 1)""")
+def query_sanitation(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    q = T.clean_list(F.col("t.text"), 3)
+    return c.select("conv_id", F.size(q).cast("long").alias("n"), F.coalesce(F.try_element_at(q, F.lit(1)), F.lit("")).alias("first_query"))
+
+
+# ------------------------------------------------------------- similarity
+
+
+@query(f"SELECT a.vec_id AS query, b.vec_id AS candidate, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 5")
+def cosine_topk(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return knn_join(v, v, 5)
+
+
+@query(f"SELECT a.vec_id AS query, b.vec_id AS candidate, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank, CASE WHEN {_COS} >= {FAR_MERGE} THEN 'merge-eligible' ELSE 'link-only' END AS eligibility FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_COS} >= {FAR_LINK} QUALIFY rank <= 8")
+def knn_join_gated(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return knn_join(v, v, 8, FAR_LINK).withColumn("eligibility", F.when(F.col("score") >= FAR_MERGE, "merge-eligible").otherwise("link-only"))
+
+
+@query(f"SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS candidate, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank, a.label AS la, b.label AS lb FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 8) WHERE score >= 0.35 AND la <> lb".replace("SELECT * FROM", "SELECT query, candidate, rank, score FROM"))
+def analogy_links(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    near = knn_join(v, v, 8).where("score >= 0.35")  # ranked before the domains are compared
+    d = v.select("id", "domain")
+    joined = near.join(d.select(F.col("id").alias("query"), F.col("domain").alias("la")), "query").join(d.select(F.col("id").alias("candidate"), F.col("domain").alias("lb")), "candidate")
+    return joined.where("la <> lb").select("query", "candidate", "rank", "score")
+
+
+@query(f"{_FLAGSHIP} SELECT qid AS id, cid AS candidate, rank, score, CASE WHEN score >= 0.8 THEN 'merge-eligible' ELSE 'link-only' END AS eligibility FROM near")
+def idea_candidates(spark, sf_dir):
+    return I.candidates(_ideas(spark, sf_dir).select("id", "statement"))
+
+
+@query(f"{_DECIDED} SELECT * FROM decided")
+def idea_decisions(spark, sf_dir):
+    return I.decisions(_ideas(spark, sf_dir))
+
+
+@query(f"WITH {_IDEAS}, {_CANON} SELECT canon AS id, count(*) AS papers, min(lower(statement)) AS wording FROM canon GROUP BY 1")
+def canonical_ideas(spark, sf_dir):
+    return I.first_wordings(_ideas(spark, sf_dir)).groupBy(F.col("canon").alias("id")).agg(F.count("*").alias("papers"), F.min(F.lower("statement")).alias("wording"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)
+SELECT vec_id, unnest(list_transform(range(1, len(e) + 1), lambda i: i - 1)) AS dim, unnest(list_transform(e, lambda x: CAST(greatest(-127, least(127, round_even(x / n * 127, 0))) AS BIGINT))) AS code FROM v""")
+def int8_quantize(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.quantised(F.col("embedding"))).alias("dim", "code"))
+    return v.select("vec_id", F.col("dim").cast("long").alias("dim"), F.col("code").cast("long").alias("code"))
+
+
+@query("""WITH q AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: greatest(-127.0, least(127.0, round_even(x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) * 127, 0)))) AS c FROM embeddings)
+SELECT a.vec_id AS query, b.vec_id AS candidate, round(list_cosine_similarity(a.c, b.c), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.c, b.c), 6) DESC, b.vec_id) AS rank FROM q a JOIN q b ON a.vec_id <> b.vec_id QUALIFY rank <= 5""")
+def int8_topk(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("id", F.transform(V.quantised(F.col("vec")), lambda c: c.cast("double")).alias("vec"))
+    return knn_join(v, v, 5)
+
+
+# ------------------------------------------------------------------ graph
+
+
+@query(f"{_EDGES} SELECT source, target, relation, mirror FROM edges")
+def idea_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).select("source", "target", "relation", "mirror")
+
+
+@query(f"{_EDGES}, c AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY seq, mirror) AS n FROM edges) SELECT source, target, relation FROM c WHERE n = 1 OR relation <> 'related_to'")
+def graph_edges(spark, sf_dir):
+    return E.collapsed(_edges(spark, sf_dir)).select("source", "target", "relation")
+
+
+@query(f"{_EDGES}, n AS (SELECT source AS id, target AS o FROM edges UNION SELECT target, source FROM edges) SELECT f.id AS slug, count(o) AS degree FROM firsts f LEFT JOIN n USING (id) GROUP BY 1")
+def node_degree(spark, sf_dir):
+    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon").select(F.col("id").alias("slug"))
+    return G.degrees(ideas, _edges(spark, sf_dir))
+
+
+@query(f"{_EDGES}, b AS (SELECT source AS id, target AS other, relation FROM edges UNION ALL SELECT target, source, relation FROM edges) SELECT id, other, arg_min(relation, CASE relation WHEN 'part_of' THEN 0 WHEN 'analogous_to' THEN 1 WHEN 'causes' THEN 2 WHEN 'enables' THEN 3 WHEN 'related_to' THEN 4 ELSE 9 END) AS relation FROM b GROUP BY 1, 2")
+def best_relation(spark, sf_dir):
+    return E.best_relations(_edges(spark, sf_dir))
+
+
+@query(f"{_EDGES} SELECT (SELECT count(*) FROM firsts) AS nodes, (SELECT count(*) FROM (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY seq, mirror) AS n FROM edges) WHERE n = 1 OR relation <> 'related_to') AS edges, (SELECT count(DISTINCT doc_id) FROM ideas) AS papers")
+def header_stats(spark, sf_dir):
+    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon")
+    return G.header(ideas, _edges(spark, sf_dir), _links(spark, sf_dir))
+
+
+@query(f"WITH {_IDEAS}, {_CANON} SELECT canon AS slug, min(CASE WHEN id = canon THEN statement END) AS statement, 'finding' AS type, 'mock' AS domain, min(CASE WHEN id = canon THEN level END) AS level, count(*) AS papers, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))), ',') AS cites, round(3.5 + sqrt(count(*)) * 1.6 + CASE WHEN count(*) > 1 THEN 2 ELSE 0 END, 6) AS radius FROM canon GROUP BY 1")
+def graph_nodes(spark, sf_dir):
+    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon").withColumn("slug", F.col("id"))
+    return G.nodes(ideas, _links(spark, sf_dir)).withColumn("radius", F.round(G.radius(F.col("papers"), F.col("papers")), 6))
+
+
+@query("SELECT pmid, slug, first(relation ORDER BY seq, relation) AS relation FROM (SELECT l_orderkey AS pmid, l_partkey AS slug, l_returnflag AS relation, l_linenumber AS seq FROM lineitem) GROUP BY 1, 2")
+def paper_idea_links(spark, sf_dir):
+    l = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pmid"), F.col("l_partkey").alias("slug"), F.col("l_returnflag").alias("relation"), F.col("l_linenumber").alias("seq"))
+    return E.first_links(l).select("pmid", "slug", "relation")
+
+
+@query("SELECT l_partkey AS slug, p_name AS statement, count(DISTINCT l_orderkey) AS papers FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def ideas_by_paper_count(spark, sf_dir):
+    l, p = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
+    n = l.groupBy(F.col("l_partkey").alias("slug")).agg(F.count_distinct("l_orderkey").alias("papers"))
+    return n.join(p.select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("statement")), "slug").orderBy(F.desc("papers"), F.desc("statement"), F.desc("slug"))
+
+
+@query(f"WITH {_IDEAS}, i AS (SELECT lang, count(DISTINCT lower(statement)) AS ideas FROM ideas GROUP BY 1), p AS (SELECT lang, count(*) AS papers FROM documents GROUP BY 1) SELECT p.lang AS vault, papers, coalesce(ideas, 0) AS ideas, p.lang = 'en' AS active FROM p LEFT JOIN i ON i.lang IS NOT DISTINCT FROM p.lang")
+def vault_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    papers = docs.groupBy("lang").agg(F.count("*").alias("papers"))
+    ideas = _ideas(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").groupBy(F.col("lang").alias("l")).agg(F.count_distinct(F.lower("statement")).alias("ideas"))
+    return papers.join(ideas, F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("lang").alias("vault"), "papers", F.coalesce("ideas", F.lit(0)).alias("ideas"), (F.col("lang") == "en").alias("active"))
+
+
+@query("WITH n AS (SELECT p_brand AS domain, count(*) AS n FROM part GROUP BY 1) SELECT domain, n, CASE WHEN r <= 8 THEN r ELSE 0 END AS slot FROM (SELECT *, row_number() OVER (ORDER BY n DESC, domain) AS r FROM n)")
+def domain_top8(spark, sf_dir):
+    return G.domain_slots(_table(spark, sf_dir, "part").select(F.col("p_brand").alias("domain")))
+
+
+@query(f"{_EDGES}, nb AS (SELECT source AS qid, target AS cid FROM edges UNION SELECT target, source FROM edges), f AS (SELECT qid, cid, score FROM near ANTI JOIN nb USING (qid, cid)) SELECT qid AS query, cid AS candidate, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM f QUALIFY rank <= 25")
+def similar_unlinked(spark, sf_dir):
+    near = I.candidates(_ideas(spark, sf_dir).select("id", "statement")).select(F.col("id").alias("query"), "candidate", "score")
+    return G.similar_unlinked(near, _edges(spark, sf_dir))
+
+
+@query(f"WITH {_IDEAS} SELECT doc_id, statement FROM ideas WHERE contains(lower(statement), 'tion')")
+def text_search(spark, sf_dir):
+    return G.visible(_ideas(spark, sf_dir), "tion").select("doc_id", "statement")
+
+
+@query("SELECT doc_id AS pmid, CASE WHEN n > 3 AND coalesce(source, '') NOT LIKE 'src1%' THEN 'fulltext' WHEN toxic IS NOT NULL THEN 'skip' ELSE 'abstract' END AS path FROM (SELECT d.doc_id, d.source, l.toxic, len(string_split(text, chr(10))) AS n FROM documents d LEFT JOIN labels l USING (doc_id))".replace("CASE WHEN n > 3 AND coalesce(source, '') NOT LIKE 'src1%' THEN 'fulltext' WHEN toxic IS NOT NULL THEN 'skip'", "CASE WHEN toxic IS NOT NULL THEN 'skip' WHEN n >= 3 AND source NOT LIKE 'src1%' THEN 'fulltext' WHEN text = '' THEN 'skip'").replace("d.source, l.toxic", "d.source, d.text, l.toxic"))
+def extraction_path(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    papers = d.select(F.col("doc_id").alias("pmid"), F.col("text").alias("abstract"), F.when(F.col("source").startswith("src1"), F.col("source")).otherwise("").alias("source"))
+    full = d.select(F.col("doc_id").alias("pmid"), F.explode(F.split("text", "\n")).alias("p"))
+    return S.extraction_path(papers, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pmid")), full)
+
+
+@query("SELECT s_suppkey AS id, count(*) FILTER (WHERE n_nationkey IS NOT NULL) AS n FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey < 3 GROUP BY 1")
+def keyed_reads(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "k")
+    n = _table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("k"))
+    here = S.existing(s, n, "k").select("s_suppkey", F.lit(1).alias("n"))
+    return here.union(S.missing(s, n, "k").select("s_suppkey", F.lit(0))).select(F.col("s_suppkey").alias("id"), F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def vector_upsert(spark, sf_dir):
+    return S.latest(_table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "value")
+
+
+# --------------------------------------------------------------- frontier
+
+
+@query("SELECT lower(event_type) AS domain, count(*) AS seen FROM events GROUP BY 1")
+def domain_counts(spark, sf_dir):
+    return Q.domain_counts(_table(spark, sf_dir, "events").select(F.array("event_type").alias("domains")))
+
+
+_NOVEL = """c AS (SELECT lower(event_type) AS d FROM events WHERE event_id % 7 = 0 AND event_type <> 'view' GROUP BY 1),
+x AS (SELECT event_id, value, CASE WHEN lower(event_type) IN (SELECT d FROM c) THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS novelty FROM events)"""
+
+
+def _scored(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    counts = Q.domain_counts(e.where("event_id % 7 = 0 AND event_type <> 'view'").select(F.array("event_type").alias("domains")))
+    items = e.select("event_id", "value", F.array("event_type", F.lit("never seen")).alias("domains"))
+    return Q.novelty(items, counts, "event_id")
+
+
+@query(f"WITH {_NOVEL} SELECT event_id, novelty FROM x")
+def domain_novelty(spark, sf_dir):
+    return _scored(spark, sf_dir).select("event_id", "novelty")
+
+
+@query(f"WITH {_NOVEL} SELECT event_id, round(1.0 * value + 0.15 * novelty, 4) AS deep, round(0.55 * value + 1.0 * novelty, 4) AS broad FROM x")
+def frontier_score(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return s.select("event_id", Q.score(F.col("value"), F.col("novelty"), "depth").alias("deep"), Q.score(F.col("value"), F.col("novelty"), "breadth").alias("broad"))
+
+
+@query(f"WITH {_NOVEL} SELECT event_id AS seq, round(0.55 * value + 1.0 * novelty, 4) AS score FROM x ORDER BY 2 DESC, 1")
+def frontier_order(spark, sf_dir):
+    return Q.ordered(_scored(spark, sf_dir).select(F.col("event_id").alias("seq"), Q.score(F.col("value"), F.col("novelty"), "breadth").alias("score")))
+
+
+@query("SELECT item_id, round(1.0 - (row_number() OVER (ORDER BY item_id) - 1) / (SELECT count(*) FROM benchmark) * 0.3, 6) AS relevance, 'seed result #' || row_number() OVER (ORDER BY item_id) AS reason FROM benchmark")
+def seed_relevance(spark, sf_dir):
+    b = _table(spark, sf_dir, "benchmark").select("item_id")  # a search's results: some tens of rows
+    rank = F.row_number().over(Window.orderBy("item_id"))
+    n = b.agg(F.count("*").alias("n"))
+    return b.withColumn("rank", rank).crossJoin(F.broadcast(n)).select("item_id", F.round(1.0 - (F.col("rank") - 1) / F.greatest("n", F.lit(1)) * 0.3, 6).alias("relevance"), F.concat(F.lit("seed result #"), F.col("rank").cast("string")).alias("reason"))
+
+
+@query("SELECT event_type AS kind, user_id AS id, min(event_id) AS seq FROM events WHERE NOT (event_type || user_id IN (SELECT event_type || user_id FROM events WHERE event_id % 50 = 0)) GROUP BY 1, 2")
+def push_dedupe(spark, sf_dir):
+    p = _table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("id"), F.col("event_id").alias("seq"))
+    return Q.first_pushes(p, p.where("seq % 50 = 0").select("kind", "id")).select("kind", "id", "seq")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 120")
+def recent_findings(spark, sf_dir):
+    return R.recent(_table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("SELECT o_custkey, max(strftime(o_orderdate, '%Y%m%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS run FROM orders GROUP BY 1")
+def latest_run(spark, sf_dir):
+    name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(name).alias("run"))
+
+
+# ------------------------------------------------------------ trees, reports
+
+_PARTS = f"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: {_STRIP.format('p')}), lambda p: p <> '') AS p FROM documents"
+_FOLD = """list_reduce(list_prepend({{'g': -1, 's': 0::BIGINT, 'o': []::INTEGER[]}}, list_transform({sizes}, lambda n: {{'g': 0, 's': n::BIGINT, 'o': []::INTEGER[]}})),
+ lambda a, x: CASE WHEN a.g >= 0 AND a.s + x.s <= {limit} THEN {{'g': a.g, 's': a.s + x.s + 2, 'o': list_append(a.o, a.g)}} ELSE {{'g': a.g + 1, 's': x.s + 2, 'o': list_append(a.o, a.g + 1)}} END).o"""
+
+
+@query(f"WITH p AS ({_PARTS}), f AS (SELECT doc_id, p, {_FOLD.format(sizes='list_transform(p, lambda q: length(q))', limit=3500)} AS g FROM p WHERE len(p) > 0) SELECT doc_id, unnest(range(len(p))) AS ord, CAST(unnest(g) AS BIGINT) AS grp FROM f")
+def node_groups(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", Tr.paragraphs(F.col("text"), "\n").alias("p"))
+    g = Tr.packed(F.transform("p", lambda x: F.length(x).cast("long")), Tr.GROUP)
+    return d.select("doc_id", F.posexplode(g).alias("ord", "grp")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("grp").cast("long").alias("grp"))
+
+
+@query()
+def leaf_split(spark, sf_dir):
+    leaf = Tr.leaf_nodes(_table(spark, sf_dir, "documents"), "doc_id", "text", separator="\n")
+    return leaf.select("paper", "ord", F.length("content").alias("size"), F.md5("content").alias("digest"), "truncated")
+
+
+def _tree(spark, sf_dir):
+    from loomgraph.plans.tables import scratch
+
+    return Tr.build(Tr.leaf_nodes(_table(spark, sf_dir, "documents"), "doc_id", "text", separator="\n"), write=scratch(spark))
+
+
+@query()
+def tree_levels(spark, sf_dir):
+    return _tree(spark, sf_dir).select("paper", "level", "ord", "parent", F.md5("content").alias("digest"), "children")
+
+
+@query()
+def tree_totals(spark, sf_dir):
+    return Tr.totals(_tree(spark, sf_dir))
+
+
+@query()
+def tree_outline(spark, sf_dir):
+    return Tr.outline(_tree(spark, sf_dir)).select("paper", "level", "ord", "rank")
+
+
+@query()
+def structure_edges(spark, sf_dir):
+    n = _tree(spark, sf_dir).withColumn("slugs", F.when(F.col("idea").isNull(), F.array().cast("array<string>")).otherwise(F.array(T.slugify(F.coalesce("idea", F.lit(""))))))
+    return Tr.structure_edges(n)
+
+
+_TOPIC = "topics AS (SELECT item_id + 1000000000 AS id, text AS statement FROM benchmark)"
+
+
+@query(f"WITH {_IDEAS}, {_TOPIC}, u AS (SELECT id, statement FROM ideas UNION ALL SELECT id, statement FROM topics), {_BOW.format(src='u')}, d AS (SELECT a.id AS q, b.id AS c, sum(a.c * b.c) AS d FROM bow a JOIN bow b USING (bucket) WHERE a.id >= 1000000000 AND b.id < 1000000000 GROUP BY 1, 2), pairs AS (SELECT t.id AS q, i.id AS c, coalesce(d.d, 0) AS d FROM topics t CROSS JOIN ideas i LEFT JOIN d ON d.q = t.id AND d.c = i.id) SELECT q - 1000000000 AS question, c AS idea, round(d / (x.n * y.n), 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(d / (x.n * y.n), 6) DESC, c) AS rank FROM pairs JOIN nrm x ON x.id = q JOIN nrm y ON y.id = c QUALIFY rank <= 40")
+def report_retrieval(spark, sf_dir):
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), V.bow_embedding("text").alias("vec"))
+    return R.retrieved(asked, I.embedded(_ideas(spark, sf_dir).select("id", "statement")))
+
+
+@query("SELECT l_partkey AS slug, count(DISTINCT l_orderkey) AS papers FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40")
+def report_fallback(spark, sf_dir):
+    return R.most_cited(_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("slug"), F.col("l_orderkey").alias("pmid")))
+
+
+@query("SELECT o_custkey, CAST(len(list_distinct(list(o_orderkey))) AS BIGINT) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1")
+def report_sources(spark, sf_dir):
+    text = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.collect_list("o_orderkey"), lambda k: F.concat(F.lit("as in PMID "), k.cast("string"), F.lit(" and PMID: "), k.cast("string"))), "; ").alias("t"))
+    ids = R.cited_ids(F.col("t"))
+    return text.select("o_custkey", F.size(ids).cast("long").alias("n"), F.element_at(ids, 1).alias("first_id"))
+
+
+@query("""SELECT conv_id, md5('# ' || upper(substr(f, 1, 1)) || substr(f, 2) || chr(10) || chr(10) || 'Summary.' || chr(10) || chr(10) || array_to_string(t, chr(10) || chr(10)) || chr(10) || chr(10) || '## Open questions' || chr(10) || chr(10) || '- What next?' || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || '- https://pubmed.ncbi.nlm.nih.gov/' || conv_id || '/') AS digest
+FROM (SELECT conv_id, list('PMID ' || conv_id || ': ' || role ORDER BY turn) AS t, 'talk ' || conv_id AS f FROM conversations GROUP BY 1)""")
+def report_text(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("PMID "), F.col("conv_id").cast("string"), F.lit(": "), "role").alias("t")))).alias("s"))
+    head = F.lit("Summary.\n\n\n\n## Open questions\n\n- What next?")
+    return c.select("conv_id", F.md5(R.assembled(F.concat(F.lit("talk "), F.col("conv_id").cast("string")), head, F.array_join("s.t", "\n\n"))).alias("digest"))
+
+
+@query("""SELECT conv_id, md5(array_to_string(list(CASE WHEN role <> prev OR prev IS NULL THEN '## ' || role || chr(10) || chr(10) || text ELSE text END ORDER BY turn), chr(10) || chr(10))) AS digest
+FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY 1""")
+def fulltext_markdown(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("role").alias("section"), "text")
+    return files.fulltext_markdown(c, "conv_id").select("conv_id", F.md5("markdown").alias("digest"))
+
+
+@query()
+def section_paragraphs(spark, sf_dir):
+    from loomgraph.sources.literature import bodies
+
+    p = _table(spark, sf_dir, "pages")
+    text = F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), "<[^>]*>|&[a-z#0-9]*;?", " ")
+    xml = F.concat(F.lit("<article><body><sec><title>Page</title><p>"), F.regexp_replace(text, "[^\\p{L}\\p{N} .,\n]", " "), F.lit("</p><p>second <i>part</i></p></sec></body></article>"))
+    return bodies(p.select("page_id", xml.alias("xml")), "page_id", "xml").select("page_id", "ord", "section", F.length("text").alias("size"))
+
+
+@query()
+def frontier_replay(spark, sf_dir):
+    from loomgraph.streaming.frontier import replay
+
+    e = _table(spark, sf_dir, "events")
+    pushes = e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), F.lit("idea").alias("kind"), F.col("event_type").alias("id"), F.col("value").alias("relevance"), F.array("event_type").alias("domains"))
+    return replay(pushes, "breadth", pop_every=3)
