@@ -34,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import chunks, shared_dir, text_bytes
+from loomgraph.llm.common import chunks, lean, text_bytes
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Stretches, and pairs of pieces, that a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_200_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -120,6 +120,9 @@ class Transducer:
         self.ids = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
         self.score = [s for _, s, _ in model.pieces]
         self.longest = max(map(len, self.ids), default=1)
+        # the piece machine as a trie: beginnings of pieces, with the piece that ends there
+        self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))}
+        self.trie |= self.ids
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.spell = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() if model.escape else p.encode() for p, _, kind in model.pieces]
         self.worst = min((s for (_, s, kind) in model.pieces if kind == NORMAL), default=0.0) - 10
@@ -130,7 +133,7 @@ class Transducer:
         stop = re.escape(alone)
         self.stretch = None if crosses or not model.escape else re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + (f"|[{stop}]" if alone else ""))
         self.known: dict[str, bytes] = {}
-        self.keeps: dict[tuple[int, int], bool] = {}
+        self.keeps: dict[int, bool] = {}  # by (a + 1) << 32 | b
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -156,13 +159,11 @@ class Transducer:
 
     def boundary(self, a: int, b: int) -> bool:
         """Whether an arc from piece a to piece b has a finite weight; a = -1: the start."""
-        got = self.keeps.get((a, b))
-        if got is None:
-            if len(self.keeps) > MEMORY:
-                self.keeps.clear()
-            q = self.model.pieces[b][0]
-            p = self.model.pieces[a][0] if a >= 0 else ""
-            got = self.keeps[a, b] = self.merged(p + q) == ([p, q] if p else [q])
+        if len(self.keeps) > MEMORY:
+            self.keeps.clear()
+        q = self.model.pieces[b][0]
+        p = self.model.pieces[a][0] if a >= 0 else ""
+        got = self.keeps[(a + 1) << 32 | b] = self.merged(p + q) == ([p, q] if p else [q])
         return got
 
     def _alone(self, c: str) -> list[int]:
@@ -178,17 +179,27 @@ class Transducer:
         if text[:2] == MARK * 2 and len(set(text)) == 1 or MARK * 2 in text:
             # equal scores of space runs: only merging itself tells which come first
             return [i for p in self.merged(text) for i in ([self.ids[p]] if p in self.ids else self._alone(p))]
-        n, ids, longest, boundary = len(text), self.ids, self.longest, self.boundary
+        n, trie, keeps = len(text), self.trie.get, self.keeps
+        # last: the piece that ends here on the one finite path; -1: none yet; -2: an unknown character, over which nothing merges
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(j - longest if j > longest else 0, j):
-                piece = ids.get(text[i:j])
-                if piece is not None and last[i] != -3 and boundary(last[i] if i and last[i] != -2 else -1, piece):
-                    last[j], back[j] = piece, i
+        for i in range(n):
+            a = last[i]
+            if a == -1 and i:
+                continue  # no path comes here
+            before = 0 if a < 0 else (a + 1) << 32
+            known = False
+            for j in range(i + 1, n + 1):
+                piece = trie(text[i:j])
+                if piece is None:
                     break
-            else:
-                # -2: an unknown character, over which nothing merges; -3: no path ends here
-                last[j], back[j] = (-2, j - 1) if text[j - 1] not in ids and last[j - 1] != -3 else (-3, j - 1)
+                if piece >= 0:
+                    known = known or j == i + 1
+                    if last[j] == -1:  # from the left, so the longest piece comes first
+                        keep = keeps.get(before | piece)
+                        if self.boundary(a if a >= 0 else -1, piece) if keep is None else keep:
+                            last[j], back[j] = piece, i
+            if not known and last[i + 1] == -1:
+                last[i + 1], back[i + 1] = -2, i
         out: list[int] = []
         while n:
             i = back[n]
@@ -287,7 +298,7 @@ def decode(coded: DataFrame, *keep: str, model: str | None = None) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text back."""
-    shared_dir(spark)  # batches of a size for whole texts
+    lean(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     shared = spark.sparkContext.broadcast(_model_bytes(None))
 
