@@ -7,6 +7,8 @@ are not ASCII white space; a null text counts as an empty one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +22,18 @@ CHUNK_BYTES = 1 << 18
 _B = 0x9E3779B97F4A7C15 | 1
 
 
+def lean(spark: SparkSession) -> None:
+    """Fewer rows an Arrow batch than Spark's default, which is too many whole texts at once."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
     Where the setting is absent (tests, one machine) a local folder is used.
     """
-    if spark.conf.get(BATCH) == "10000":  # Spark's default: too many whole texts at once
-        spark.conf.set(BATCH, "2000")
+    lean(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = _local_base()
@@ -62,6 +69,20 @@ def with_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def trimming(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back when its task ends: workers idle between stages."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return of
+
+
 def shelve(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """Rename the columns that an operator doesn't use, so that its working names can't clash with them.
 
@@ -190,7 +211,7 @@ def fold_slices(rows: DataFrame, op: np.ufunc, size: int) -> np.ndarray:
                 total[k] = op(total[k], now) if k in total else now
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "data"])
 
-    found = rows.repartition("slice").mapInArrow(run, "slice int, data binary").collect()
+    found = rows.repartition("slice").mapInArrow(trimming(run), "slice int, data binary").collect()
     if not found:
         return np.zeros(size, dtype=np.int64)
     return np.concatenate([np.frombuffer(r["data"], dtype=np.int64) for r in sorted(found, key=lambda r: r["slice"])])

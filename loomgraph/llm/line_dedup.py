@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import chunks, fold_slices, materialize, mix64, shelve, slice_rows, text_bytes, with_uid, word_hashes
+from loomgraph.llm.common import chunks, fold_slices, materialize, mix64, shelve, slice_rows, text_bytes, trimming, with_uid, word_hashes
 
 #: Jaccard threshold as a fraction: 4 / 5.
 THRESHOLD = (4, 5)
@@ -88,13 +88,21 @@ def word_sketch(docs: DataFrame) -> np.ndarray:
             total += np.bincount(np.concatenate(cells), minlength=len(total))
         yield from slice_rows(total)
 
-    return fold_slices(docs.select("text").mapInArrow(run, "slice int, data binary"), np.add, 1 << SKETCH_BITS)
+    return fold_slices(docs.select("text").mapInArrow(trimming(run), "slice int, data binary"), np.add, 1 << SKETCH_BITS)
+
+
+def sampled(n: np.ndarray) -> np.ndarray:
+    """For a set of n words, the power of two of which one word in so many is in its bitmaps; else large sets fill them."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 192))).astype(np.int64)
 
 
 def bitmaps(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit maps of each set's words."""
-    one = np.uint64(1)
-    return np.bitwise_or.reduceat(one << (h >> np.uint64(58)), first), np.bitwise_or.reduceat(one << ((h >> np.uint64(52)) & np.uint64(63)), first)
+    """Two 64-bit maps of each set's words, half of the words in either."""
+    n = np.diff(np.append(first, len(h)))
+    one, low = np.uint64(1), np.repeat((1 << sampled(n)) - 1, n).astype(np.uint64)
+    bit = np.where((h & low) == 0, one << (h >> np.uint64(58)), np.uint64(0))
+    half = (h >> np.uint64(51)) & one
+    return np.bitwise_or.reduceat(bit * half, first), np.bitwise_or.reduceat(bit * (one - half), first)
 
 
 def rarity_order(owner: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -114,70 +122,81 @@ def _record(*cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in whole], names=list("kxyvzw"))
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, threshold: tuple[int, int]):
+    """For each block of texts (_uid, _by, text): its lines with words, and the words that index them.
+
+    Yields (lo, hi, sig, sig2, uid, by, number) of the lines, and (h, line, size, place) of the
+    prefix words of the first line of each class in the block.
+    """
+    num, den = threshold
+    mask = np.uint64((1 << SKETCH_BITS) - 1)
+    for b in batches:
+        uid, by = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        data, offsets = text_bytes(b.column(2))
+        for i, j in chunks(offsets):
+            part, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            at, row, number = line_starts(part, cut)
+            h, _, _, line = word_hashes(part, at)
+            if not len(h):
+                continue
+            h, line = word_sets(h, line, len(row))
+            first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            n = np.diff(np.append(first, len(h)))
+            lo, hi = set_keys(h, first)
+            lines = line[first]
+            order = by[i:j][row[lines]]
+            one = np.lexsort((order, lo))  # of equal sets the earliest
+            one = one[np.append(True, lo[one][1:] != lo[one][:-1])]
+            chosen = np.zeros(len(first), dtype=bool)
+            chosen[one] = True
+            pick = np.repeat(chosen, n)
+            sig, sig2 = bitmaps(h, first)
+            h, owner = h[pick], np.repeat(np.arange(len(first)), n)[pick]
+            by_count = rarity_order(owner, sketch[(h & mask).astype(np.int64)], h)
+            h, owner = h[by_count], owner[by_count]
+            start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            size = n[owner]
+            place = np.arange(len(h)) - np.repeat(start, n[owner[start]])
+            pre = place < size - (-(-num * size // den)) + 1
+            yield (lo, hi, sig, sig2, uid[i:j][row[lines]], order, number[lines]), (h[pre], owner[pre], size[pre], place[pre])
+
+
 def _entries(docs: DataFrame, sketch: np.ndarray, threshold: tuple[int, int], words: np.ndarray | None = None) -> DataFrame:
     """Index entries (word, class, bitmaps, size and place, order) and, with z < 0, lines (class, row).
 
-    words: bitmap of words; only entries under one of them are made, and no lines.
+    words: bitmap; only entries under one of its words are made, and no lines.
     """
-    num, den = threshold
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((np.minimum(sketch, (1 << 40) - 1), words))  # of fixed size
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+    shared = spark.sparkContext.broadcast((sketch, words))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, only = shared.value
         only = None if only is None else _unpacked(only)
-        for b in batches:
-            uid, by = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            data, offsets = text_bytes(b.column(2))
-            for i, j in chunks(offsets):
-                part, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                at, row, number = line_starts(part, cut)
-                h, _, _, line = word_hashes(part, at)
-                if not len(h):
-                    continue
-                h, line = word_sets(h, line, len(row))
-                first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-                n = np.diff(np.append(first, len(h)))
-                lo, hi = set_keys(h, first)
-                sig, sig2 = bitmaps(h, first)
-                lines = line[first]
-                order = by[i:j][row[lines]]
-                if only is None:
-                    yield _record(lo, uid[i:j][row[lines]], hi, np.zeros(len(lo), np.int64), -1 - number[lines], order)
-                one = np.lexsort((order, lo))  # of equal sets the earliest
-                one = one[np.append(True, lo[one][1:] != lo[one][:-1])]
-                chosen = np.zeros(len(first), dtype=bool)
-                chosen[one] = True
-                pick = np.repeat(chosen, n)
-                h, owner = h[pick], np.repeat(np.arange(len(first)), n)[pick]
-                by_count = rarity_order(owner, sketch[(h & mask).astype(np.int64)], h)
-                h, owner = h[by_count], owner[by_count]
-                start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                size = n[owner]
-                place = np.arange(len(h)) - np.repeat(start, n[owner[start]])
-                pre = place < size - (-(-num * size // den)) + 1
-                if only is not None:
-                    pre &= only[(h & np.uint64(len(only) - 1)).astype(np.int64)]
-                o = owner[pre]
-                if len(o):
-                    yield _record(h[pre], lo[o], sig[o], sig2[o], (size[pre] << 24) | place[pre], order[o])
-
-    return docs.select("_uid", "_by", "text").mapInArrow(run, ENTRY)
+        for (lo, hi, sig, sig2, uid, by, number), (h, o, size, place) in _prefixes(batches, sketch, threshold):
+            if only is None:
+                yield _record(lo, uid, hi, np.zeros(len(lo), np.int64), -1 - number, by)
+            else:
+                pre = only[(h & np.uint64(len(only) - 1)).astype(np.int64)]
+                h, o, size, place = h[pre], o[pre], size[pre], place[pre]
+            if len(o):
+                yield _record(h, lo[o], sig[o], sig2[o], (size << 24) | place, by[o])
+
+    return docs.select("_uid", "_by", "text").mapInArrow(trimming(run), ENTRY)
 
 
 class Meeting:
     """Finds candidate pairs among index entries that are sorted by word.
 
     Up to `all_up_to` earlier candidates of a class under a word are all told.
-    Where there are more, the `best` likeliest by their bitmaps are told and
-    the class is marked; among more than `crowd` classes under one word each is
-    compared with the `leaders` first ones alone and marked. Marked classes
-    that no told pair settles are met again without these limits (`only`:
-    bitmap of classes, one of which each pair must hold).
+    Where there are more, only the `best` are told and the class is marked:
+    the earliest of those that the bitmaps show to be near (so that a large
+    group meets the same few), else the nearest. Among more than `crowd`
+    classes under one word each is compared with the `leaders` first ones alone
+    and marked. Marked classes that no told pair settles are met again without
+    these limits (`only`: bitmap of classes, one of which each pair must hold).
     """
 
-    def __init__(self, threshold: tuple[int, int], all_up_to: int = 8, best: int = 2, crowd: int = 4096, leaders: int = 64, only: np.ndarray | None = None):
+    def __init__(self, threshold: tuple[int, int], all_up_to: int = 1, best: int = 1, crowd: int = 4096, leaders: int = 64, only: np.ndarray | None = None):
         self.num, self.den = threshold
         self.all_up_to, self.best, self.crowd, self.leaders, self.only = all_up_to, best, crowd, leaders, only
 
@@ -190,22 +209,26 @@ class Meeting:
         small, ps = np.minimum(ni, no), np.where(ni <= no, pi, po)
         fits = (self.num * np.maximum(ni, no) <= self.den * small) & (ps <= small - (-(-2 * self.num * small // (self.num + self.den))))
         fits &= np.minimum(ni - pi, no - po) >= need  # holds at the first word that a similar pair shares
-        only_i = np.maximum(_bits(y[i] & ~y[o]), _bits(v[i] & ~v[o]))
-        only_o = np.maximum(_bits(y[o] & ~y[i]), _bits(v[o] & ~v[i]))
+        alike = c["sampled"][i] == c["sampled"][o]  # else the maps can't be compared
+        only_i = np.where(alike, _bits(y[i] & ~y[o]) + _bits(v[i] & ~v[o]), 0)
+        only_o = np.where(alike, _bits(y[o] & ~y[i]) + _bits(v[o] & ~v[i]), 0)
         fits &= (only_i <= ni - need) & (only_o <= no - need) & (c["x"][i] != c["x"][o])
-        if self.only is not None:
-            fits &= c["only"][i] | c["only"][o]
-        return fits, only_i + only_o
+        # how far apart: 0 if at most half of what the threshold allows
+        apart = only_i + only_o
+        return fits, np.where(2 * apart * (self.num + self.den) <= both * (self.den - self.num), 0, apart)
 
     def _told(self, c, late, early, apart):
         """Limit the candidates of each later class: (late, early, marked classes)."""
-        if self.only is not None or not len(late):
+        if self.only is not None:  # of equal order either may be the later one
+            keep = c["only"][late] | (c["only"][early] & (c["w"][late] == c["w"][early]))
+            return late[keep], early[keep], late[:0]
+        if not len(late):
             return late, early, late[:0]
         count = np.bincount(late)
         many = count[late] > self.all_up_to
         if not many.any():
             return late, early, late[:0]
-        order = np.lexsort((apart, late))
+        order = np.lexsort((early, apart, late))
         late, early, many = late[order], early[order], many[order]
         start = np.cumsum(np.append(0, count[:-1]))
         rank = np.arange(len(late)) - start[late]
@@ -238,8 +261,9 @@ class Meeting:
         fresh[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
         order, k, x, w = order[fresh], k[fresh], x[fresh], w[fresh]
         again = np.lexsort((x, w, k))  # within a word by first place
-        k, x, order = k[again], x[again], order[again]
-        c = {"x": x, "y": y[order].view(np.uint64), "v": v[order].view(np.uint64), "n": z[order] >> 24, "place": z[order] & 0xFFFFFF}
+        k, x, w, order = k[again], x[again], w[again], order[again]
+        c = {"x": x, "w": w, "y": y[order].view(np.uint64), "v": v[order].view(np.uint64), "n": z[order] >> 24, "place": z[order] & 0xFFFFFF}
+        c["sampled"] = sampled(c["n"])
         if self.only is not None:
             c["only"] = self.only[x & (len(self.only) - 1)]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
@@ -303,7 +327,7 @@ ENTRY = "k long, x long, y long, v long, z long, w long"
 
 
 def met(entries: DataFrame, meeting: Meeting) -> DataFrame:
-    return entries.repartition("k").sortWithinPartitions("k").mapInArrow(meeting, MET)
+    return entries.repartition("k").sortWithinPartitions("k").mapInArrow(trimming(meeting), MET)
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
@@ -315,7 +339,7 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
             bits[b.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] = True
         yield from slice_rows(np.packbits(bits).view(np.int64))
 
-    return fold_slices(keys.mapInArrow(run, "slice int, data binary"), np.bitwise_or, (1 << WANTED_BITS) // 64)
+    return fold_slices(keys.mapInArrow(trimming(run), "slice int, data binary"), np.bitwise_or, (1 << WANTED_BITS) // 64)
 
 
 def _unpacked(bits: np.ndarray) -> np.ndarray:
@@ -347,7 +371,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 text = [raw[at[x] : at[x + 1]].decode() for x in line[first[one]]]
                 yield pa.RecordBatch.from_arrays([pa.array(lo[one].view(np.int64)), pa.array(hi[one].view(np.int64)), pa.array(text, pa.string())], names=["lo", "hi", "line_text"])
 
-    return docs.select("_uid", "text").mapInArrow(run, "lo long, hi long, line_text string")
+    return docs.select("_uid", "text").mapInArrow(trimming(run), "lo long, hi long, line_text string")
 
 
 def _order_key(docs: DataFrame):
@@ -376,21 +400,24 @@ def _late(docs: DataFrame, near: DataFrame, firsts: DataFrame, threshold: tuple[
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(same)) for c in batch.columns[2:]], names=batch.schema.names[2:])
 
     kept = ["a", "hi_a", "first_a", "b", "hi_b", "first_b"]
-    links = both.select("t_a", "t_b", *kept).mapInArrow(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in kept))
+    links = both.select("t_a", "t_b", *kept).mapInArrow(trimming(run), ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in kept))
     later = F.when(F.col("first_a") < F.col("first_b"), F.struct(F.col("b").alias("lo"), F.col("hi_b").alias("hi"))).otherwise(F.struct(F.col("a").alias("lo"), F.col("hi_a").alias("hi")))
     return links.select(later.alias("c")).select("c.lo", "c.hi").distinct()
 
 
-def _prefix_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(k): the words of the lines of classes (lo, uid), and of few others."""
-    lines = _texts(docs, classes).join(classes, "lo", "left_semi").select("line_text")
+def _prefix_words(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Bitmap of fixed size of the words that index the lines of classes (lo, uid), and of few others."""
+    lines = materialize(_texts(docs, classes).join(classes, "lo", "left_semi").select("line_text"), "lines")
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, *_ = word_hashes(*text_bytes(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["k"])
+        bits = np.zeros(1 << WANTED_BITS, dtype=bool)
+        for _, (h, *_) in _prefixes(batches, shared.value, threshold):
+            bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        yield from slice_rows(np.packbits(bits).view(np.int64))
 
-    return lines.mapInArrow(run, "k long")
+    rows = lines.select(F.lit(0).cast("long").alias("_uid"), F.lit(0).cast("long").alias("_by"), F.col("line_text").alias("text"))
+    return fold_slices(rows.mapInArrow(trimming(run), "slice int, data binary"), np.bitwise_or, (1 << WANTED_BITS) // 64)
 
 
 def line_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, **limits) -> tuple[DataFrame, DataFrame]:
@@ -406,7 +433,7 @@ def line_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, **limi
     open_ = materialize(firsts.join(open_, "lo", "left_semi").select("lo", "first.uid"), "open")
     if not open_.isEmpty():
         rest = Meeting(threshold, only=_unpacked(bitmap_of(open_.select("lo"))))
-        more = met(_entries(docs, sketch, threshold, bitmap_of(_prefix_words(docs, open_))), rest).where("kind = 0").select("a", "b").distinct()
+        more = met(_entries(docs, sketch, threshold, _prefix_words(docs, open_, sketch, threshold)), rest).where("kind = 0").select("a", "b").distinct()
         late = materialize(late.union(_late(docs, more, firsts, threshold)).distinct(), "late")
     classes = firsts.join(late.withColumn("late", F.lit(True)), ["lo", "hi"], "left").select("lo", "hi", "first", F.col("late").isNull().alias("first_stays"))
     return lines, materialize(classes, "classes")
