@@ -28,6 +28,7 @@ through.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import _BYTE, chunks, materialize, mix64, near_keys, powers, shelve, text_bytes, with_uid
+from loomgraph.llm.common import _BYTE, chunks, materialize, mix64, near_keys, powers, shelve, text_bytes, trimming, with_uid
 from loomgraph.llm.line_dedup import _order_key
 
 LENGTH = 400
-CROWD = 256
+CROWD = 32_768
 BLOCK = 16
 PIECE = 1 << 19
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -83,6 +84,8 @@ def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     for end in row_of_end[:-1]:  # no gram crosses two texts
         x[max(0, end - k + 1) : end] = _MAX
     low = _slide(x, w, np.minimum, _MAX)
+    for end in row_of_end[:-1]:  # nor does any string
+        low[max(0, end - length + 1) : end] = 0
     lowest = np.zeros(len(x), dtype=np.uint64)
     lowest[w - 1 : len(low)] = _slide(low, w, np.maximum, 0) if len(low) >= w else 0
     # near the ends fewer windows hold a place
@@ -124,7 +127,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                         cols = [g.view(np.int64), r.view(np.int64), uid[i:j][row], by[i:j][row], pos, (left << 32) | right]
                         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["g", "r", "u", "o", "pos", "lr"])
 
-    return docs.select("_uid", "_by", "text").mapInArrow(run, "g long, r long, u long, o long, pos long, lr long")
+    return docs.select("_uid", "_by", "text").mapInArrow(trimming(run), "g long, r long, u long, o long, pos long, lr long")
 
 
 def _blocks(n: int, length: int):
@@ -181,34 +184,26 @@ def matches(regions: list[tuple[bytes, int, tuple]], length: int, keep_first: bo
     back = [b[:left][::-1] for b, left, _ in regions]
     by_left = sorted(range(m), key=back.__getitem__)
     shared = [0] + [lcp(back[by_left[i - 1]], back[by_left[i]]) for i in range(1, m)]
-    suffixes = []
-    for i, x in enumerate(by_left):
-        parts = set()
-        for step in (range(i, 0, -1), range(i + 1, m)):
-            now = 1 << 62
-            for j in step:
-                now = min(now, shared[j])
-                parts.add(now)
-                if not now:
-                    break
-        b, left, _ = regions[x]
-        suffixes += [(p, b[left - p :], x) for p in parts]
-    suffixes.sort()
+    # how many bytes before the anchor a region shares with others: the distinct minima of runs of `shared` on either side
+    sharing: dict[int, set[int]] = defaultdict(set)
+    for steps in ([(i, i) for i in range(1, m)], [(i, i + 1) for i in range(m - 2, -1, -1)]):
+        rising: list[int] = []
+        for i, j in steps:
+            while rising and rising[-1] >= shared[j]:
+                rising.pop()
+            rising.append(shared[j])
+            for p in rising:
+                sharing[p].add(by_left[i])
     out = []
-    i = 0
-    while i < len(suffixes):
-        j = i
-        while j < len(suffixes) and suffixes[j][0] == suffixes[i][0]:
-            j += 1
-        run = suffixes[i:j]
-        common = [0] + [lcp(run[k - 1][1], run[k][1]) for k in range(1, len(run))]
-        places = [regions[x][2] for _, _, x in run]
+    for p, members in sharing.items():  # one suffix array for each such place
+        run = sorted((regions[x][0][regions[x][1] - p :], x) for x in members)
+        common = [0] + [lcp(run[k - 1][0], run[k][0]) for k in range(1, len(run))]
+        places = [regions[x][2] for _, x in run]
         best = longest_previous(places, common)
         if not keep_first:  # and the longest later match: the same with positions turned round
-            rank = {p: -k for k, p in enumerate(sorted(places))}
-            best = list(map(max, best, longest_previous([rank[p] for p in places], common)))
-        out += [(x, p, n) for (p, _, x), n in zip(run, best, strict=True) if n >= length]
-        i = j
+            rank = {q: -k for k, q in enumerate(sorted(places))}
+            best = list(map(max, best, longest_previous([rank[q] for q in places], common)))
+        out += [(x, p, n) for (_, x), n in zip(run, best, strict=True) if n >= length]
     return out
 
 
@@ -228,7 +223,7 @@ def _cut_regions(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 cut = [raw[p - (v >> 32) : p + (v & 0xFFFFFFFF)] for p, v in zip(pos.tolist(), lr.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(pos), pa.int64()), *(parts.field(f) for f in fields), pa.array(cut, pa.binary())], names=["u", *fields, "bytes"])
 
-    return found.select("_uid", "text", "parts").mapInArrow(run, f"u long, {kinds}, bytes binary")
+    return found.select("_uid", "text", "parts").mapInArrow(trimming(run), f"u long, {kinds}, bytes binary")
 
 
 COVER = "u long, a long, b long"
@@ -262,7 +257,7 @@ def _by_suffixes(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
             yield _covers(out)
         yield _covers(told())
 
-    return cut.select("g", "u", "o", "pos", "lr", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(run, COVER)
+    return cut.select("g", "u", "o", "pos", "lr", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(trimming(run), COVER)
 
 
 def _by_strings(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -280,7 +275,7 @@ def _by_strings(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 if size > 1:  # blocks lie at fixed places from the anchor; a text's ends cut them short
                     first = -left
                     last = n - left - length
-                    lo = -(-(length) // BLOCK) * BLOCK
+                    lo = 1 << 20
                     blocks = (last + lo) // BLOCK - (first + lo) // BLOCK + 1
                     k = np.repeat(np.arange(len(n)), blocks)
                     number = (first[k] + lo) // BLOCK + _ramp(blocks)
@@ -296,17 +291,21 @@ def _by_strings(cut: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 whole = np.asarray((z - a == size - 1))
                 h = sums.of(base + z, base + a + length)
                 h = np.where(whole, mix64(h ^ (a + (1 << 20)).astype(np.uint64)), np.uint64(0))
-                cols = [b.column(0).to_numpy()[k], b.column(1).to_numpy()[k], b.column(2).to_numpy()[k], pos[k], np.where(whole, h, 0).view(np.int64), a, z, np.where(whole, 1, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["g", "u", "o", "pos", "h", "a", "z", "whole"])
+                cols = [b.column(0).to_numpy()[k], b.column(1).to_numpy()[k], b.column(2).to_numpy()[k], pos[k], np.where(whole, h, 0).view(np.int64), a, z, np.where(whole, (a + (1 << 20)) // BLOCK, -1 - (a + (1 << 20)) // BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["g", "u", "o", "pos", "h", "a", "z", "block"])
 
         return run
 
-    shape = "g long, u long, o long, pos long, h long, a long, z long, whole long"
-    blocks = cut.select("g", "u", "o", "pos", "lr", "bytes").mapInArrow(hashed(BLOCK), shape)
+    shape = "g long, u long, o long, pos long, h long, a long, z long, block long"  # block: -1 - number if a text's end cuts it short
+    blocks = cut.select("g", "u", "o", "pos", "lr", "bytes").mapInArrow(trimming(hashed(BLOCK)), shape)
     blocks = materialize(blocks, "blocks")
-    often = blocks.where("whole = 1").groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h")
-    open_ = blocks.where("whole = 1").join(often, ["g", "h"]).select("g", "u", "pos", "a", "z").union(blocks.where("whole = 0").select("g", "u", "pos", "a", "z"))
-    singles = materialize(cut.select("g", "u", "o", "pos", "lr", "bytes").join(open_, ["g", "u", "pos"]).select("g", "u", "o", "pos", "lr", "bytes", "a", "z").mapInArrow(hashed(1), shape), "strings")
+    whole, short = blocks.where("block >= 0"), blocks.where("block < 0")
+    often = whole.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h")
+    # a block cut short may hold strings of a whole one that is the only one of its kind
+    beside = short.select("g", (-1 - F.col("block")).alias("block")).distinct()
+    kept = ["g", "u", "pos", "a", "z"]
+    open_ = whole.join(often, ["g", "h"], "left_semi").select(*kept).union(whole.join(beside, ["g", "block"], "left_semi").select(*kept)).distinct().union(short.select(*kept))
+    singles = materialize(cut.select("g", "u", "o", "pos", "lr", "bytes").join(open_, ["g", "u", "pos"]).select("g", "u", "o", "pos", "lr", "bytes", "a", "z").mapInArrow(trimming(hashed(1)), shape), "strings")
     place = F.struct("o", "u", "pos")
     many = singles.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("g", "h", "first")
     hit = singles.join(many, ["g", "h"])
@@ -381,7 +380,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep_first: bool = T
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(left, pa.string())], names=[*b.schema.names[2:], "text"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
-    cut = cut.select("text", "spans", *rest).mapInArrow(run, f"{kinds}, text string").where(F.trim("text") != "")
+    cut = cut.select("text", "spans", *rest).mapInArrow(trimming(run), f"{kinds}, text string").where(F.trim("text") != "")
     if "n_chars" in rest:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return restore(whole.union(cut.select(*rest, "text")))
@@ -403,4 +402,4 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), pa.int64()) for c in cols[:3]), pa.array(list(cols[3]), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(trimming(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
