@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, text_bytes
+from loomgraph.llm.common import chunks, lean, text_bytes, trimming
 
 ORDER = 3
 #: Expected labelled rows of each language that the statistics are learned from.
@@ -38,7 +38,7 @@ PER_LANG = 400
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def held_out(doc_id, parts: int, held: int):
@@ -74,7 +74,7 @@ def context_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     keys, counts = np.unique(gram, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(trimming(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _ramp(n: np.ndarray) -> np.ndarray:
@@ -171,6 +171,7 @@ class Model:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Model:
     """Fit on a bounded sample of the rows that have a lang."""
+    lean(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL")
     rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     spread = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
@@ -184,6 +185,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Mode
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns of keep, lang_pred and score of every row."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
 
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             lang = np.where(known, np.array([*m.langs, UNKNOWN], dtype=object)[best], UNKNOWN)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(trimming(run), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, components, fold_slices, materialize, mix64, near_keys, shelve, slice_rows, text_bytes, with_uid, word_hashes
+from loomgraph.llm.common import chunks, components, fold_slices, materialize, mix64, near_keys, shelve, slice_rows, text_bytes, trimming, with_uid, word_hashes
 from loomgraph.llm.line_dedup import ENTRY, SKETCH_BITS, Meeting, _order_key, _record, bitmaps, met, rarity_order
 
 WORDS = 5
@@ -150,7 +150,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     names=["uid", "by", "lo", "hi", "full", "sketch"],
                 )
 
-    return docs.select("_uid", "_by", "text").mapInArrow(run, "uid long, by long, lo long, hi long, full boolean, sketch array<long>")
+    return docs.select("_uid", "_by", "text").mapInArrow(trimming(run), "uid long, by long, lo long, hi long, full boolean, sketch array<long>")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> Da
                     total[i + k] = len(p) + len(q) - m[i + k]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m), pa.array(total)], names=["a", "b", "m", "all"])
 
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long, m long, all long")
+    return both.select("a", "b", "s", "t").mapInArrow(trimming(run), "a long, b long, m long, all long")
 
 
 def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -195,7 +195,7 @@ def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -
                 total += np.bincount((s & mask).astype(np.int64), minlength=len(total))
         yield from slice_rows(total)
 
-    rarity = fold_slices(texts.select("text").mapInArrow(count, "slice int, data binary"), np.add, 1 << SKETCH_BITS)
+    rarity = fold_slices(texts.select("text").mapInArrow(trimming(count), "slice int, data binary"), np.add, 1 << SKETCH_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -
                 o = owner[pre]
                 yield _record(s[pre], ids[i:j][o], sig[0, o], sig[1, o], (size[pre] << 24) | place[pre], ids[i:j][o])
 
-    rows = texts.select("id", "text").mapInArrow(entries, ENTRY)
+    rows = texts.select("id", "text").mapInArrow(trimming(entries), ENTRY)
     # no limits: every pair that passes the filters
     return met(rows, Meeting(threshold, all_up_to=1 << 62, crowd=1 << 62)).where("kind = 0").select("a", "b").distinct()
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, materialize, text_bytes
+from loomgraph.llm.common import chunks, lean, materialize, text_bytes, trimming
 
 CAPACITY = 2048
 END_ID = 0
@@ -96,6 +96,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
+    lean(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -123,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimming(run), schema)
 
 
 # ------------------------------------------------------------ the packing plan
@@ -351,7 +352,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             off = t["at"][i] + k % t["each"][i] * length
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    return ranked.select(*names, "_rank").mapInArrow(trimming(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

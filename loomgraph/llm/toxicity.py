@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import _BYTE, chunks, mix64, powers, shared_dir, text_bytes, word_hashes
+from loomgraph.llm.common import _BYTE, chunks, mix64, powers, lean, text_bytes, trimming, word_hashes
 from loomgraph.llm.langid import held_out
 
 #: Bytes of the word beginnings that stand beside whole words.
@@ -117,7 +117,7 @@ def mined_words(sample: DataFrame) -> tuple[np.ndarray, int, float]:
     sizes = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
     if not sizes[0] or not sizes[1]:
         return np.zeros(0, dtype=np.uint64), 0, 0.0
-    counts = sample.mapInArrow(run, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.mapInArrow(trimming(run), "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (sizes[0] + 1)) - F.log((F.col("good") + 0.5) / (sizes[1] + 1))
     told = counts.where("bad >= 6").withColumn("odds", odds).where("odds > 1.5").withColumn("gain", F.col("odds") * F.sqrt(F.col("bad"))).orderBy(F.desc("gain"), "h").limit(WORDS).toPandas()
     sure = (told["bad"] >= 5) & (told["bad"] * sizes[1] > 20 * (told["good"] + 0.5) * sizes[0])
@@ -163,7 +163,7 @@ def votes(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     cells[r].append(len(shared.value) + c)
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.int32())), b.column(1).slice(i, j - i)], names=["cells", "toxic"])
 
-    sample = docs.select("text", "toxic").mapInArrow(run, "cells array<int>, toxic int").toPandas()
+    sample = docs.select("text", "toxic").mapInArrow(trimming(run), "cells array<int>, toxic int").toPandas()
     found = sample["cells"]
     x = np.zeros((len(found), len(words) + PATTERNS), dtype=np.float32)
     for i, cells in enumerate(found):
@@ -266,10 +266,10 @@ def scored(docs: DataFrame, model: Scorer | None, *keep: str) -> DataFrame:
                 out[i:j] = score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(trimming(run), schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)  # batches of a size for whole texts
+    lean(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
     return scored(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id", "held_out")
