@@ -196,7 +196,7 @@ class Meeting:
     these limits (`only`: bitmap of classes, one of which each pair must hold).
     """
 
-    def __init__(self, threshold: tuple[int, int], all_up_to: int = 1, best: int = 1, crowd: int = 4096, leaders: int = 64, only: np.ndarray | None = None):
+    def __init__(self, threshold: tuple[int, int], all_up_to: int = 4, best: int = 2, crowd: int = 4096, leaders: int = 64, only: np.ndarray | None = None):
         self.num, self.den = threshold
         self.all_up_to, self.best, self.crowd, self.leaders, self.only = all_up_to, best, crowd, leaders, only
 
