@@ -15,5 +15,6 @@ QUERIES = {
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 ORACLES = {
+    "op2_embedding_near_dedup": embedding_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
