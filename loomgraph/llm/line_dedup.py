@@ -34,7 +34,7 @@ THRESHOLD = (4, 5)
 SKETCH_BITS = 20
 #: Bits of the fixed bitmap of classes that have candidates.
 WANTED_BITS = 23
-BUFFER = 1 << 18
+BUFFER = 1 << 16
 
 
 def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,8 +274,8 @@ class Meeting:
         out = [self._told(c, *self._small(c, np.flatnonzero(few[run_of]), run_of))]
         for a, b in zip(start[size > 64], end[size > 64], strict=True):
             crowd = b - a > self.crowd and self.only is None
-            for s in range(a, b, 64):
-                late = np.arange(s, min(b, s + 64))
+            for s in range(a, b, 32):
+                late = np.arange(s, min(b, s + 32))
                 early = np.arange(a, min(a + self.leaders, late[-1]) if crowd else late[-1])
                 i, o = (g.ravel() for g in np.meshgrid(late, early, indexing="ij"))
                 i, o = i[o < i], o[o < i]
