@@ -11,8 +11,10 @@ band is as wide as any alignment that reaches the threshold can need.
 Equal texts form one class and are compared once. In a bucket of texts with a
 common value each is compared with a leader (the one that shares most values
 with others) instead of with all. Those that don't match their leader get
-another one; what is left after `ROUNDS` leaders is joined by an exact prefix
-filter on shingles, so that no bucket has a cap. Groups are connected
+another one, `ROUNDS` times. A bucket whose texts are then in one component is
+settled. In the others every text that failed a leader is joined with all the
+bucket's texts, matched ones too, by an exact prefix filter on shingles, so that
+no bucket has a cap; pairs within a component are not made. Groups are connected
 components of links; the smallest doc_id of each stays.
 
 Defined results: texts without words are in no group and stay; texts of fewer
@@ -180,10 +182,22 @@ def _verify(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> Da
     return both.select("a", "b", "s", "t").mapInArrow(trimming(run), "a long, b long, m long, all long")
 
 
+class Apart(Meeting):
+    """Meets only texts of two components of which one at least failed a leader (w: twice the component, plus 1 if so)."""
+
+    def _fits(self, c, i, o):
+        w = c["w"]
+        fits = (w[i] >> 1 != w[o] >> 1) & ((w[i] | w[o]) & 1 > 0)
+        apart = np.zeros(len(i), dtype=np.int64)
+        at = np.flatnonzero(fits)
+        fits[at], apart[at] = super()._fits(c, i[at], o[at])
+        return fits, apart
+
+
 def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Exact candidates among ids: pairs that may share the threshold of labelled shingles."""
+    """Exact candidates among ids (id, w: see Apart): pairs that may share the threshold of labelled shingles."""
     num, den = threshold
-    texts = materialize(_texts_of(docs, ids), "rest")
+    texts = materialize(_texts_of(docs, ids.select("id")).join(ids, "id"), "rest")
     mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +215,7 @@ def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, w = b.column(0).to_numpy(), b.column(2).to_numpy()
             data, offsets = text_bytes(b.column(1))
             for i, j in chunks(offsets):
                 s, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -217,11 +231,11 @@ def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -
                 place = np.arange(len(s)) - bounds[owner]
                 pre = place < size - (-(-num * size // den)) + 1
                 o = owner[pre]
-                yield _record(s[pre], ids[i:j][o], sig[0, o], sig[1, o], (size[pre] << 24) | place[pre], ids[i:j][o])
+                yield _record(s[pre], ids[i:j][o], sig[0, o], sig[1, o], (size[pre] << 24) | place[pre], w[i:j][o])
 
-    rows = texts.select("id", "text").mapInArrow(trimming(entries), ENTRY)
+    rows = texts.select("id", "text", "w").mapInArrow(trimming(entries), ENTRY)
     # no limits: every pair that passes the filters
-    return met(rows, Meeting(threshold, all_up_to=1 << 62, crowd=1 << 62)).where("kind = 0").select("a", "b").distinct()
+    return met(rows, Apart(threshold, all_up_to=1 << 62, crowd=1 << 62)).where("kind = 0").select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
@@ -237,7 +251,8 @@ def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds:
     rank = drawn.groupBy("id").agg(F.sum("n").alias("rank"))
     now = materialize(drawn.select("v", "id", "by").join(rank, "id"), "ranked")
     known = docs.sparkSession.createDataFrame([], "a long, b long, same boolean")
-    for _ in range(rounds):
+    failed = drawn.select("v", "id")
+    for k in range(rounds):
         leaders = now.groupBy("v").agg(F.max(F.struct("rank", (-F.col("by")).alias("by"), (-F.col("id")).alias("id"))).alias("top"))
         led = materialize(now.join(leaders.select("v", (-F.col("top.id")).alias("b")), "v").where("id <> b"), "led")
         pairs = led.select(F.col("id").alias("a"), "b").distinct()
@@ -247,16 +262,28 @@ def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds:
         known = known.union(told)
         left = led.join(known.select(F.col("a").alias("id"), "b", "same"), ["id", "b"]).where("NOT same").select("v", "id", "by", "rank")
         left = materialize(left, "left")
+        failed = failed if k else left.select("v", "id")  # later rounds' are among the first one's
         now = left.join(left.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "v").drop("n")
         if now.isEmpty():
             break
-    else:
-        ids = now.select("id").distinct()
-        more = _prefix_pairs(docs, ids, threshold).join(known, ["a", "b"], "left_anti")
-        told = _verify(docs, more, threshold).select("a", "b", (F.col("m") * den >= F.col("all") * num).alias("same"))
-        known = known.union(materialize(told, "told"))
-    links = materialize(known.where("same").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
+    links = materialize(known.where("same").select("a", "b"), "links")
     roots = components(links)
+    # of two texts that failed no leader of their bucket no pair is missing, nor of two in one component, nor in a bucket of two
+    held = drawn.select("v", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = materialize(held, "held")
+    open_ = held.groupBy("v").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where(f"low <> high AND n > {2 if rounds else 1}").select("v")
+    open_ = materialize(open_, "open")
+    marked = failed.join(open_, "v", "left_semi").select("id").distinct().withColumn("marked", F.lit(1))
+    ids = held.join(open_, "v", "left_semi").select("id", "root").distinct().join(marked, "id", "left")
+    ids = materialize(ids.select("id", (F.col("root") * 2 + F.coalesce("marked", F.lit(0))).alias("w")), "ids")
+    if not ids.isEmpty():
+        more = _prefix_pairs(docs, ids, threshold).join(known, ["a", "b"], "left_anti")
+        told = _verify(docs, more, threshold).where(F.col("m") * den >= F.col("all") * num).select("a", "b")
+        told = materialize(told, "told")
+        if not told.isEmpty():
+            links = links.union(told)
+            roots = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     grouped = classes.select("lo", "hi", "id", "by", "n").join(roots, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
     grouped = materialize(grouped, "grouped")

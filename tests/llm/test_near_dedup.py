@@ -106,3 +106,28 @@ def test_alignment_is_exact():
             assert m == true
         else:
             assert 5 * m < 4 * (len(x) + len(y) - m)
+
+
+def family(seed):
+    """A text, a copy x of it, a copy of x that is no longer similar to the text, and two texts nearer to the first."""
+    r = random.Random(seed)
+
+    def copy(words, places):
+        words = list(words)
+        for k in places:
+            words[k] = f"n{r.randrange(10**9)}"
+        return words
+
+    lead = [f"s{seed}w{i}" for i in range(120)]
+    x = copy(lead, [r.randrange(0, 30), r.randrange(30, 60)])
+    y = copy(x, [r.randrange(60, 90), r.randrange(90, 120)])
+    return [" ".join(w) for w in (lead, x, y, *(copy(lead, [r.randrange(120)]) for _ in range(2)))]
+
+
+def test_copy_of_a_copy_that_matches_no_leader(spark):
+    # in every bucket that x and y share, x matches the leader and y does not
+    texts = [t for seed in (121, 162, 165, 169, 206, 397) for t in family(seed)]
+    numbered = with_uid(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {r["_uid"]: r["doc_id"] for r in numbered.collect()}
+    got = {ids[r["_uid"]]: ids[r["keep_uid"]] for r in near_groups(numbered).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts) == [i - i % 5 for i in range(len(texts))]
