@@ -190,7 +190,9 @@ class Meeting:
     Up to `all_up_to` earlier candidates of a class under a word are all told.
     Where there are more, only the `best` are told and the class is marked:
     the earliest of those that the bitmaps show to be near (so that a large
-    group meets the same few), else the nearest. Among more than `crowd`
+    group meets the same few), else the nearest. Classes of equal order may sort
+    the wrong way round, so the earlier one of such a pair that is not told is
+    marked too. Among more than `crowd`
     classes under one word each is compared with the `leaders` first ones alone
     and marked. Marked classes that no told pair settles are met again without
     these limits (`only`: bitmap of classes, one of which each pair must hold).
@@ -233,7 +235,8 @@ class Meeting:
         start = np.cumsum(np.append(0, count[:-1]))
         rank = np.arange(len(late)) - start[late]
         keep = ~many | (rank < self.best)
-        return late[keep], early[keep], np.unique(late[many])
+        tied = ~keep & (c["w"][late] == c["w"][early])  # the class that sorts first may be the later line
+        return late[keep], early[keep], np.unique(np.concatenate([late[many], early[tied]]))
 
     def _small(self, c, alive, run_of):
         """Runs of few classes, all at once: rows alive."""

@@ -64,3 +64,20 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([Row(doc_id=1, text="a b c d e"), Row(doc_id=1, text="a b c d e"), Row(doc_id=None, text="q r s")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in dedup_lines(docs).collect()) == ["1", "None"]
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_more_candidates_than_told_of_one_document(spark):
+    # B has candidates C1 to C5 of earlier documents and A, a later line of its own document, that only B is similar to
+    rows, doc = [], 0
+    for f in range(12):
+        b = [f"f{f}w{i}" for i in range(20)]
+        alter = lambda name, places: " ".join(f"f{f}{name}{i}" if i in places else w for i, w in enumerate(b))  # noqa: E731, B023
+        for c in range(5):
+            rows.append((doc + c, alter(f"c{c}x", (8 + 2 * c, 9 + 2 * c))))
+        rows.append((doc + 5, " ".join(b) + "\n" + alter("a", (18, 19))))
+        rows.append((doc + 6, "\n".join(w for w in b[3:] for _ in range(30))))  # so that all meet under few words
+        doc += 7
+    numbered = with_uid(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = {r["_uid"]: r["doc_id"] for r in numbered.collect()}
+    got = {(names[r["_uid"]], k) for r in removed_lines(numbered).collect() for k in r["removed_lines"]}
+    assert got == brute(rows)
