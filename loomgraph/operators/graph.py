@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.edges import collapsed, neighbours
+from loomgraph.operators.similarity import knn_join
 
 
 def nodes(ideas: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,12 +55,10 @@ def visible(ideas: DataFrame, text: str | None = None, domains: list[str] | None
     return out if not text else out.where(F.contains(F.lower("statement"), F.lit(text.lower())))
 
 
-def similar_unlinked(near: DataFrame, edges: DataFrame, k: int = 25) -> DataFrame:
-    """The k nearest (query, candidate, score) pairs of each query that are no neighbours."""
+def similar_unlinked(vectors: DataFrame, edges: DataFrame, k: int = 25) -> DataFrame:
+    """(query, candidate, score, rank): the k nearest other ideas (id, vec) of each, of any score, that are no neighbours."""
     linked = neighbours(edges).select(F.col("id").alias("query"), F.col("other").alias("candidate"))
-    left = near.join(linked, ["query", "candidate"], "left_anti")
-    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate"))
-    return left.withColumn("rank", n.cast("long")).where(F.col("rank") <= k)
+    return knn_join(vectors, vectors, k, exclude=linked).select("query", "candidate", "score", "rank")
 
 
 def best_match(ideas: DataFrame, degree: DataFrame, text: str) -> DataFrame:

@@ -300,8 +300,8 @@ def domain_top8(spark, sf_dir):
 
 @query(f"{_EDGES}, nb AS (SELECT source AS qid, target AS cid FROM edges UNION SELECT target, source FROM edges), f AS (SELECT qid, cid, score FROM near ANTI JOIN nb USING (qid, cid)) SELECT qid AS query, cid AS candidate, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM f QUALIFY rank <= 25")
 def similar_unlinked(spark, sf_dir):
-    near = I.candidates(_ideas(spark, sf_dir).select("id", "statement")).select(F.col("id").alias("query"), "candidate", "score")
-    return G.similar_unlinked(near, _edges(spark, sf_dir))
+    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon")
+    return G.similar_unlinked(I.embedded(ideas.select("id", "statement")), _edges(spark, sf_dir))
 
 
 @query(f"WITH {_IDEAS} SELECT doc_id, statement FROM ideas WHERE contains(lower(statement), 'tion')")
