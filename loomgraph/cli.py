@@ -1,12 +1,14 @@
-"""Commands: research, ingest, ideas, vaults, graph."""
+"""Commands: research, ingest, ideas, vaults, graph, pdf."""
 
 from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
 from loomgraph import agent, config
+from loomgraph.models import make_model
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--mode", choices=("depth", "breadth"), default="depth")
     r.add_argument("--budget", type=int, default=50)
     r.add_argument("--seed-idea", action="append", default=[])
+    r.add_argument("--input", action="append", default=[], help="a document of your own to start from")
     g = r.add_mutually_exclusive_group()
     g.add_argument("--resume", action="store_true")
     g.add_argument("--new", action="store_true")
@@ -28,9 +31,25 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("graph")
     v.add_argument("-o", "--out", default="graph.html")
     v.add_argument("--title", default="Ideas")
+    f = sub.add_parser("pdf")
+    f.add_argument("report", help="a Markdown report")
     return p
 
 
+def documents(spark, vault, paths: list[str], complain) -> list[tuple[str, str, str]]:
+    """(id, name, text) of the readable documents at paths; complain(name, error) of the others."""
+    from loomgraph.sources.files import read_documents
+
+    out = []
+    for path in paths:
+        for r in read_documents(spark, path).toLocalIterator():
+            if r["error"] is None and (r["abstract"] or "").strip():
+                out.append((r["pmid"], r["title"], r["abstract"]))
+            else:
+                complain(r["source"], r["error"] or "no text")
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
@@ -38,22 +57,33 @@ def main(argv: list[str] | None = None) -> int:
     from loomgraph.operators.store import Vault
 
     args = parser().parse_args(argv)
+    if args.command == "pdf":
+        try:
+            print(agent.render_pdf(args.report))
+        except (ImportError, OSError) as e:
+            print(f"no PDF: {e}", file=sys.stderr)
+            return 1
+        return 0
     settings = config.load(".env")
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     root = os.path.abspath(settings["vaults"])
     vault = Vault(spark, root, args.vault)
+    bad: list[str] = []
+
+    def complain(name: str, error: str) -> None:
+        bad.append(name)
+        print(f"{name}: {error}", file=sys.stderr)
+
     if args.command == "ingest":
-        from loomgraph.sources.files import read_documents
-
-        bad = 0
-        for path in args.files:
-            found = read_documents(spark, path, vault.read("papers"))
-            for r in found.where("error IS NOT NULL").select("source", "error").toLocalIterator():
-                print(f"{r['source']}: {r['error']}", file=sys.stderr)
-                bad += 1
-            good = found.where("error IS NULL").select("pmid", "title", "abstract", F.lit("").alias("journal"), F.lit("").alias("year"), F.array().cast("array<string>").alias("mesh"), "source", F.lit(None).cast("string").alias("summary"))
-            vault.upsert("papers", good)
-        return int(bad > 0)
+        model = make_model(settings)
+        memory = agent.Memory.load(vault, model.vectors)
+        desk = agent.Research("", "depth", lambda t, n: [], lambda p: None, model, memory, settings=settings, log=print)
+        for pmid, name, text in documents(spark, vault, args.files, complain):
+            known = pmid in memory.done
+            list(desk.seeds(inputs=[(pmid, name, text)]))
+            print(f"{name}: {'known' if known else 'read'}, {len(memory.of.get(pmid, ()))} ideas")
+        memory.save(vault)
+        return int(bool(bad))
     if args.command == "ideas":
         n = vault.read("links").groupBy("slug").agg(F.count("*").alias("papers"))
         for r in vault.read("ideas").join(n, "slug", "left").orderBy(F.desc("papers"), F.desc("statement"), F.desc("slug")).toLocalIterator():
@@ -78,9 +108,32 @@ def main(argv: list[str] | None = None) -> int:
     client = Client(settings["literature"]["base_url"], settings["literature"]["email"], settings["literature"]["key"])
     keys = ("pmid", "title", "abstract", "journal", "year", "mesh")
     fetch = lambda pmid: next((dict(zip(keys, r, strict=True)) for r in client.fetch([pmid])), None)
-    out = agent.explore(args.topic, args.mode, lambda t: client.search(t, settings["literature"]["seed_results"]), fetch, budget=args.budget, seeds=args.seed_idea, log=print)
-    out["memory"].save(vault)
-    print(agent.write_report(f"{root}/{args.vault}/runs/{agent.run_name(args.topic, args.mode)}", args.topic, out["findings"], [args.topic]))
+    return research(args, settings, spark, vault, client.search, fetch, client.fulltext, f"{root}/{args.vault}/runs", complain)
+
+
+def research(args, settings: dict, spark, vault, search, fetch, body, runs: str, complain=lambda name, error: None) -> int:
+    """A run, new or resumed: the vault's graph is loaded, explored and saved, findings and frontier are kept, a report is written."""
+    from pyspark.sql import functions as F
+
+    model = make_model(settings)
+    name = agent.select_run(agent.Run.all(runs), args.topic, args.mode, True if args.resume else False if args.new else None)
+    run = agent.Run(runs, name, args.topic, args.mode)
+
+    def log(message: str) -> None:
+        print(message)
+        run.log(message)
+
+    memory = agent.Memory.load(vault, model.vectors)
+    old = [r["finding"] for r in vault.read("findings").where(F.col("run") == name).orderBy("seq").toLocalIterator()]
+    full = body if settings["literature"]["full_text"] else None
+    desk = agent.Research(args.topic, args.mode, search, fetch, model, memory, run.state, full, old, settings, log)
+    out = desk.run(args.budget, args.seed_idea, documents(spark, vault, args.input, complain), run.save)
+    memory.save(vault)
+    if out["findings"]:
+        cited = [(name, k, f, re.findall(r"\[PMID ([^\]]+)\]", f), "") for k, f in enumerate(out["findings"])]
+        vault.upsert("findings", spark.createDataFrame(cited, vault.read("findings").schema))
+    log(f"{out['reads']} papers read over {out['pops']} steps")
+    print(agent.write_report(run.path, args.topic, out["findings"], None, model, memory, args.mode))
     return 0
 
 

@@ -9,7 +9,10 @@ from collections.abc import Mapping
 
 PREFIX = "LOOMGRAPH_"
 DEFAULTS = {
-    "llm": {"base_url": "http://localhost:8080/v1", "chat_model": "mock", "embed_model": "", "api_key": ""},
+    "llm": {
+        "base_url": "http://localhost:8080/v1", "chat_model": "mock", "embed_model": "", "api_key": "", "embed_base_url": "", "embed_api_key": "",
+        "temperature": 0.0, "max_tokens": 0, "timeout": 300.0, "extra_body": {}, "report_model": "", "report_timeout": 2400.0, "report_extra_body": {},
+    },
     "literature": {"base_url": "", "email": "", "key": "", "seed_results": 20, "expand_results": 10, "full_text": True},
     "tree": {"leaf_chars": 1200, "group_chars": 3500, "max_paragraphs": 500},
     "merge_threshold": 0.80,
@@ -59,4 +62,6 @@ def load(env_file: str | None = None, environ: Mapping[str, str] | None = None)
 def _typed(v: str, default):
     if isinstance(default, bool):
         return v.lower() in ("1", "true", "yes", "on")
+    if isinstance(default, dict):
+        return merge(default, json.loads(v))
     return type(default)(v)

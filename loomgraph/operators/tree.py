@@ -1,16 +1,20 @@
 """Summary trees: texts become leaves, leaves are grouped and condensed level by level.
 
-Packing is a fold over one text's parts, so it stays inside a row. All
+Packing is a fold over one text's parts. Column expressions would copy what
+is packed so far at every part, so it is one linear pass in Arrow batches. All
 documents go up one level together; the loop runs as often as the deepest
 tree has levels, and each level is written before the next is made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import strip
+from loomgraph.functions.text import WS, strip
 from loomgraph.operators.ideas import mock_idea_sentence, mock_summary
 
 LEAF = 1200
@@ -18,52 +22,90 @@ GROUP = 3500
 MOST = 500
 
 
-def hard_split(part: Column, limit: int) -> Column:
-    """A part longer than limit, cut at the last space before it if that lies past the middle, else at the limit."""
-    state = F.struct(part.alias("rest"), F.array().cast("array<string>").alias("done"))
+def pieces_of(part: str, limit: int) -> Iterator[str]:
+    """A paragraph in pieces of at most limit characters; the last is what is left, maybe nothing.
 
-    def step(s: Column, _: Column) -> Column:
-        head = F.substring(s["rest"], 1, limit)
-        space = F.length(head) - F.instr(F.reverse(head), " ")  # index from 0; its length where there is no space
-        cut = F.when((F.instr(head, " ") > 0) & (space > limit // 2), space).otherwise(limit)
-        long = F.length(s["rest"]) > limit
-        return F.struct(
-            F.when(long, strip(F.substring(s["rest"], cut + 1, F.length(s["rest"])))).otherwise(s["rest"]).alias("rest"),
-            F.when(long, F.array_append(s["done"], strip(F.substring(s["rest"], F.lit(1), cut)))).otherwise(s["done"]).alias("done"),
-        )
+    A cut is at the last space within the limit if that lies past the middle, else at the limit.
+    """
+    while len(part) > limit:
+        space = part.rfind(" ", 0, limit)
+        at = space if space > limit // 2 else limit
+        yield part[:at].strip(WS)
+        part = part[at:].strip(WS)
+    yield part
 
-    turns = F.sequence(F.lit(0), F.floor(F.length(part) * 2 / limit).cast("int"))
-    end = F.aggregate(turns, state, step)
-    return F.filter(F.array_append(end["done"], end["rest"]), lambda p: p != "")
 
+def leaf_texts(text: str, limit: int = LEAF, separator: str = "\n\n") -> list[str]:
+    """Consecutive paragraphs packed into leaves of at most limit characters.
+
+    A paragraph over the limit closes the leaf before it; all its pieces but the last stand
+    alone, and the last opens a new leaf.
+    """
+    made: list[list[str]] = []
+    room = -1  # characters left in the last leaf; negative: it is closed
+    for whole in text.split(separator):
+        *alone, rest = pieces_of(whole.strip(WS), limit)
+        if alone:
+            made += [[piece] for piece in alone]
+            room = -1
+        if rest:
+            if len(rest) > room:
+                made.append([])
+                room = limit
+            made[-1].append(rest)
+            room -= len(rest) + 2
+    return ["\n\n".join(parts) for parts in made]
 
-def packed(sizes: Column, limit: int) -> Column:
-    """Group numbers (from 0) of consecutive parts: a group takes parts while its size stays within limit.
+
+def leaves(text: Column, limit: int = LEAF, separator: str = "\n\n") -> Column:
+    return F.pandas_udf(lambda texts: texts.map(lambda t: leaf_texts(t or "", limit, separator)), "array<string>", F.PandasUDFType.SCALAR)(text)
+
+
+def group_numbers(sizes, limit: int) -> list[int]:
+    """Numbers (from 0) of the groups of consecutive parts: a group takes parts while its size stays within limit.
 
     A part adds its length and two for the separator; a part over the limit is a group of its own.
     """
-    start = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
+    numbers, group, room = [], -1, -1
+    for n in sizes:
+        if n > room:
+            group, room = group + 1, limit
+        room -= n + 2
+        numbers.append(group)
+    return numbers
 
-    def step(s: Column, n: Column) -> Column:
-        fits = (s["group"] >= 0) & (s["size"] + n <= limit)
-        group = F.when(fits, s["group"]).otherwise(s["group"] + 1)
-        return F.struct(group.alias("group"), (F.when(fits, s["size"]).otherwise(0) + n + 2).cast("long").alias("size"), F.array_append(s["out"], group).alias("out"))
 
-    return F.aggregate(sizes, start, step)["out"]
+def packed(sizes: Column, limit: int) -> Column:
+    return F.pandas_udf(lambda rows: rows.map(lambda r: group_numbers(r if r is not None else [], limit)), "array<int>", F.PandasUDFType.SCALAR)(sizes)
 
 
 def paragraphs(text: Column, separator: str) -> Column:
     return F.filter(F.transform(F.split(text, separator), strip), lambda p: p != "")
 
 
-def leaves(text: Column, limit: int = LEAF, separator: str = "\n\n") -> Column:
-    """Consecutive paragraphs packed into leaves of at most limit characters."""
-    parts = F.flatten(F.transform(paragraphs(text, separator), lambda p: F.when(F.length(p) > limit, hard_split(p, limit)).otherwise(F.array(p))))
-    groups = packed(F.transform(parts, lambda p: F.length(p).cast("long")), limit)
-    count = F.coalesce(F.array_max(groups) + 1, F.lit(0))
-    numbered = F.zip_with(parts, groups, lambda p, g: F.struct(p.alias("p"), g.alias("g")))
-    whole = lambda k: F.array_join(F.transform(F.filter(numbered, lambda x: x["g"] == k), lambda x: x["p"]), "\n\n")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), whole)).otherwise(F.array().cast("array<string>"))
+def grow(text: str, condense, leaf: int = LEAF, limit: int = GROUP, most: int = MOST) -> dict:
+    """The tree of one text by a model: condense(content, level) -> summary, key_finding, ideas.
+
+    Returns nodes (id, level, ord, children, content, key_finding, ideas), root last, and how many leaves were
+    cut off. Each call sees a group of at most limit characters, so calls grow with the text and not their size.
+    """
+    texts = leaf_texts(text, leaf)
+    row = [{"level": 0, "ord": k, "children": [], "content": t, "key_finding": "", "ideas": []} for k, t in enumerate(texts[:most])]
+    nodes = list(row)
+    while row and (len(row) > 1 or row[0]["level"] == 0):
+        numbers = group_numbers([len(n["content"]) for n in row], limit)
+        if len(row) > 1 and numbers[-1] + 1 == len(row):  # else no level would ever shrink
+            numbers = [k // 2 for k in range(len(row))]
+        level = row[0]["level"] + 1
+        groups: list[list[dict]] = [[] for _ in range(numbers[-1] + 1)]
+        for n, g in zip(row, numbers, strict=True):
+            groups[g].append(n)
+        row = []
+        for k, group in enumerate(groups):
+            told = condense("\n\n".join(n["content"] for n in group), level)
+            row.append({"level": level, "ord": k, "children": [n["ord"] for n in group], "content": told["summary"], "key_finding": told["key_finding"], "ideas": told["ideas"]})
+        nodes += row
+    return {"nodes": nodes, "truncated": max(0, len(texts) - most)}
 
 
 def leaf_nodes(docs: DataFrame, key: str, text: str, limit: int = LEAF, separator: str = "\n\n", most: int = MOST) -> DataFrame:
@@ -95,28 +137,28 @@ def condensed(nodes: DataFrame, limit: int = GROUP) -> DataFrame:
 
 
 def build(leaf: DataFrame, limit: int = GROUP, write=None) -> DataFrame:
-    """All nodes of all trees: (paper, level, ord, parent, content, key_finding, idea, children).
+    """All nodes of all trees: (paper, level, ord, parent, content, key_finding, idea, children, truncated).
 
     write(df, name) cuts lineage between levels (a table in the shared folder); a single leaf
     still gets one level above it. The leaf's own content is its text.
     """
     write = write or (lambda df, name: df.persist())
-    now = write(leaf.select("paper", "level", "ord", "content"), "level0")
+    now = write(leaf.select("paper", "level", "ord", "content", "truncated"), "level0")
     parts = []
     k = 0
     while True:
         named = grouped(now, limit).withColumnRenamed("group", "parent")
         up = write(condensed(now, limit), f"level{k + 1}")
-        extra = {} if "key_finding" in named.columns else {"key_finding": F.lit(None).cast("string"), "idea": F.lit(None).cast("string"), "children": F.lit(0)}
+        extra = {"truncated": F.lit(0)} if "key_finding" in named.columns else {"key_finding": F.lit(None).cast("string"), "idea": F.lit(None).cast("string"), "children": F.lit(0)}
         parts.append(named.withColumns(extra))
         more = up.withColumn("_n", F.count("*").over(Window.partitionBy("paper")))
-        roots = more.where("_n = 1").drop("_n").withColumn("parent", F.lit(None).cast("int"))
+        roots = more.where("_n = 1").drop("_n").withColumns({"parent": F.lit(None).cast("int"), "truncated": F.lit(0)})
         parts.append(roots)
         now = write(more.where("_n > 1").drop("_n"), f"open{k + 1}")
         k += 1
         if now.isEmpty():
             break
-    columns = ["paper", "level", "ord", "parent", "content", "key_finding", "idea", "children"]
+    columns = ["paper", "level", "ord", "parent", "content", "key_finding", "idea", "children", "truncated"]
     out = parts[0].select(*columns)
     for p in parts[1:]:
         out = out.unionByName(p.select(*columns))
@@ -135,10 +177,11 @@ def structure_edges(nodes: DataFrame) -> DataFrame:
 
 
 def totals(nodes: DataFrame) -> DataFrame:
-    """Per paper: nodes, leaves, depth, the key finding of the last built node that has one."""
+    """Per paper: nodes, leaves, depth, ideas, paragraphs cut off, the key finding of the last built node that has one."""
     built = F.struct("level", "ord")
     return nodes.groupBy("paper").agg(
         F.count("*").alias("n_nodes"), F.count_if(F.col("level") == 0).alias("n_leaves"), F.max("level").cast("long").alias("depth"),
+        F.count("idea").alias("n_ideas"), F.max("truncated").cast("long").alias("truncated"),
         F.max_by(F.nullif("key_finding", F.lit("")), F.when(F.coalesce(F.col("key_finding"), F.lit("")) != "", built)).alias("key_finding"),
     )
 
@@ -155,3 +198,19 @@ def outline(nodes: DataFrame) -> DataFrame:
         now = nodes.select("paper", "level", "ord", "parent").join(above, ["paper", "parent"]).where("level = _l - 1").select("paper", "level", "ord", F.concat_ws("/", "path", F.lpad(F.col("ord").cast("string"), 8, "0")).alias("path"))
         out = out.unionByName(now)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("paper").orderBy("path")))
+
+
+EXCERPT = 110
+
+
+def outline_text(nodes: DataFrame) -> DataFrame:
+    """(paper, text): the tree as an indented list, root first; of leaves the first `EXCERPT` characters.
+
+    A tree has some hundreds of nodes at most, so its list is gathered in one row.
+    """
+    ranked = outline(nodes).join(nodes.select("paper", "level", "ord", "content"), ["paper", "level", "ord"])
+    depth = F.size(F.split("path", "/")) - 1
+    own = F.when(F.col("level") == 0, F.concat(F.lit("“"), F.translate(F.substring("content", 1, EXCERPT), "\n", " "), F.lit("…”"))).otherwise(F.concat(F.lit("["), F.col("level").cast("string"), F.lit("."), F.col("ord").cast("string"), F.lit("] "), F.col("content")))
+    line = F.concat(F.repeat(F.lit("  "), depth), F.lit("- "), own)
+    lines = ranked.groupBy("paper").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("_t"))
+    return lines.select("paper", F.array_join(F.col("_t.line"), "\n").alias("text"))

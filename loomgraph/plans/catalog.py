@@ -431,6 +431,11 @@ def tree_outline(spark, sf_dir):
     return Tr.outline(_tree(spark, sf_dir)).select("paper", "level", "ord", "rank")
 
 
+@query()
+def tree_outline_text(spark, sf_dir):
+    return Tr.outline_text(_tree(spark, sf_dir)).select("paper", F.md5("text").alias("digest"), F.length("text").alias("size"))
+
+
 @query()
 def structure_edges(spark, sf_dir):
     n = _tree(spark, sf_dir).withColumn("slugs", F.when(F.col("idea").isNull(), F.array().cast("array<string>")).otherwise(F.array(T.slugify(F.coalesce("idea", F.lit(""))))))

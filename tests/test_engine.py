@@ -98,7 +98,10 @@ def test_tree_levels(spark):
 
 def test_frontier_scores_and_order():
     for mode, first in (("depth", "old"), ("breadth", "new")):
-        q = Frontier(mode, {"domain_counts": {"oncology": 5}})
+        q = Frontier(mode)
+        for i in range(5):
+            q.push("paper", str(i), 0.1, ["oncology"], "")
+            q.pop()
         q.push("idea", "old", 0.9, ["Oncology"], "")
         q.push("idea", "new", 0.5, ["botany"], "")
         q.push("idea", "old", 1.0, [], "")
@@ -231,6 +234,7 @@ def test_research_shares_an_idea(spark, tmp_path):
     papers = {p: {"title": p, "abstract": f"{shared} {x}", "mesh": ["Iron"]} for p, x in (("1", "More on A."), ("2", "Else on B."))}
     out = agent.explore("iron", "depth", lambda t: list(papers), papers.get, budget=5)
     assert out["reads"] == 2 and len(out["memory"].ideas) == 1 and len(out["memory"].links) == 2
+    assert not agent.Research("iron", "depth", None, None, state=out["state"]).queue.fresh
     vault = S.Vault(spark, str(tmp_path), "v")
     out["memory"].save(vault)
     assert vault.read("links").count() == 2
@@ -239,11 +243,90 @@ def test_research_shares_an_idea(spark, tmp_path):
     assert text.startswith("# Iron") and "/1/" in text and "## Open questions" in text
 
     class Broken(models.OfflineModel):
-        def section(self, q, f):
+        def section(self, *asked):
             raise models.ModelError("down")
 
     assert agent.write_report(str(tmp_path / "run"), "iron", out["findings"], ["q"], Broken()).endswith("report.failed.md")
     assert open(path).read() == text
+    again = agent.Memory.load(vault)
+    assert again.ideas == out["memory"].ideas and again.links == out["memory"].links and again.done == {"1", "2"}
+
+
+def scripted(calls):
+    """post() of a server that answers each task with JSON."""
+
+    def post(url, json, headers, timeout):
+        if url.endswith("embeddings"):
+            return Reply(200, {"data": [{"embedding": models.OfflineModel().embed(json["input"])}]})
+        user = json["messages"][1]["content"]
+        task = json.get("response_format", {}).get("json_schema", {}).get("name", "text")
+        calls.append((task, user))
+        claim = {"statement": f"Claim number {len(calls)} on cells.", "type": "method", "relation_to_paper": "uses", "domain": "Biology", "entities": ["ABC", 3]}
+        told = {
+            "extract": {"key_finding": "Found.", "ideas": [claim, {"statement": " "}, {"statement": "x", "type": "?"}]},
+            "condense": {"summary": "Short.", "key_finding": "", "ideas": [claim]},
+            "adjudicate": {"decision": "merge", "target": "no such idea"},
+            "reflect": {"assessment": "", "gaps": [], "queries": ["more cells"], "done": len(calls) > 30},
+            "questions": {"questions": ["Why?", " ", "How?"]},
+        }.get(task)
+        return Reply(200, {"choices": [{"message": {"content": __import__("json").dumps(told) if told else "Body [PMID 1].\n\n## Open questions\n\n- One"}}]})
+
+    return post
+
+
+def test_research_with_a_model_over_http(tmp_path):
+    calls = []
+    model = models.HttpModel("http://x", "m", "e", post=scripted(calls))
+    papers = {"1": {"title": "One", "abstract": "Text.", "mesh": []}, "2": {"title": "Two", "abstract": "", "mesh": []}}
+    bodies = {"2": [("", "First. " * 30), ("S", "Second. " * 30), ("S", "Third. " * 30)]}
+    asked = []
+
+    def search(term, n):
+        asked.append((term, n))
+        return ["1", "2"]
+
+    settings = config.load(None, {"LOOMGRAPH_LITERATURE_EXPAND_RESULTS": "3", "LOOMGRAPH_REFLECT_EVERY": "1"})
+    desk = agent.Research("cells", "breadth", search, papers.get, model, body=bodies.get, settings=settings)
+    out = desk.run(9, inputs=[("local-1", "mine", "A note of the user. " * 90)])
+    assert out["reads"] == 2 and ("cells", 20) in asked and ("more cells", 3) in asked
+    kinds = {k for k, _ in calls}
+    assert {"extract", "condense", "reflect"} <= kinds and out["memory"].papers["2"]["summary"] == "Short."
+    assert {i["domain"] for i in out["memory"].ideas.values()} == {"biology", "general"}
+    assert {i["type"] for i in out["memory"].ideas.values()} == {"method", "finding"}
+    assert any(e["reason"] == "given: mine" and e["relevance"] >= 0.9 for e in out["state"]["entries"])
+    path = agent.write_report(str(tmp_path), "cells", out["findings"], None, model, out["memory"])
+    text = open(path).read()
+    assert "## Why?" in text and "## How?" in text and "Nearest ideas:\n- " in calls[-2][1] and text.count("/1/") == 1
+
+
+def test_runs_are_resumed(spark, tmp_path, monkeypatch, capsys):
+    from loomgraph import cli
+
+    papers = {p: {"pmid": p, "title": p, "abstract": f"Paper {p} describes one long and separate claim about its own subject here.", "mesh": []} for p in "12345"}
+    vault, settings = S.Vault(spark, str(tmp_path), "v"), config.load(None, {})
+    call = lambda *a: cli.research(cli.parser().parse_args(["research", "topic", *a]), settings, spark, vault, lambda t, n: sorted(papers), papers.get, None, f"{tmp_path}/v/runs")
+    call("--budget", "2")
+    assert vault.read("findings").count() == 2
+    call("--budget", "2", "--resume")
+    runs = agent.Run.all(f"{tmp_path}/v/runs")
+    assert len(runs) == 1 and vault.read("findings").count() == 4 and vault.read("links").count() == 4
+    assert "1/2 paper" in open(f"{tmp_path}/v/runs/{runs[0]['name']}/log.md").read()
+    call("--budget", "1", "--new")
+    assert [r["name"].endswith("-2") for r in agent.Run.all(f"{tmp_path}/v/runs")] == [False, True]
+
+
+def test_ingested_documents_become_trees_and_ideas(spark, tmp_path, monkeypatch):
+    from loomgraph import cli
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "note.txt").write_text("\n\n".join(f"Part {k} of the note states a claim that is long enough to be an idea of its own. And more." for k in range(60)))
+    (tmp_path / "bad.xyz").write_text("?")
+    assert cli.main(["--vault", "v", "ingest", str(tmp_path / "note.txt"), str(tmp_path / "bad.xyz")]) == 1
+    vault = S.Vault(spark, str(tmp_path / "vaults"), "v")
+    assert vault.read("papers").first()["summary"] and {r["level"] for r in vault.read("ideas").collect()} >= {1, 2}
+    assert vault.read("edges").where("relation = 'part_of'").count() > 0
+    n = vault.read("links").count()
+    assert cli.main(["--vault", "v", "ingest", str(tmp_path / "note.txt")]) == 0 and vault.read("links").count() == n
 
 
 def test_text_helpers(spark):
