@@ -80,25 +80,26 @@ def first_wordings(ideas: DataFrame) -> DataFrame:
     return ideas.withColumn("canon", F.min("id").over(Window.partitionBy(F.lower("statement"))))
 
 
-def candidates(ideas: DataFrame, merge: float = MERGE, link: float = LINK, k: int = NEIGHBOURS) -> DataFrame:
+def candidates(ideas: DataFrame, merge: float = MERGE, link: float = LINK, k: int = NEIGHBOURS, vectors: DataFrame | None = None) -> DataFrame:
     """(id, candidate, rank, score, eligibility) of canonical ideas against those created before them.
 
     ideas: id (order of arrival), statement. Only first wordings enter the index, so an idea sees
-    those of smaller ids; at most k, at least `link` similar.
+    those of smaller ids; at most k, at least `link` similar. vectors: of the first wordings, if at hand.
     """
-    vectors = embedded(first_wordings(ideas).where("id = canon").select("id", "statement"))
+    if vectors is None:
+        vectors = embedded(first_wordings(ideas).where("id = canon").select("id", "statement"))
     near = knn_join(vectors, vectors, k, link, earlier=True)
     return near.select(F.col("query").alias("id"), "candidate", "rank", "score", F.when(F.col("score") >= merge, "merge-eligible").otherwise("link-only").alias("eligibility"))
 
 
-def decisions(ideas: DataFrame, merge: float = MERGE, link: float = LINK, k: int = NEIGHBOURS) -> DataFrame:
+def decisions(ideas: DataFrame, merge: float = MERGE, link: float = LINK, k: int = NEIGHBOURS, vectors: DataFrame | None = None) -> DataFrame:
     """(id, decision, target, relation) of every idea, as the deterministic model and its guards decide.
 
     A repeated wording merges into its first. A first wording links to its best candidate of
     another level (part_of), else to its best candidate (related_to), else stands alone.
     """
     named = first_wordings(ideas.select("id", "statement", "level"))
-    near = candidates(ideas, merge, link, k)
+    near = candidates(ideas, merge, link, k, vectors)
     levels = ideas.select(F.col("id").alias("candidate"), F.col("level").alias("their"))
     own = ideas.select("id", "level")
     ranked = near.join(levels, "candidate").join(own, "id")

@@ -84,6 +84,11 @@ def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq)))).where("_n = 1").drop("_n")
 
 
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """Of runs (topic, mode, day, number) the newest of each topic and mode: by day, then by number as a number."""
+    return runs.groupBy("topic", "mode").agg(F.max(F.struct("day", "number")).alias("_r")).select("topic", "mode", "_r.day", "_r.number")
+
+
 def existing(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(table.select(key), key, "left_semi")
 

@@ -6,6 +6,8 @@ the same, ORACLES has the statement under the same name.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from loomgraph.operators import report as R
 from loomgraph.operators import store as S
 from loomgraph.operators import tree as Tr
 from loomgraph.operators.similarity import knn_join
+from loomgraph.plans.tables import scratch
 from loomgraph.sources import files
 
 QUERIES: dict = {}
@@ -93,19 +96,32 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), F.col("label").alias("domain"))
 
 
-def _edges(spark, sf_dir) -> DataFrame:
-    ideas = _ideas(spark, sf_dir)
-    told = I.decisions(ideas).where("decision = 'link'")
+class _Graph(NamedTuple):
+    """Tables of one query's idea graph; ideas, vectors and edges are written once and read from there."""
+
+    ideas: DataFrame
+    firsts: DataFrame
+    vectors: DataFrame
+    edges: DataFrame
+    links: DataFrame
+
+
+def _graph(spark, sf_dir) -> _Graph:
+    write = scratch(spark)
+    ideas = write(I.first_wordings(_ideas(spark, sf_dir)), "ideas")
+    firsts = ideas.where("id = canon").withColumn("slug", F.col("id"))
+    vectors = write(I.embedded(firsts.select("id", "statement")), "vectors")
+    told = I.decisions(ideas, vectors=vectors).where("decision = 'link'")
     lv = ideas.select("id", "level")
     joined = told.join(lv, "id").join(lv.select(F.col("id").alias("target"), F.col("level").alias("their")), "target")
     a, b = E.oriented(F.col("id"), F.col("target"), F.col("relation"), F.col("level"), F.col("their"))
-    return E.with_mirrors(joined.select(a.alias("source"), b.alias("target"), "relation", F.lit("").alias("note"), F.col("id").alias("seq")))
+    edges = write(E.with_mirrors(joined.select(a.alias("source"), b.alias("target"), "relation", F.lit("").alias("note"), F.col("id").alias("seq"))), "edges")
+    links = ideas.select(F.col("doc_id").alias("pmid"), F.col("canon").alias("slug"), "relation", F.col("doc_id").alias("seq"))
+    return _Graph(ideas, firsts, vectors, edges, links)
 
 
-def _links(spark, sf_dir) -> DataFrame:
-    """Each document's idea under its canonical id."""
-    named = I.first_wordings(_ideas(spark, sf_dir))
-    return named.select(F.col("doc_id").alias("pmid"), F.col("canon").alias("slug"), F.col("relation"), F.col("doc_id").alias("seq"))
+def _edges(spark, sf_dir) -> DataFrame:
+    return _graph(spark, sf_dir).edges
 
 
 # ------------------------------------------------------------------ text
@@ -251,8 +267,8 @@ def graph_edges(spark, sf_dir):
 
 @query(f"{_EDGES}, n AS (SELECT source AS id, target AS o FROM edges UNION SELECT target, source FROM edges) SELECT f.id AS slug, count(o) AS degree FROM firsts f LEFT JOIN n USING (id) GROUP BY 1")
 def node_degree(spark, sf_dir):
-    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon").select(F.col("id").alias("slug"))
-    return G.degrees(ideas, _edges(spark, sf_dir))
+    g = _graph(spark, sf_dir)
+    return G.degrees(g.firsts, g.edges)
 
 
 @query(f"{_EDGES}, b AS (SELECT source AS id, target AS other, relation FROM edges UNION ALL SELECT target, source, relation FROM edges) SELECT id, other, arg_min(relation, CASE relation WHEN 'part_of' THEN 0 WHEN 'analogous_to' THEN 1 WHEN 'causes' THEN 2 WHEN 'enables' THEN 3 WHEN 'related_to' THEN 4 ELSE 9 END) AS relation FROM b GROUP BY 1, 2")
@@ -262,14 +278,15 @@ def best_relation(spark, sf_dir):
 
 @query(f"{_EDGES} SELECT (SELECT count(*) FROM firsts) AS nodes, (SELECT count(*) FROM (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY seq, mirror) AS n FROM edges) WHERE n = 1 OR relation <> 'related_to') AS edges, (SELECT count(DISTINCT doc_id) FROM ideas) AS papers")
 def header_stats(spark, sf_dir):
-    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon")
-    return G.header(ideas, _edges(spark, sf_dir), _links(spark, sf_dir))
+    g = _graph(spark, sf_dir)
+    return G.header(g.firsts, g.edges, g.links)
 
 
-@query(f"WITH {_IDEAS}, {_CANON} SELECT canon AS slug, min(CASE WHEN id = canon THEN statement END) AS statement, 'finding' AS type, 'mock' AS domain, min(CASE WHEN id = canon THEN level END) AS level, count(*) AS papers, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))), ',') AS cites, round(3.5 + sqrt(count(*)) * 1.6 + CASE WHEN count(*) > 1 THEN 2 ELSE 0 END, 6) AS radius FROM canon GROUP BY 1")
+@query(f"{_EDGES}, n AS (SELECT source AS id, target AS o FROM edges UNION SELECT target, source FROM edges), deg AS (SELECT id, count(*) AS d FROM n GROUP BY 1), g AS (SELECT canon AS slug, min(CASE WHEN id = canon THEN statement END) AS statement, 'finding' AS type, 'mock' AS domain, min(CASE WHEN id = canon THEN level END) AS level, count(*) AS papers, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))), ',') AS cites FROM canon GROUP BY 1) SELECT g.*, coalesce(d, 0) AS degree, round(3.5 + sqrt(coalesce(d, 0)) * 1.6 + CASE WHEN papers > 1 THEN 2 ELSE 0 END, 6) AS radius FROM g LEFT JOIN deg ON id = slug")
 def graph_nodes(spark, sf_dir):
-    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon").withColumn("slug", F.col("id"))
-    return G.nodes(ideas, _links(spark, sf_dir)).withColumn("radius", F.round(G.radius(F.col("papers"), F.col("papers")), 6))
+    g = _graph(spark, sf_dir)
+    found = G.nodes(g.firsts, g.links).join(G.degrees(g.firsts, g.edges), "slug")
+    return found.withColumn("radius", F.round(G.radius(F.col("degree"), F.col("papers")), 6))
 
 
 @query("SELECT pmid, slug, first(relation ORDER BY seq, relation) AS relation FROM (SELECT l_orderkey AS pmid, l_partkey AS slug, l_returnflag AS relation, l_linenumber AS seq FROM lineitem) GROUP BY 1, 2")
@@ -298,10 +315,10 @@ def domain_top8(spark, sf_dir):
     return G.domain_slots(_table(spark, sf_dir, "part").select(F.col("p_brand").alias("domain")))
 
 
-@query(f"{_EDGES}, nb AS (SELECT source AS qid, target AS cid FROM edges UNION SELECT target, source FROM edges), f AS (SELECT qid, cid, score FROM near ANTI JOIN nb USING (qid, cid)) SELECT qid AS query, cid AS candidate, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM f QUALIFY rank <= 25")
+@query(f"{_EDGES}, nb AS (SELECT source AS qid, target AS cid FROM edges UNION SELECT target, source FROM edges), alld AS (SELECT a.id AS qid, b.id AS cid, sum(a.c * b.c) AS d FROM bow a JOIN bow b ON a.bucket = b.bucket AND a.id <> b.id GROUP BY 1, 2), f AS (SELECT x.id AS qid, y.id AS cid, round(coalesce(d, 0) / (x.n * y.n), 6) AS score FROM nrm x JOIN nrm y ON x.id <> y.id LEFT JOIN alld ON alld.qid = x.id AND alld.cid = y.id ANTI JOIN nb ON nb.qid = x.id AND nb.cid = y.id) SELECT qid AS query, cid AS candidate, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM f QUALIFY rank <= 25")
 def similar_unlinked(spark, sf_dir):
-    ideas = I.first_wordings(_ideas(spark, sf_dir)).where("id = canon")
-    return G.similar_unlinked(I.embedded(ideas.select("id", "statement")), _edges(spark, sf_dir))
+    g = _graph(spark, sf_dir)
+    return G.similar_unlinked(g.vectors, g.edges)
 
 
 @query(f"WITH {_IDEAS} SELECT doc_id, statement FROM ideas WHERE contains(lower(statement), 'tion')")
@@ -338,13 +355,13 @@ def domain_counts(spark, sf_dir):
     return Q.domain_counts(_table(spark, sf_dir, "events").select(F.array("event_type").alias("domains")))
 
 
-_NOVEL = """c AS (SELECT lower(event_type) AS d FROM events WHERE event_id % 7 = 0 AND event_type <> 'view' GROUP BY 1),
+_NOVEL = """c AS (SELECT lower(event_type) AS d FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1),
 x AS (SELECT event_id, value, CASE WHEN lower(event_type) IN (SELECT d FROM c) THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS novelty FROM events)"""
 
 
 def _scored(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
-    counts = Q.domain_counts(e.where("event_id % 7 = 0 AND event_type <> 'view'").select(F.array("event_type").alias("domains")))
+    counts = Q.domain_counts(e.where("event_type IN ('click', 'purchase')").select(F.array("event_type").alias("domains")))
     items = e.select("event_id", "value", F.array("event_type", F.lit("never seen")).alias("domains"))
     return Q.novelty(items, counts, "event_id")
 
@@ -373,10 +390,11 @@ def seed_relevance(spark, sf_dir):
     return b.withColumn("rank", rank).crossJoin(F.broadcast(n)).select("item_id", F.round(1.0 - (F.col("rank") - 1) / F.greatest("n", F.lit(1)) * 0.3, 6).alias("relevance"), F.concat(F.lit("seed result #"), F.col("rank").cast("string")).alias("reason"))
 
 
-@query("SELECT event_type AS kind, user_id AS id, min(event_id) AS seq FROM events WHERE NOT (event_type || user_id IN (SELECT event_type || user_id FROM events WHERE event_id % 50 = 0)) GROUP BY 1, 2")
+@query("SELECT event_type AS kind, user_id AS id, min(event_id) AS seq FROM events WHERE NOT (event_type = 'view' AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) GROUP BY 1, 2")
 def push_dedupe(spark, sf_dir):
     p = _table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("id"), F.col("event_id").alias("seq"))
-    return Q.first_pushes(p, p.where("seq % 50 = 0").select("kind", "id")).select("kind", "id", "seq")
+    visited = _table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("view").alias("kind"), F.col("c_custkey").alias("id"))
+    return Q.first_pushes(p, visited).select("kind", "id", "seq")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 120")
@@ -384,10 +402,14 @@ def recent_findings(spark, sf_dir):
     return R.recent(_table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
-@query("SELECT o_custkey, max(strftime(o_orderdate, '%Y%m%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS run FROM orders GROUP BY 1")
+@query("""WITH r AS (SELECT 'customer ' || o_custkey AS topic, CASE o_orderstatus WHEN 'O' THEN 'depth' ELSE 'breadth' END AS mode, strftime(o_orderdate, '%Y%m%d') AS day, o_orderkey AS number FROM orders)
+SELECT substr(replace(topic, ' ', '-') || '-' || substr(sha1(topic), 1, 6), 1, 40) AS topic, mode, arg_max(day || '-' || number, day || lpad(CAST(number AS VARCHAR), 12, '0')) AS run FROM r GROUP BY 1, 2""")
 def latest_run(spark, sf_dir):
-    name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
-    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(name).alias("run"))
+    mode = F.when(F.col("o_orderstatus") == "O", "depth").otherwise("breadth")
+    topic = F.substring(T.slugify(F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))), 1, 40)
+    day, number = F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderkey")
+    runs = _table(spark, sf_dir, "orders").select(topic.alias("topic"), mode.alias("mode"), day.alias("day"), number.alias("number"))
+    return S.latest_runs(runs).select("topic", "mode", F.concat_ws("-", "day", F.col("number").cast("string")).alias("run"))
 
 
 # ------------------------------------------------------------ trees, reports
@@ -411,8 +433,6 @@ def leaf_split(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    from loomgraph.plans.tables import scratch
-
     return Tr.build(Tr.leaf_nodes(_table(spark, sf_dir, "documents"), "doc_id", "text", separator="\n"), write=scratch(spark))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     """write(df, name): df as a table below spark.checkpoint.dir, read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # one machine only
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = "file://" + folder
     where = f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, name: str) -> DataFrame:
