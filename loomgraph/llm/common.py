@@ -7,8 +7,11 @@ are not ASCII white space; a null text counts as an empty one.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,8 +25,14 @@ CHUNK_BYTES = 1 << 18
 _B = 0x9E3779B97F4A7C15 | 1
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def lean(spark: SparkSession) -> None:
-    """Fewer rows an Arrow batch than Spark's default, which is too many whole texts at once."""
+    """Fewer rows an Arrow batch than Spark's default, which is too many whole texts at once.
+
+    Only a default is changed: a session that sets its own keeps it.
+    """
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, "1000")
 
@@ -31,23 +40,27 @@ def lean(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests, one machine) a local folder is used.
+    Where the setting is absent a local folder is used, if all tasks run on
+    this machine in the driver's process; otherwise that is an error.
     """
     lean(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_base()
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL: list[str] = []
 
 
 def _local_base() -> str:
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, folder, True)
+        _LOCAL.append("file://" + folder)
     return _LOCAL[0]
 
 
@@ -61,12 +74,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.table_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.table_path.rpartition("/")[0])
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Files of a table up to which their numbers are broadcast (some 10 MB).
+MOST_FILES = 100_000
 
 
 def with_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
-    """Number the rows of a table scan; equal on every scan of the same files."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows: the file's number, by path, and the row's place in it.
+
+    The number of a row of a table scan doesn't depend on how the scan is
+    split, so it is the same on every scan, on whatever executors. Of any other
+    plan the numbered rows are written to the shared folder once and read there.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    files = sorted(docs.inputFiles()) if "Relation" in node.nodeName() and "Local" not in node.nodeName() else []
+    if not 0 < len(files) <= MOST_FILES:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    meta = F.col("_metadata")
+    if len(files) == 1:
+        return docs.withColumn(name, meta["row_index"])
+    # the two lists write the slashes after the scheme in different numbers
+    numbers = docs.sparkSession.createDataFrame([(k, re.sub("^([^:/]+):/+", r"\1:/", f)) for k, f in enumerate(files)], "_file long, _path string")
+    known = docs.select("*", F.regexp_replace(meta["file_path"], "^([^:/]+):/+", "$1:/").alias("_path"), meta["row_index"].alias("_place")).join(F.broadcast(numbers), "_path", "left")
+    place = F.when(F.col("_file").isNull(), F.raise_error(F.lit("a file that the table did not list"))).otherwise(F.shiftleft("_file", 40) + F.col("_place"))
+    return known.withColumn(name, place.cast("long")).drop("_path", "_place", "_file")
 
 
 def trimming(run: Callable) -> Callable:
@@ -223,6 +268,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Alternating large-star and small-star steps; each round writes its edges to
     the shared folder and ends when nothing changes. Hot ends are no problem:
     every step is a grouped minimum, combined before the shuffle, and a join.
+    The rounds follow the logarithm of the ids; not to end within max_rounds is an error.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(now, "edges")
@@ -235,9 +281,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         new = now.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
         if state == new:
             break
         state = new
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
