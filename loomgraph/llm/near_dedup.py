@@ -9,18 +9,22 @@ labelled shingles: with m aligned of a and b, similarity m / (a + b - m). The
 band is as wide as any alignment that reaches the threshold can need.
 
 Equal texts form one class and are compared once. In a bucket of texts with a
-common value each is compared with a leader (the one that shares most values
-with others) instead of with all. Those that don't match their leader get
-another one, `ROUNDS` times. A bucket whose texts are then in one component is
-settled. In the others every text that failed a leader is joined with all the
-bucket's texts, matched ones too, by an exact prefix filter on shingles, so that
-no bucket has a cap; pairs within a component are not made. Groups are connected
+common value each is compared with a leader, the one that shares most values
+with others, which puts most of a group into one component. In a bucket that
+still has several, the texts outside the largest are marked, and every pair of
+two components of which one at least is marked is looked for by an exact
+filter: prefixes of shingles in order of rarity, sizes, positions, and maps of
+the shingles that bound how many of them a pair can share. So no pair of a
+bucket is lost, whatever the leader matches, no bucket has a cap, and pairs
+within a component are not made. Lists of the filter's index are dealt into
+blocks of about `LIST` entries by counts known beforehand. Groups are connected
 components of links; the smallest doc_id of each stays.
 
 Defined results: texts without words are in no group and stay; texts of fewer
-than five words are one shingle; null doc_ids come last; repeated rows are
-copies, of which one stays; an empty table gives no rows; other columns pass
-through; very long texts are compared whole.
+than five words are one shingle; null doc_ids come last; of equal doc_ids the
+row that the table has first stays; repeated rows are copies, of which one
+stays; an empty table gives no rows; other columns pass through, whatever their
+names; very long texts are compared whole.
 """
 
 from __future__ import annotations
@@ -33,16 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, components, fold_slices, materialize, mix64, near_keys, shelve, slice_rows, text_bytes, trimming, with_uid, word_hashes
-from loomgraph.llm.line_dedup import ENTRY, SKETCH_BITS, Meeting, _order_key, _record, bitmaps, met, rarity_order
+from loomgraph.llm.common import chunks, components, discard, fold_slices, materialize, mix64, near_keys, shelve, slice_rows, text_bytes, trimming, with_uid, word_hashes
+from loomgraph.llm.line_dedup import SKETCH_BITS, _order_key, rarity_order
 
 WORDS = 5
 DRAWN = 3
 SKETCHES = 16
 THRESHOLD = (4, 5)
-ROUNDS = 2
+#: Index entries of one shingle that a task compares with as many marked ones.
+LIST = 4096
+#: 64-bit words of the largest map of a text's shingles.
+MAP_WORDS = 64
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _C = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(64)]
+#: Multipliers of the hash functions: of no common factor, or the functions would order shingles alike.
+_DRAW = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +102,7 @@ def order_sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if not len(starts):
         return out
     for f in range(SKETCHES):
-        x = s * _C[f + 8]
+        x = s * _DRAW[f]
         x ^= x >> np.uint64(29)
         at = np.full((len(starts), DRAWN), np.iinfo(np.int64).max)
         for k in range(DRAWN):
@@ -182,65 +191,188 @@ def _verify(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> Da
     return both.select("a", "b", "s", "t").mapInArrow(trimming(run), "a long, b long, m long, all long")
 
 
-class Apart(Meeting):
-    """Meets only texts of two components of which one at least failed a leader (w: twice the component, plus 1 if so)."""
+def shingle_maps(s: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each text a map of its shingles: two bits a shingle or more, rounded up to a power of two, `MAP_WORDS` words at most."""
+    n = np.diff(bounds)
+    words = np.minimum(MAP_WORDS, 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64))
+    begin = np.append(0, np.cumsum(words))
+    flat = np.zeros(begin[-1], dtype=np.uint64)
+    bit = (s >> np.uint64(32)).astype(np.int64) & np.repeat(words * 64 - 1, n)
+    np.bitwise_or.at(flat, np.repeat(begin[:-1], n) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return [flat[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
+class Lists:
+    """Candidates among index entries that are sorted by list: pairs of a probe and a member of two components that may be near."""
+
+    TESTS = 1 << 16
+
+    def __init__(self, threshold: tuple[int, int]):
+        self.num, self.den = threshold
+
+    def _apart(self, maps: list[bytes], i: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many shingles i has that o has not, at least, and the other way round."""
+        size = np.array([len(m) for m in maps]) // 8
+        wide = int(size.max())
+        whole = np.zeros((len(maps), wide), dtype=np.uint64)
+        for k, m in enumerate(maps):
+            whole[k, : size[k]] = np.frombuffer(m, np.uint64)
+        only_i, only_o = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        common = np.minimum(size[i], size[o])
+        for w in np.unique(common).tolist():  # a larger map is folded to the smaller one's size
+            at = np.flatnonzero(common == w)
+            folded = {}
+            for k in np.unique(np.concatenate([i[at], o[at]])).tolist():
+                folded[k] = np.bitwise_or.reduce(whole[k, : size[k]].reshape(-1, w), axis=0)
+            names = np.array(sorted(folded))
+            rows = np.stack([folded[k] for k in names.tolist()])
+            x, y = rows[np.searchsorted(names, i[at])], rows[np.searchsorted(names, o[at])]
+            only_i[at] = np.bitwise_count(x & ~y).sum(axis=1)
+            only_o[at] = np.bitwise_count(y & ~x).sum(axis=1)
+        return only_i, only_o
+
+    def pairs(self, k, ids, w, z, role, maps: pa.Array) -> np.ndarray:
+        n, place = z >> 24, z & 0xFFFFFF
+        order = np.lexsort((role == 1, k))  # members of a list first
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        members = np.add.reduceat((role >= 2).astype(np.int64), start)
+        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
+        probes = np.flatnonzero((role & 1) == 1)
+        times = members[run[probes]]
+        found, done = [], 0
+        ends = np.cumsum(times)
+        while done < len(probes):
+            until = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + self.TESTS, side="right")))
+            t = times[done:until]
+            i = np.repeat(probes[done:until], t)
+            o = order[start[run[i]] + np.arange(len(i)) - np.repeat(np.cumsum(t) - t, t)]
+            done = until
+            both = n[i] + n[o]
+            need = -(-self.num * both // (self.num + self.den))
+            fits = (w[i] >> 1 != w[o] >> 1) & ((w[o] & 1 == 0) | (ids[i] < ids[o]))  # two marked texts meet twice
+            fits &= self.num * np.maximum(n[i], n[o]) <= self.den * np.minimum(n[i], n[o])
+            fits &= np.minimum(n[i] - place[i], n[o] - place[o]) >= need  # holds at the first shingle that a near pair shares
+            i, o, need = i[fits], o[fits], need[fits]
+            if len(i):
+                used, back = np.unique(np.concatenate([i, o]), return_inverse=True)
+                only_i, only_o = self._apart(maps.take(pa.array(used)).to_pylist(), back[: len(i)], back[len(i) :])
+                fits = (only_i <= n[i] - need) & (only_o <= n[o] - need)
+                i, o = i[fits], o[fits]
+                found.append(np.stack([np.minimum(ids[i], ids[o]), np.maximum(ids[i], ids[o])], 1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told(last: bool) -> pa.RecordBatch:
+            nonlocal held
+            rows = pa.Table.from_batches(held).combine_chunks()
+            k = rows.column(0).to_numpy()
+            end = len(k) if last else int(np.searchsorted(k, k[-1]))
+            now, held = rows.slice(0, end), rows.slice(end).to_batches()
+            pair = self.pairs(k[:end], *(now.column(c).to_numpy() for c in range(1, 5)), now.column(5)) if end else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, c])) for c in (0, 1)], names=["a", "b"])
 
-    def _fits(self, c, i, o):
-        w = c["w"]
-        fits = (w[i] >> 1 != w[o] >> 1) & ((w[i] | w[o]) & 1 > 0)
-        apart = np.zeros(len(i), dtype=np.int64)
-        at = np.flatnonzero(fits)
-        fits[at], apart[at] = super()._fits(c, i[at], o[at])
-        return fits, apart
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= 2 * LIST:
+                yield told(False)
+        if held:
+            yield told(True)
 
 
-def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Exact candidates among ids (id, w: see Apart): pairs that may share the threshold of labelled shingles."""
+def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int], list_size: int = LIST) -> DataFrame:
+    """Exact candidates (a, b) among ids (id, w: twice the component, plus 1 if marked)."""
     num, den = threshold
-    texts = materialize(_texts_of(docs, ids.select("id")).join(ids, "id"), "rest")
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+    texts = materialize(_texts_of(docs, ids.select("id")).join(ids, "id").select("id", "text", "w"), "rest")
+    size = 1 << SKETCH_BITS
+    mask = np.uint64(size - 1)
+    spark = docs.sparkSession
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    def blocks(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None):
+        """(ids, w, shingles, bounds), and with rarity what indexes them: (owner, shingle, place)."""
         for b in batches:
-            data, offsets = text_bytes(b.column(0))
+            names, w = b.column(0).to_numpy(), b.column(2).to_numpy()
+            data, offsets = text_bytes(b.column(1))
             for i, j in chunks(offsets):
-                s, *_ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                total += np.bincount((s & mask).astype(np.int64), minlength=len(total))
+                s, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                index = None
+                if rarity is not None:
+                    n = np.diff(bounds)
+                    owner = np.repeat(np.arange(j - i), n)
+                    ordered = s[rarity_order(owner, rarity[(s & mask).astype(np.int64)], s)]
+                    place = np.arange(len(s)) - bounds[owner]
+                    pre = place < n[owner] - (-(-num * n[owner] // den)) + 1
+                    index = owner[pre], ordered[pre], place[pre]
+                yield names[i:j], w[i:j], s, bounds, index
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for _, _, s, _, _ in blocks(batches, None):
+            total += np.bincount((s & mask).astype(np.int64), minlength=size)
+        yield from slice_rows(total)
+
+    rarity = fold_slices(texts.mapInArrow(trimming(count), "slice int, data binary"), np.add, size)
+    rarities = spark.sparkContext.broadcast(rarity)  # of fixed size
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * size, dtype=np.int64)
+        for _, w, _, _, (owner, s, _) in blocks(batches, rarities.value):
+            cell = (s & mask).astype(np.int64)
+            total[:size] += np.bincount(cell, minlength=size)
+            total[size:] += np.bincount(cell[w[owner] & 1 == 1], minlength=size)
         yield from slice_rows(total)
 
-    rarity = fold_slices(texts.select("text").mapInArrow(trimming(count), "slice int, data binary"), np.add, 1 << SKETCH_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
+    lists = spark.sparkContext.broadcast(fold_slices(texts.mapInArrow(trimming(lengths), "slice int, data binary"), np.add, 2 * size))  # of fixed size
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
-        for b in batches:
-            ids, w = b.column(0).to_numpy(), b.column(2).to_numpy()
-            data, offsets = text_bytes(b.column(1))
-            for i, j in chunks(offsets):
-                s, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n = np.diff(bounds)
-                owner = np.repeat(np.arange(j - i), n)
-                order = rarity_order(owner, rarity[(s & mask).astype(np.int64)], s)
-                s = s[order]
-                full = n > 0
-                sig = np.zeros((2, j - i), dtype=np.uint64)
-                if full.any():
-                    sig[:, full] = bitmaps(s, bounds[:-1][full])
-                size = n[owner]
-                place = np.arange(len(s)) - bounds[owner]
-                pre = place < size - (-(-num * size // den)) + 1
-                o = owner[pre]
-                yield _record(s[pre], ids[i:j][o], sig[0, o], sig[1, o], (size[pre] << 24) | place[pre], w[i:j][o])
-
-    rows = texts.select("id", "text", "w").mapInArrow(trimming(entries), ENTRY)
-    # no limits: every pair that passes the filters
-    return met(rows, Apart(threshold, all_up_to=1 << 62, crowd=1 << 62)).where("kind = 0").select("a", "b").distinct()
-
-
-def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """(_uid, keep_uid, class_size, n_links) of every row of docs with _uid; n_links: verified links of its text."""
+        for names, w, s, bounds, (owner, key, place) in blocks(batches, rarities.value):
+            cell = (key & mask).astype(np.int64)
+            total, marked = lists.value[cell], lists.value[size + cell]
+            meet = (total > 1) & (marked > 0)  # else there is no one to meet
+            owner, key, place, total, marked = (v[meet] for v in (owner, key, place, total, marked))
+            if not len(owner):
+                continue
+            member_blocks, probe_blocks = -(-total // list_size), -(-marked // list_size)
+            mine = mix64(names.view(np.uint64) + np.uint64(1))[owner].astype(np.uint64)
+            probe = w[owner] & 1
+            alone = (member_blocks == 1) & (probe_blocks == 1)
+            parts = [(np.flatnonzero(alone), 2 + probe[alone], np.zeros(int(alone.sum()), np.uint64))]
+            for role, at, copies, own, other in (
+                (2, np.flatnonzero(~alone), probe_blocks, member_blocks, 0),
+                (1, np.flatnonzero(~alone & (probe == 1)), member_blocks, probe_blocks, 1),
+            ):
+                t = copies[at]
+                e = np.repeat(at, t)
+                every = (np.arange(len(e)) - np.repeat(np.cumsum(t) - t, t)).astype(np.uint64)
+                home = mine[e] % own[e].astype(np.uint64)
+                member, probing = (home, every) if not other else (every, home)
+                parts.append((e, np.full(len(e), role), (member << np.uint64(32)) + probing + np.uint64(1)))
+            e, role, block = (np.concatenate([p[c] for p in parts]) for c in range(3))
+            listed = mix64(key[e] ^ block * np.uint64(0x9E3779B97F4A7C15))
+            maps = pa.array(shingle_maps(s, bounds), pa.binary())
+            n = np.diff(bounds)[owner[e]]
+            cols = [listed.view(np.int64), names[owner[e]], w[owner[e]], (n << 24) | place[e], role.astype(np.int8)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in cols), maps.take(pa.array(owner[e]))], names=["k", "id", "w", "z", "role", "map"])
+
+    rows = texts.mapInArrow(trimming(entries), "k long, id long, w long, z long, role byte, map binary")
+    found = rows.repartition("k").sortWithinPartitions("k").mapInArrow(trimming(Lists(threshold)), "a long, b long").distinct()
+    found = materialize(found, "near")
+    discard(texts)
+    return found
+
+
+def _told(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b, same) of pairs, as a table."""
     num, den = threshold
+    return materialize(_verify(docs, pairs, threshold).select("a", "b", (F.col("m") * den >= F.col("all") * num).alias("same")), "told")
+
+
+def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, led: bool = True, list_size: int = LIST) -> DataFrame:
+    """(_uid, keep_uid, class_size) of every row of docs with _uid.
+
+    led: compare with leaders first; without, the exact filter alone finds the same groups with more work.
+    """
     docs = docs.select("_uid", "doc_id", "text").withColumn("_by", _order_key(docs))
     rows = materialize(_sketched(docs), "sketched")
     classes = rows.where("full").groupBy("lo", "hi").agg(F.min(F.struct("by", "uid")).alias("first"), F.count("*").alias("n"), F.max("sketch").alias("sketch"))
@@ -248,50 +380,37 @@ def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rounds:
     drawn = classes.select("id", "by", F.explode("sketch").alias("v"))
     shared = drawn.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
     drawn = materialize(drawn.join(shared, "v"), "buckets")
-    rank = drawn.groupBy("id").agg(F.sum("n").alias("rank"))
-    now = materialize(drawn.select("v", "id", "by").join(rank, "id"), "ranked")
     known = docs.sparkSession.createDataFrame([], "a long, b long, same boolean")
-    failed = drawn.select("v", "id")
-    for k in range(rounds):
-        leaders = now.groupBy("v").agg(F.max(F.struct("rank", (-F.col("by")).alias("by"), (-F.col("id")).alias("id"))).alias("top"))
-        led = materialize(now.join(leaders.select("v", (-F.col("top.id")).alias("b")), "v").where("id <> b"), "led")
-        pairs = led.select(F.col("id").alias("a"), "b").distinct()
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
-        told = _verify(docs, pairs, threshold).select("a", "b", (F.col("m") * den >= F.col("all") * num).alias("same"))
-        told = materialize(told, "told")
-        known = known.union(told)
-        left = led.join(known.select(F.col("a").alias("id"), "b", "same"), ["id", "b"]).where("NOT same").select("v", "id", "by", "rank")
-        left = materialize(left, "left")
-        failed = failed if k else left.select("v", "id")  # later rounds' are among the first one's
-        now = left.join(left.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "v").drop("n")
-        if now.isEmpty():
-            break
-    known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
-    links = materialize(known.where("same").select("a", "b"), "links")
+    if led:
+        rank = drawn.groupBy("id").agg(F.sum("n").alias("rank"))
+        ranked = materialize(drawn.select("v", "id", "by").join(rank, "id"), "ranked")
+        leaders = ranked.groupBy("v").agg(F.max(F.struct("rank", (-F.col("by")).alias("by"), (-F.col("id")).alias("id"))).alias("top"))
+        first = ranked.join(leaders.select("v", (-F.col("top.id")).alias("b")), "v").where("id <> b")
+        known = _told(docs, first.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), threshold)
+        discard(ranked)
+    links = known.where("same").select("a", "b")
     roots = components(links)
-    # of two texts that failed no leader of their bucket no pair is missing, nor of two in one component, nor in a bucket of two
-    held = drawn.select("v", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    held = materialize(held, "held")
-    open_ = held.groupBy("v").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where(f"low <> high AND n > {2 if rounds else 1}").select("v")
-    open_ = materialize(open_, "open")
-    marked = failed.join(open_, "v", "left_semi").select("id").distinct().withColumn("marked", F.lit(1))
-    ids = held.join(open_, "v", "left_semi").select("id", "root").distinct().join(marked, "id", "left")
-    ids = materialize(ids.select("id", (F.col("root") * 2 + F.coalesce("marked", F.lit(0))).alias("w")), "ids")
+    held = materialize(drawn.select("v", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "held")
+    discard(drawn)
+    # pairs of one component need no more, nor do buckets of two, which the leader has settled
+    parts = held.groupBy("v", "root").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("v").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+    open_ = materialize(open_.where(f"roots > 1 AND n > {2 if led else 1}").select("v", F.col("most.root").alias("most")), "open")
+    ids = held.join(open_, "v").groupBy("id", "root").agg(F.max((F.col("root") != F.col("most")).cast("int")).alias("marked"))
+    ids = materialize(ids.select("id", (F.col("root") * 2 + F.col("marked")).alias("w")), "ids")
+    discard(held, open_)
     if not ids.isEmpty():
-        more = _prefix_pairs(docs, ids, threshold).join(known, ["a", "b"], "left_anti")
-        told = _verify(docs, more, threshold).where(F.col("m") * den >= F.col("all") * num).select("a", "b")
-        told = materialize(told, "told")
-        if not told.isEmpty():
-            links = links.union(told)
-            roots = components(links)
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    grouped = classes.select("lo", "hi", "id", "by", "n").join(roots, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    grouped = materialize(grouped, "grouped")
+        near = _prefix_pairs(docs, ids, threshold, list_size)
+        told = _told(docs, near.join(known, ["a", "b"], "left_anti"), threshold)
+        discard(near)
+        links = links.union(told.where("same").select("a", "b"))
+        roots = components(links)
+    grouped = materialize(classes.select("lo", "hi", "id", "by", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "grouped")
     keep = grouped.groupBy("root").agg(F.min(F.struct("by", "id")).alias("keep"), F.sum("n").alias("class_size"))
-    told = grouped.join(keep, "root").select("lo", "hi", F.col("keep.id").alias("keep_uid"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    told = materialize(told, "groups")
-    one = rows.where("full").select("uid", "lo", "hi").join(told, ["lo", "hi"]).select(F.col("uid").alias("_uid"), "keep_uid", "class_size", "n_links")
-    return one.union(rows.where("NOT full").select("uid", "uid", F.lit(1), F.lit(0)))
+    groups = materialize(grouped.join(keep, "root").select("lo", "hi", F.col("keep.id").alias("keep_uid"), "class_size"), "groups")
+    discard(classes, grouped, ids)
+    one = rows.where("full").select("uid", "lo", "hi").join(groups, ["lo", "hi"]).select(F.col("uid").alias("_uid"), "keep_uid", "class_size")
+    return one.union(rows.where("NOT full").select("uid", "uid", F.lit(1)))
 
 
 def dedup_near(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -303,9 +422,9 @@ def dedup_near(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, class_id (the doc_id that stays), class_size, n_links, kept."""
+    """One row per document: doc_id, class_id (the doc_id that stays), class_size, kept."""
     docs = with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     names = docs.select("_uid", "doc_id")
     told = materialize(near_groups(docs).join(names, "_uid"), "told")
     keep = told.where("_uid = keep_uid").select("keep_uid", F.col("doc_id").alias("class_id"))
-    return told.join(keep, "keep_uid").select("doc_id", "class_id", "class_size", "n_links", (F.col("_uid") == F.col("keep_uid")).alias("kept"))
+    return told.join(keep, "keep_uid").select("doc_id", "class_id", "class_size", (F.col("_uid") == F.col("keep_uid")).alias("kept"))

@@ -3,8 +3,8 @@ from collections import Counter
 
 import numpy as np
 
-from loomgraph.llm.near_dedup import aligned, dedup_near, near_groups, shingles
 from loomgraph.llm.common import with_uid
+from loomgraph.llm.near_dedup import aligned, dedup_near, near_groups, op10_minhash_near_dedup, shingles
 
 
 def labelled(text):
@@ -67,17 +67,79 @@ def corpus(seed=3):
     return texts + [" ".join(shuffled), "", "  \n"]
 
 
+def edited(r, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[r.randrange(len(words))] = f"n{r.randrange(10**9)}"
+    return words
+
+
+def families(seed):
+    """Chains (copies of copies), a star, and a random tree of copies, with a passage that all texts of the seed hold."""
+    r = random.Random(seed)
+    passage = [f"p{seed}x{i}" for i in range(25)]
+    texts = []
+    for kind in ("chain", "star", "tree"):
+        made = [[f"{kind}{seed}w{i}" for i in range(r.choice([60, 120]))] + passage]
+        for _ in range(r.randrange(6, 12)):
+            of = {"chain": made[-1], "star": made[0], "tree": r.choice(made)}[kind]
+            made.append(edited(r, of, r.randrange(1, 5)))
+        texts += made
+    texts += [[f"lone{seed}w{i}k{k}" for i in range(40)] + passage for k in range(3)]
+    r.shuffle(texts)
+    return [" ".join(w) for w in texts]
+
+
+def groups_of(spark, texts, **how):
+    numbered = with_uid(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = numbered.join(near_groups(numbered, **how), "_uid").collect()
+    ids = {r["_uid"]: r["doc_id"] for r in rows}
+    found = {r["doc_id"]: (ids[r["keep_uid"]], r["class_size"]) for r in rows}
+    return [found[i] for i in range(len(texts))]
+
+
+def brute_classes(texts):
+    of = brute_groups(texts)
+    size = Counter(of)
+    return [(g, size[g]) for g in of]
+
+
 def test_groups_match_brute_force(spark):
     texts = corpus()
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    numbered = with_uid(docs)
-    ids = {r["_uid"]: r["doc_id"] for r in numbered.collect()}
-    got = {ids[r["_uid"]]: ids[r["keep_uid"]] for r in near_groups(numbered).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_groups(texts)
-    # with no leader round at all, the exact prefix join alone gives the same groups
-    plain = {ids[r["_uid"]]: ids[r["keep_uid"]] for r in near_groups(numbered, rounds=0).collect()}
-    assert plain == got
-    assert sorted(r["doc_id"] for r in dedup_near(docs.withColumn("_UID", docs.doc_id)).collect()) == sorted(set(got.values()))
+    expected = brute_classes(texts)
+    assert groups_of(spark, texts) == expected
+    # without leaders, and with lists dealt into blocks of four, the exact filter finds the same
+    assert groups_of(spark, texts, led=False, list_size=4) == expected
+
+
+def test_chains_stars_and_trees_of_twenty_seeds(spark):
+    texts, expected = [], []
+    for seed in range(20):
+        own = families(seed)
+        expected += [(g + len(texts), n) for g, n in brute_classes(own)]
+        texts += own
+    assert groups_of(spark, texts) == expected
+    assert groups_of(spark, texts, list_size=3) == expected
+
+
+def test_query_and_renaming_of_columns(spark, tmp_path):
+    texts = corpus(8)
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _UID long")
+    expected = brute_classes(texts)
+    assert sorted(r["doc_id"] for r in dedup_near(docs).collect()) == sorted({g for g, _ in expected})
+    docs.select("doc_id", "text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op10_minhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[i]["class_id"], got[i]["class_size"], got[i]["kept"]) for i in range(len(texts))] == [(g, n, g == i) for i, (g, n) in enumerate(expected)]
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, tmp_path):
+    spark.range(2000).repartition(12).write.parquet(f"{tmp_path}/t")
+    told = []
+    for splits in ("4", "8"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", splits)
+        told.append(sorted(map(tuple, with_uid(spark.read.parquet(f"{tmp_path}/t")).collect())))
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert told[0] == told[1] and len({u for _, u in told[0]}) == 2000
 
 
 def test_edges(spark):
@@ -127,7 +189,10 @@ def family(seed):
 def test_copy_of_a_copy_that_matches_no_leader(spark):
     # in every bucket that x and y share, x matches the leader and y does not
     texts = [t for seed in (121, 162, 165, 169, 206, 397) for t in family(seed)]
-    numbered = with_uid(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    ids = {r["_uid"]: r["doc_id"] for r in numbered.collect()}
-    got = {ids[r["_uid"]]: ids[r["keep_uid"]] for r in near_groups(numbered).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_groups(texts) == [i - i % 5 for i in range(len(texts))]
+    assert [g for g, _ in groups_of(spark, texts)] == brute_groups(texts) == [i - i % 5 for i in range(len(texts))]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    long = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    assert [g for g, _ in groups_of(spark, [" ".join(long), " ".join(edited(r, long, 500)), " ".join(edited(r, long, 9000))])] == [0, 0, 2]
