@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-A model file is compiled into three machines. The normaliser rewrites spaces
-and adds the dummy prefix. The piece machine spells each piece of the
-vocabulary; byte fallback spells a character that no piece covers by its
-bytes. An input is composed with them, which gives a lattice of places in the
-text, and its tropical-semiring shortest path is the encoding.
+A model file is compiled into machines (`Machine`): the normaliser, which
+rewrites spaces and adds the dummy prefix; the pieces, a trie that puts a piece
+out where it ends and returns to its start; and byte fallback, an arc for each
+character that no piece spells. An input is composed with the normaliser, what
+comes out with the pieces and the fallback, which gives a lattice of places in
+the text, and its tropical-semiring shortest path is the encoding.
 
 For a unigram model an arc weighs minus its piece's score. For a BPE model the
 state also tells the last piece, and an arc from piece a to piece b weighs 0 if
 the merges keep the boundary in "ab", else infinity: one path of finite weight
 is left, which is what the merges produce. Boundaries are decided by merging
-the two pieces' characters, best score and leftmost first, and remembered.
+the two pieces' characters, best score and leftmost first, and remembered. In a
+run of space marks, whose pieces share one score, a boundary depends on where
+the run begins, which no such state tells: those stretches are merged by a heap.
 
 The lattice falls apart where no piece can cross: before a space mark that
 follows something else, and at characters that only stand alone. Each such
@@ -20,11 +23,15 @@ the memory is emptied when it is full.
 Defined results: a null text is empty and has no ids; control pieces are never
 matched in text; a text that holds the space mark itself decodes to a space;
 bytes that are not UTF-8 decode to U+FFFD; normalisers with a character map
-are refused; an empty table gives no rows; repeated rows get equal results.
+are refused; an empty table gives no rows; repeated rows get equal results;
+very long texts, runs of a million spaces among them, take time in proportion
+(a run of n marks n log n); of paths of equal weight the one whose last piece
+is the longest is taken; columns to keep may have any names.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 import zlib
@@ -110,8 +117,53 @@ class Model:
                         self.escape = bool(v)
 
 
+class Machine:
+    """A transducer over characters: `arcs[state][character]` is the next state and what is put out on the way.
+
+    By `other[state]` any other character leads to a next state and is copied behind what is put out.
+    `ends[state]` is what a state puts out at the end of the input, or None where the input must not end.
+    """
+
+    def __init__(self):
+        self.arcs: list[dict[str, tuple[int, str]]] = []
+        self.other: dict[int, tuple[int, str]] = {}
+        self.ends: list[str | int | None] = []
+
+    def state(self, end=None) -> int:
+        self.arcs.append({})
+        self.ends.append(end)
+        return len(self.arcs) - 1
+
+    def compose(self, text: str) -> str:
+        """The one output of composing text with a machine of one arc a state and character."""
+        state, out = 0, []
+        for c in text:
+            if (arc := self.arcs[state].get(c)) is not None:
+                state, put = arc
+                out.append(put)
+            else:
+                state, put = self.other[state]
+                out += (put, c)
+        return "".join(out) + (self.ends[state] or "")
+
+
+def normaliser(model: Model) -> Machine:
+    """Spaces become marks; if the model squeezes, leading and trailing ones go and runs are one."""
+    m, mark = Machine(), MARK if model.escape else " "
+    if not model.squeeze:
+        only = m.state("")
+        m.arcs[only][" "] = only, mark
+        m.other[only] = only, ""
+        return m
+    begin, word, gap = m.state(""), m.state(""), m.state("")
+    for state, to in ((begin, begin), (word, gap), (gap, gap)):
+        m.arcs[state][" "] = to, ""
+    m.other |= {begin: (word, ""), word: (word, ""), gap: (word, mark)}
+    return m
+
+
 class Transducer:
-    """The composed machine: encode() and decode()."""
+    """The compiled machines: encode() and decode()."""
 
     def __init__(self, model: Model):
         if model.kind not in (UNIGRAM, BPE):
@@ -119,10 +171,17 @@ class Transducer:
         self.model = model
         self.ids = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
         self.score = [s for _, s, _ in model.pieces]
-        self.longest = max(map(len, self.ids), default=1)
-        # the piece machine as a trie: beginnings of pieces, with the piece that ends there
-        self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))}
-        self.trie |= self.ids
+        self.spaces = normaliser(model)
+        self.trie = Machine()
+        self.trie.state()
+        for piece, i in self.ids.items():
+            at = 0
+            for c in piece:
+                if c not in self.trie.arcs[at]:
+                    self.trie.arcs[at][c] = self.trie.state(), ""
+                at = self.trie.arcs[at][c][0]
+            self.trie.ends[at] = i
+        self.next = [{c: to for c, (to, _) in arcs.items()} for arcs in self.trie.arcs]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.spell = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() if model.escape else p.encode() for p, _, kind in model.pieces]
         self.worst = min((s for (_, s, kind) in model.pieces if kind == NORMAL), default=0.0) - 10
@@ -136,26 +195,44 @@ class Transducer:
         self.keeps: dict[int, bool] = {}  # by (a + 1) << 32 | b
 
     def normalise(self, text: str) -> str:
+        """text composed with the normaliser; the dummy prefix is an arc before its start."""
         m = self.model
-        if m.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if m.dummy_prefix and text:
-            text = " " + text
-        return text.replace(" ", MARK) if m.escape else text
+        if len(self.spaces.arcs) == 1:  # of a machine of one state composing is a replacement of characters
+            out = text.replace(" ", self.spaces.arcs[0][" "][1])
+        else:
+            out = self.spaces.compose(text)
+        return (MARK if m.escape else " ") + out if m.dummy_prefix and out else out
 
     def merged(self, text: str) -> list[str]:
-        """BPE by its definition: join the best-scored neighbours, leftmost first. For single pieces and pairs."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """BPE by its definition: join the best-scored neighbours, leftmost first, from a heap of what can be joined."""
+        parts: list[str] = list(text)
+        n = len(parts)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: list[tuple[float, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = right[i]
+            if i >= 0 and j < n and (piece := self.ids.get(parts[i] + parts[j])) is not None:
+                waiting.append((-self.score[piece], i, j, len(parts[i]) + len(parts[j])))
+
+        for i in range(n - 1):
+            offer(i)
+        heapq.heapify(waiting)
+        grown, waiting = waiting, []
+        while grown:
+            _, i, j, size = heapq.heappop(grown)
+            if not parts[i] or right[i] != j or j >= n or len(parts[i]) + len(parts[j]) != size:
+                continue  # one of the two has changed since
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            right[i] = right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            if left[i] >= 0:
+                offer(left[i])
+            offer(i)
+            while waiting:
+                heapq.heappush(grown, waiting.pop())
+        return [p for p in parts if p]
 
     def boundary(self, a: int, b: int) -> bool:
         """Whether an arc from piece a to piece b has a finite weight; a = -1: the start."""
@@ -166,62 +243,66 @@ class Transducer:
         got = self.keeps[(a + 1) << 32 | b] = self.merged(p + q) == ([p, q] if p else [q])
         return got
 
-    def _alone(self, c: str) -> list[int]:
-        """Fallback arcs of a character that no piece spells."""
+    def fallback(self, c: str) -> list[int]:
+        """What the fallback machine puts out for a character that no piece spells."""
         if self.model.byte_fallback and self.bytes:
             return [self.bytes[x] for x in c.encode()]
         return [self.model.unknown]
 
-    def path(self, text: str) -> list[int]:
-        """Shortest path through the lattice of one stretch."""
-        if self.model.kind == UNIGRAM:
-            return self._lightest(text)
-        if text[:2] == MARK * 2 and len(set(text)) == 1 or MARK * 2 in text:
-            # equal scores of space runs: only merging itself tells which come first
-            return [i for p in self.merged(text) for i in ([self.ids[p]] if p in self.ids else self._alone(p))]
-        n, trie, keeps = len(text), self.trie.get, self.keeps
-        # last: the piece that ends here on the one finite path; -1: none yet; -2: an unknown character, over which nothing merges
-        last, back = [-1] * (n + 1), [0] * (n + 1)
+    def compose(self, text: str) -> list[list[tuple[int, int]]]:
+        """The lattice: for each place the arcs (place they lead to, piece; -1: the fallback), the longest first."""
+        n, steps, ends = len(text), self.next, self.trie.ends
+        lattice = []
         for i in range(n):
-            a = last[i]
-            if a == -1 and i:
-                continue  # no path comes here
-            before = 0 if a < 0 else (a + 1) << 32
-            known = False
-            for j in range(i + 1, n + 1):
-                piece = trie(text[i:j])
-                if piece is None:
+            arcs, state, spelled = [], 0, False
+            for j in range(i, n):
+                state = steps[state].get(text[j])
+                if state is None:
                     break
-                if piece >= 0:
-                    known = known or j == i + 1
-                    if last[j] == -1:  # from the left, so the longest piece comes first
-                        keep = keeps.get(before | piece)
-                        if self.boundary(a if a >= 0 else -1, piece) if keep is None else keep:
-                            last[j], back[j] = piece, i
-            if not known and last[i + 1] == -1:
-                last[i + 1], back[i + 1] = -2, i
+                piece = ends[state]
+                if piece is not None:
+                    arcs.append((j + 1, piece))
+                    spelled = spelled or j == i
+            if not spelled:
+                arcs.append((i + 1, -1))
+            lattice.append(arcs[::-1])
+        return lattice
+
+    def shortest(self, text: str) -> list[int]:
+        """Tropical shortest path: of sums of weights the least."""
+        lattice, n = self.compose(text), len(text)
+        bpe, keeps = self.model.kind == BPE, self.keeps
+        # (cost, piece that ends here, place before); for BPE that piece is part of the state, and one state a place is reachable
+        best: list[tuple[float, int, int] | None] = [None] * (n + 1)
+        best[0] = (0.0, -1, -1)
+        for i, arcs in enumerate(lattice):
+            if best[i] is None:
+                continue
+            cost, last, _ = best[i]
+            for j, piece in arcs:
+                if not bpe:
+                    weight = -self.score[piece] if piece >= 0 else -self.worst
+                elif piece < 0:
+                    weight = 0.0
+                else:
+                    keep = keeps.get((last + 1) << 32 | piece)
+                    if not (self.boundary(last, piece) if keep is None else keep):
+                        continue
+                    weight = 0.0
+                if best[j] is None or cost + weight < best[j][0]:
+                    best[j] = (cost + weight, piece, i)
         out: list[int] = []
         while n:
-            i = back[n]
-            out += [last[n]] if last[n] >= 0 else self._alone(text[i:n])[::-1]
+            _, piece, i = best[n]
+            out += [piece] if piece >= 0 else self.fallback(text[i:n])[::-1]
             n = i
         return out[::-1]
 
-    def _lightest(self, text: str) -> list[int]:
-        n = len(text)
-        cost, back = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = self.ids.get(text[i:j])
-                w = -self.score[piece] if piece is not None else -self.worst if j == i + 1 else None
-                if w is not None and cost[i] + w < cost[j]:
-                    cost[j], back[j] = cost[i] + w, (i, -1 if piece is None else piece)
-        out: list[int] = []
-        while n:
-            i, piece = back[n]
-            out += [piece] if piece >= 0 else self._alone(text[i:n])[::-1]
-            n = i
-        return out[::-1]
+    def path(self, text: str) -> list[int]:
+        """The ids of one stretch."""
+        if self.model.kind == BPE and MARK * 2 in text:
+            return [i for p in self.merged(text) for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
+        return self.shortest(text)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
