@@ -4,8 +4,8 @@ Vectors of one label link if their cosine, in double precision, reaches the
 threshold. On unit vectors that is a distance of at most sqrt(2 - 2 cos).
 Equal vectors form one class with a multiplicity. The classes of a label are
 dealt to the cells of a cover tree's upper level, which is fitted on a bounded
-sample (`SAMPLE` rows in all, `CELLS` cells a label); cells hold blocks of at
-most about `BLOCK` classes. Two cells meet only if their pivots are nearer than
+sample (`SAMPLE` rows in all). A label has `CELLS` cells, a large one more: one
+for every four blocks, `MOST_CELLS` at most. Cells hold blocks of about `BLOCK` classes. Two cells meet only if their pivots are nearer than
 both covering radii and the threshold together.
 
 A task gets two blocks and builds a cover tree of each: nested levels with
@@ -37,7 +37,7 @@ from loomgraph.llm.common import components, materialize, with_uid
 
 THRESHOLD = 0.98
 SAMPLE = 4096
-CELLS = 16
+CELLS, MOST_CELLS = 16, 256
 BLOCK = 2048
 _EPS = 1e-9
 
@@ -201,7 +201,8 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
         return classes.sparkSession.createDataFrame([], "id long, n_linked long, root long")
     chance = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < F.lit(min(1 << 30, (SAMPLE << 30) // total))
     sample = classes.where(chance).select("label", "dim", "vec").limit(2 * SAMPLE).toPandas()
-    pivots = {(int(k[0]), int(k[1])): upper_cells(np.array(g["vec"].tolist(), dtype=np.float64), CELLS) for k, g in sample.groupby(["label", "dim"])}
+    wanted = lambda g: min(MOST_CELLS, max(CELLS, len(g) * total // (4 * block * len(sample))))
+    pivots = {(int(k[0]), int(k[1])): upper_cells(np.array(g["vec"].tolist(), dtype=np.float64), wanted(g)) for k, g in sample.groupby(["label", "dim"])}
     dealt = materialize(_dealt(classes, pivots), "dealt")
     cells = materialize(dealt.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("far").alias("radius")).withColumn("blocks", F.ceil(F.col("size") / block)), "cells")
     apart = [(k[0], k[1], i, j, float(d)) for k, p in pivots.items() for i in range(len(p)) for j, d in enumerate(np.sqrt(np.maximum(0, 2 - 2 * p[i] @ p.T)).tolist()) if j >= i]
