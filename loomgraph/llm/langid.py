@@ -6,8 +6,11 @@ frozen. The language whose model gives a text the shortest code wins; the
 score is its share of 2**-bits over all languages.
 
 Counts come from executors, summed by Spark, from a bounded sample of
-labelled rows: `per_lang` expected rows of each language, chosen by a hash of
-the identifier. With frozen statistics the distribution after a context is
+labelled rows: `per_lang` expected rows and `LANG_BYTES` expected bytes of each
+language at most, whole texts chosen by a hash of the identifier. The trees are
+pruned to `MODEL_BYTES`: contexts of order 0 and 1 always stay, of longer ones
+the most frequent whose suffix stays; a pruned context codes as its suffix.
+With frozen statistics the distribution after a context is
 fixed, so each context seen in training becomes one row of a table
 (context x next byte x language) of code lengths, and a text is scored by
 looking up its bytes, exactly as the trees would code it. ASCII letters are
@@ -15,8 +18,9 @@ folded to lower case; bytes never seen in training share one symbol.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or
 where nothing could be learned; very long texts are scored whole, in blocks;
-repeated rows get equal predictions; an empty table gives no rows; lang,
-source and doc_id are never inputs of a prediction.
+repeated rows get equal predictions; of languages with equally short codes the
+first by name is taken; an empty table gives no rows; columns to keep may have
+any names; lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ from loomgraph.llm.common import chunks, lean, text_bytes, trimming
 ORDER = 3
 #: Expected labelled rows of each language that the statistics are learned from.
 PER_LANG = 400
+LANG_BYTES = 4 << 20
+#: Bytes of the table of code lengths, which is broadcast.
+MODEL_BYTES = 128 << 20
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -86,7 +93,7 @@ def _ramp(n: np.ndarray) -> np.ndarray:
 class Model:
     """Frozen context trees of all languages as one table of code lengths in bits."""
 
-    def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+    def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, limit: int = MODEL_BYTES):
         self.langs, self.order = langs, order
         bytes_of = {k: [(g >> (8 * (order - i))) & 255 for i in range(order + 1)] for k, (g, _) in grams.items()}
         seen = np.zeros(256, dtype=bool)
@@ -99,9 +106,17 @@ class Model:
         # contexts of every order that any language has seen, as numbers in base `size`
         self.contexts: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
         codes = {k: [self.symbol[c] for c in cols] for k, cols in bytes_of.items()}
+        left = limit // (4 * size * max(len(langs), 1)) - 1  # contexts that the table has room for
         for k in range(1, order + 1):
             keys = [self._code(c[order - k : order]) for c in codes.values()]
-            self.contexts.append(np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64))
+            found, at = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.int64),) * 2
+            if k > 1 and len(found):
+                often = np.bincount(at, np.concatenate([grams[lang][1] for lang in codes]), minlength=len(found))
+                often[~np.isin(found % size ** (k - 1), self.contexts[k - 1])] = 0
+                ranked = np.lexsort((found, -often))[: max(left, 0)]
+                found = np.sort(found[ranked[often[ranked] > 0]])
+            left -= len(found)
+            self.contexts.append(found)
         self.first = np.cumsum([0] + [len(c) for c in self.contexts])
         # an unseen context stands for its longest seen suffix
         states = np.zeros(1, dtype=np.int32)
@@ -124,11 +139,12 @@ class Model:
         uniform = np.full(size, 1.0 / size)
         for k in range(order + 1):
             ctx = self._code(codes[order - k : order]) if k else np.zeros(len(counts), np.int64)
-            row = np.searchsorted(self.contexts[k], ctx)
+            here = np.isin(ctx, self.contexts[k])
+            row = np.searchsorted(self.contexts[k], ctx[here])
             n = np.zeros((len(self.contexts[k]), size))
-            np.add.at(n, (row, codes[order]), counts)
+            np.add.at(n, (row, codes[order][here]), counts[here])
             if k:
-                suffix = self.contexts[k] % size ** (k - 1)  # every suffix of a seen context is seen
+                suffix = self.contexts[k] % size ** (k - 1)  # every suffix of a context here is here
                 lower = out[self.first[k - 1] + np.searchsorted(self.contexts[k - 1], suffix)]
             else:
                 lower = uniform[None, :]
@@ -173,9 +189,10 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Mode
     """Fit on a bounded sample of the rows that have a lang."""
     lean(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()
+    share = {r["lang"]: min(1 << 30, -(-per_lang * (1 << 30) // r["n"]), -(-LANG_BYTES * (1 << 30) // max(r["bytes"], 1))) for r in sizes}
     spread = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for k, n in sorted(rows.items()) for x in (k, min(1 << 30, -(-per_lang * (1 << 30) // n)))]) if rows else None
+    limit = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair]) if share else None
     if limit is None:
         return Model([], {}, order)
     found = context_counts(labelled.where(spread < limit[F.col("lang")]), order).toPandas()
@@ -186,7 +203,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Mode
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns of keep, lang_pred and score of every row."""
     lean(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_BYTES
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
