@@ -4,7 +4,8 @@ Features: lengths, path depth, digit ratio, character entropy, counts of
 parameters, hyphens and dots, and smoothed label statistics of host suffixes.
 The trees learn from labelled URLs: those whose path names a document that
 has labels (low quality or toxic: block), at most about `max_rows` of them,
-chosen by a hash. Suffix statistics count all labelled URLs.
+chosen by a hash. Suffix statistics count all labelled URLs; for a URL that is
+learned from they leave out its fold, so that no label is an input of its own.
 
 A rule is (host, path, verdict). It fits its host and all subdomains if the
 URL's path starts with the rule's; the longest that fits decides, else the
@@ -12,8 +13,11 @@ trees do.
 
 Defined results: a URL that is null or has no `://` has an empty host and
 path, fits no rule and goes to the trees like any other; with no or only one
-kind of label the trees are a constant (allow where there is none); repeated
-rows get equal verdicts; an empty table gives no rows.
+kind of label the trees are a constant (allow where there is none); a document
+with several labels is bad if one says so; of rules of equal length the one
+that sorts first decides; repeated rows get equal verdicts; very long URLs are
+judged whole; other columns, whatever their names, are left out; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import materialize
+
 RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -33,6 +39,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_ROWS = 20_000
 #: Labels of a host suffix count beside so many of the overall rate.
 PRIOR = 10.0
+#: Folds of the labelled URLs.
+FOLDS = 5
 FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_dots", "f_fragment", "f_secure", "f_stat1", "f_stat2", "f_stat3"]
 
 
@@ -107,6 +115,28 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.withColumn("_doc", number).where("_doc IS NOT NULL").join(known, F.col("_doc") == F.col("doc_id")).drop("_doc", "doc_id")
 
 
+def suffix_counts(known: DataFrame, k: int) -> DataFrame:
+    """For each host suffix of k labels: labelled URLs and blocked ones, in all and in each fold."""
+    own = [F.col("_fold") == f for f in range(FOLDS)]
+    return known.groupBy(f"_s{k}").agg(
+        F.count("*").alias("_n"), F.sum("y").alias("_y"), F.array(*[F.count_if(o) for o in own]).alias("_nf"), F.array(*[F.sum(F.when(o, F.col("y")).otherwise(0.0)) for o in own]).alias("_yf")
+    )
+
+
+def with_stats(urls: DataFrame, stats: list[DataFrame], rate: float, fold: str | None = None) -> DataFrame:
+    """Add the share of blocked URLs of each suffix, drawn towards rate; with fold, as the other folds have it.
+
+    So a URL that is learned from never sees its own label, nor those of its equals.
+    """
+    for k, counts in enumerate(stats, 1):
+        urls = urls.join(counts, f"_s{k}", "left")
+        n, y = F.coalesce("_n", F.lit(0)), F.coalesce("_y", F.lit(0.0))
+        if fold:
+            n, y = n - F.get("_nf", F.col(fold)), y - F.get("_yf", F.col(fold))
+        urls = urls.withColumn(f"f_stat{k}", (y + PRIOR * rate) / (n + PRIOR)).drop("_n", "_y", "_nf", "_yf")
+    return urls
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' probability of block, for every page."""
     from pyspark.ml.classification import GBTClassifier
@@ -114,26 +144,20 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_rows: int = MAX_
     from pyspark.ml.functions import vector_to_array
 
     base = lexical(pages.select("page_id", "url"), "url")
-    known = labelled_urls(base, labels.select("doc_id", "quality", "toxic"))
+    # the labelled URLs are found once; their fold follows the URL, so that equal URLs share one
+    known = materialize(labelled_urls(base, labels.select("doc_id", "quality", "toxic")).withColumn("_fold", F.pmod(F.xxhash64(F.lit(4), "url"), F.lit(FOLDS)).cast("int")), "labelled")
     n, bad = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     rate = bad / n if n else 0.0
-
-    def with_stats(df: DataFrame) -> DataFrame:
-        for k in (1, 2, 3):
-            stats = known.groupBy(f"_s{k}").agg(F.count("*").alias("_n"), F.sum("y").alias("_y"))
-            stats = stats.select(F.col(f"_s{k}"), ((F.col("_y") + PRIOR * rate) / (F.col("_n") + PRIOR)).alias(f"f_stat{k}"))
-            df = df.join(stats, f"_s{k}", "left").fillna(rate, [f"f_stat{k}"])
-        return df
-
     if not 0 < bad < n:
         scored = base.withColumn("p_block", F.lit(1.0 if n and bad == n else 0.0))
     else:
+        stats = [materialize(suffix_counts(known, k), f"suffix{k}") for k in (1, 2, 3)]
         keep = F.pmod(F.xxhash64(F.lit(9), "url"), F.lit(1 << 30)) < F.lit(min(1 << 30, (max_rows << 30) // n))
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="_x")
-        train = vectors.transform(with_stats(known.where(keep))).select("_x", "y")
-        trees = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=12, maxDepth=4, stepSize=0.2, seed=1).fit(train)
+        train = materialize(with_stats(known.where(keep), stats, rate, "_fold").select("y", *FEATURES), "train")
+        trees = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=12, maxDepth=4, stepSize=0.2, seed=1).fit(vectors.transform(train))
         trees.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c")
-        scored = trees.transform(vectors.transform(with_stats(base))).withColumn("p_block", vector_to_array("_p")[1])
+        scored = trees.transform(vectors.transform(with_stats(base, stats, rate))).withColumn("p_block", vector_to_array("_p")[1])
     name, verdict = fitting_rule(rules)
     own = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "p_block")

@@ -89,13 +89,91 @@ def test_toxicity_edges(spark):
     assert X.scored(docs.limit(0), X.learn(docs.limit(0), labels), "doc_id").count() == 0
 
 
-def test_label_model_finds_the_good_voters():
-    r = np.random.default_rng(0)
-    y = r.random(3000) < 0.1
-    x = np.stack([np.where(y, r.random(3000) < 0.6, r.random(3000) < p) for p in (0.001, 0.001, 0.01)] + [r.random(3000) < 0.1], 1).astype(np.float32)
-    post = X.label_model(x, 3, 0.1, np.full(3000, np.nan))
-    spoke = x[:, :3].any(1)
-    assert ((post > 0.5) == y)[spoke].mean() > 0.85 and (post[~spoke] < 0.5).all()
+def plain_label_model(kinds, known, truth, share, rounds):
+    """Expectation maximisation row by row, as the operator's docstring says."""
+    n = len(known[0])
+
+    def rates(hot, said1, cold, said0):
+        return [min(max((s + 0.5) / (hot + 1), 1e-5), 1 - 1e-3) for s in said1], [min(max((s + 0.05) / (cold + 1), 1e-6), 1 - 1e-3) for s in said0]
+
+    def post(cells):
+        k = max(len(cells), 1)
+        shared = 1 + sum(together[i][j] for i in cells for j in cells) / k
+        z = sum(math.log(p1[i] / p0[i]) for i in cells) / shared + math.log(share / (1 - share))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    base = [sum(t == 1 for t in truth), [sum(x[i] for x, t in zip(known, truth) if t == 1) for i in range(n)], sum(t != 1 for t in truth), [sum(x[i] for x, t in zip(known, truth) if t != 1) for i in range(n)]]
+    p1, p0 = rates(*base)
+    together = [[0.0] * n for _ in range(n)]
+    for turn in range(rounds):
+        sums = [0.0, [0.0] * n, 0.0, [0.0] * n]
+        moments = [[0.0] * n for _ in range(n)]
+        for cells, times in kinds:
+            q = post(cells)
+            rest = [(i in cells) - q * p1[i] - (1 - q) * p0[i] for i in range(n)]
+            sums[0] += q * times
+            sums[2] += (1 - q) * times
+            for i in cells:
+                sums[1][i] += q * times
+                sums[3][i] += (1 - q) * times
+            for i in range(n):
+                for j in range(n):
+                    moments[i][j] += times * rest[i] * rest[j]
+        w = min(1.0, len(truth) / (sums[0] + sums[2]))
+        p1, p0 = rates(base[0] + w * sums[0], [a + w * b for a, b in zip(base[1], sums[1])], base[2] + w * sums[2], [a + w * b for a, b in zip(base[3], sums[3])])
+        if turn in X.CORRELATE:
+            d = [math.sqrt(moments[i][i]) + 1e-9 for i in range(n)]
+            together = [[0.0 if i == j else min(max(moments[i][j] / (d[i] * d[j]), 0), 1) for j in range(n)] for i in range(n)]
+    return p1, p0, [post(cells) for cells, _ in kinds]
+
+
+def test_label_model_equals_plain_expectation_maximisation(spark):
+    r = random.Random(0)
+    n, rows = 5, []
+    for _ in range(3000):
+        bad = r.random() < 0.15
+        cells = [i for i, (hit, miss) in enumerate(((0.6, 0.001), (0.5, 0.002), (0.3, 0.01), (0.1, 0.1), (0.05, 0.9))) if r.random() < (hit if bad else miss)]
+        rows.append((bad, cells))
+    kinds = {}
+    for _, cells in rows:
+        kinds[tuple(cells)] = kinds.get(tuple(cells), 0) + 1
+    known = np.array([[i in cells for i in range(n)] for _, cells in rows[:300]], dtype=float)
+    truth = np.array([float(bad) for bad, _ in rows[:300]])
+    df = spark.createDataFrame([(list(k), v) for k, v in kinds.items()], "cells array<int>, times long")
+    got = X.label_model(df, n, known, truth, 0.15)
+    p1, p0, post = plain_label_model(list(kinds.items()), known.tolist(), truth.tolist(), 0.15, X.ROUNDS)
+    assert np.allclose(got[0], p1, atol=1e-4) and np.allclose(got[1], p0, atol=1e-4)
+    dense = np.array([[i in k for i in range(n)] for k in kinds], dtype=float)
+    own = X.posterior(dense, *got)
+    assert np.allclose(own, post, atol=1e-3)
+    of = dict(zip(kinds, own))
+    assert np.mean([(of[tuple(cells)] > 0.5) == bad for bad, cells in rows]) > 0.93
+
+
+def test_toxicity_long_repeated_and_clashing(spark):
+    docs = spark.createDataFrame([(i % 300, ("zblork " if i % 4 == 0 else "friend ") * (60_000 if i == 8 else 5), "x", 1.0) for i in range(600)], "doc_id long, text string, cells string, score double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 7) for i in range(300)], "doc_id long, toxic int, times int")
+    rows = X.scored(docs.withColumnRenamed("score", "own"), X.learn(docs, labels), "doc_id", "cells", "own").collect()
+    assert len(rows) == 600 and {(r["doc_id"] % 4 == 0, r["predicted"]) for r in rows} == {(True, 1), (False, 0)}
+    of = {}
+    for r in rows:
+        of.setdefault(r["doc_id"], set()).add(r["score"])
+    assert sum(len(s) > 1 for s in of.values()) <= 1  # the long text's row has a twin of another text
+
+
+def test_language_pruned_trees_and_long_texts(spark):
+    docs = spark.createDataFrame([(i, ("the cat sat on the mat and saw the dog " if i % 2 else "der hund lief in den garten und sah die katze ") * 4, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    whole = L.learn(docs)
+    found = L.context_counts(docs, L.ORDER).toPandas()
+    small = L.Model(["de", "en"], {k: (g["gram"].to_numpy(), g["n"].to_numpy(dtype=float)) for k, g in found.groupby("lang")}, limit=15_000)
+    assert small.table.nbytes <= 15_000 < whole.table.nbytes
+    for k in range(1, L.ORDER + 1):
+        assert set(small.contexts[k] % small.size ** (k - 1)) <= set(small.contexts[k - 1])
+    p = small.table.reshape(-1, small.size, 2)
+    assert np.allclose(np.exp2(-p.astype(float)).sum(1), 1, atol=1e-3)
+    long = spark.createDataFrame([(1, "the dog and the cat " * 100_000, "s"), (1, "the dog and the cat " * 100_000, "s"), (2, "die katze und der hund", "s")], "doc_id long, text string, score string")
+    got = L.predict(long.withColumnRenamed("score", "bits"), small, "doc_id", "bits").collect()
+    assert [r["lang_pred"] for r in got] == ["en", "en", "de"] and got[0] == got[1]
 
 
 def test_url_rules(spark):
@@ -133,6 +211,32 @@ def test_url_trees_learn(spark):
     assert sum(r["verdict"] == right[r["page_id"]] for r in got.collect()) > 570
 
 
+def test_suffix_statistics_leave_the_own_fold_out(spark):
+    r = random.Random(6)
+    rows = [(f"a.b{r.randrange(4)}.c", f"b{r.randrange(4)}.c", "c", float(r.random() < 0.3), r.randrange(U.FOLDS)) for _ in range(200)]
+    known = spark.createDataFrame(rows, "_s3 string, _s2 string, _s1 string, y double, _fold int")
+    stats = [U.suffix_counts(known, k) for k in (1, 2, 3)]
+    for fold in (None, "_fold"):
+        got = sorted(tuple(x) for x in U.with_stats(known, stats, 0.3, fold).select("_s3", "_s2", "_s1", "y", "_fold", *[F.round(f"f_stat{k}", 9) for k in (1, 2, 3)]).collect())
+        want = []
+        for row in rows:
+            shares = []
+            for at in (2, 1, 0):
+                same = [o for o in rows if o[at] == row[at] and (fold is None or o[4] != row[4])]
+                shares.append(round((sum(o[3] for o in same) + U.PRIOR * 0.3) / (len(same) + U.PRIOR), 9))
+            want.append((*row, *shares))
+        assert got == sorted(want)
+    unseen = spark.createDataFrame([("z", "z", "z")], "_s3 string, _s2 string, _s1 string")
+    assert U.with_stats(unseen, stats, 0.3).first()["f_stat2"] == 0.3
+
+
+def test_url_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/a?" + "q" * 200_000, "h"), (1, "http://x.net/a?" + "q" * 200_000, "h"), (None, "http://u.org/7", "h")], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(7, 0, None), (7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = U.judge(pages, labels).collect()
+    assert [r["host"] for r in got] == ["x.net", "x.net", "u.org"] and len({r["verdict"] for r in got}) == 1
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("aaaa",), ("a.b?",)], "u string").select(U.entropy(F.col("u"))).collect()
     assert [round(r[0], 6) for r in got] == [1.0, 0.0, 0.0, 2.0]
