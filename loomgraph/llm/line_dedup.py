@@ -452,6 +452,20 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Da
     )
 
 
+def _mask(numbers):
+    """A byte for each line up to the last of numbers: 1 for those among them, to be looked up by place."""
+
+    def of(rows):
+        def one(lines):
+            mask = np.zeros(max(lines) + 1, np.uint8)
+            mask[lines] = 1
+            return mask.tobytes()
+
+        return rows.map(one)
+
+    return F.pandas_udf(of, "binary", F.PandasUDFType.SCALAR)(numbers)
+
+
 def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs without later matching lines; rows of which no line with words is left go.
 
@@ -459,10 +473,10 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
     """
     docs, restore = shelve(docs, "doc_id", "text", "n_chars")
     docs = with_uid(docs)
-    gone = removed_lines(docs.select("_uid", "doc_id", "text"), threshold).where("n_removed > 0").select("_uid", "removed_lines")
+    gone = removed_lines(docs.select("_uid", "doc_id", "text"), threshold).where("n_removed > 0").select("_uid", _mask(F.col("removed_lines")).alias("_gone"))
     joined = docs.join(gone, "_uid", "left")
-    hit = F.col("removed_lines").isNotNull()
-    parts = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed_lines", i))
+    hit = F.col("_gone").isNotNull()
+    parts = F.filter(F.split("text", "\n"), lambda x, i: F.substring("_gone", i + 1, F.lit(1)) != F.lit(b"\1"))
     joined = joined.withColumn("text", F.when(hit, F.array_join(parts, "\n")).otherwise(F.col("text")))
     joined = joined.where(~hit | (F.trim("text") != ""))
     if "n_chars" in docs.columns:

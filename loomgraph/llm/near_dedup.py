@@ -378,16 +378,19 @@ def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, led: bo
     classes = rows.where("full").groupBy("lo", "hi").agg(F.min(F.struct("by", "uid")).alias("first"), F.count("*").alias("n"), F.max("sketch").alias("sketch"))
     classes = materialize(classes.select("lo", "hi", F.col("first.uid").alias("id"), F.col("first.by").alias("by"), "n", "sketch"), "classes")
     drawn = classes.select("id", "by", F.explode("sketch").alias("v"))
-    shared = drawn.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    # what is joined with hot values is a table by then, so that Spark can split those values
+    shared = materialize(drawn.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     drawn = materialize(drawn.join(shared, "v"), "buckets")
+    discard(shared)
     known = docs.sparkSession.createDataFrame([], "a long, b long, same boolean")
     if led:
         rank = drawn.groupBy("id").agg(F.sum("n").alias("rank"))
         ranked = materialize(drawn.select("v", "id", "by").join(rank, "id"), "ranked")
         leaders = ranked.groupBy("v").agg(F.max(F.struct("rank", (-F.col("by")).alias("by"), (-F.col("id")).alias("id"))).alias("top"))
-        first = ranked.join(leaders.select("v", (-F.col("top.id")).alias("b")), "v").where("id <> b")
+        leaders = materialize(leaders.select("v", (-F.col("top.id")).alias("b")), "leaders")
+        first = ranked.join(leaders, "v").where("id <> b")
         known = _told(docs, first.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), threshold)
-        discard(ranked)
+        discard(ranked, leaders)
     links = known.where("same").select("a", "b")
     roots = components(links)
     held = materialize(drawn.select("v", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "held")

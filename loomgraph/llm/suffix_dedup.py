@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import _BYTE, chunks, materialize, mix64, near_keys, powers, shelve, text_bytes, trimming, with_uid
+from loomgraph.llm.common import _BYTE, chunks, discard, materialize, mix64, near_keys, powers, shelve, text_bytes, trimming, with_uid
 from loomgraph.llm.line_dedup import _order_key
 
 LENGTH = 400
@@ -323,7 +323,10 @@ def covered(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, cro
     docs = docs.select("_uid", "doc_id", "text").withColumn("_by", _order_key(docs))
     anchors = materialize(_anchors(docs, length), "anchors")
     often = anchors.groupBy("g").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).where("n > 1").select("g", (F.col("low") != F.col("high")).alias("mixed"))
+    # what is joined with hot anchors is a table by then, so that Spark can split those anchors
+    often = materialize(often, "often")
     members = materialize(anchors.join(often, "g"), "members")
+    discard(anchors, often)
     place = F.struct("o", "u", "pos")
     classes = members.groupBy("g", "r").agg(F.count("*").alias("n"), F.min(F.struct("o", "u", "pos", "lr")).alias("first"), F.first("mixed").alias("mixed"))
     classes = materialize(classes, "classes")
@@ -332,9 +335,10 @@ def covered(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, cro
         copied = copied.where(~place.eqNullSafe(F.col("first")))
     left, right = F.shiftright("lr", 32), F.col("lr").bitwiseAND(F.lit(0xFFFFFFFF))
     spans = copied.select("u", (F.col("pos") - left).alias("a"), (F.col("pos") + right).alias("b"))
-    kinds = classes.where("mixed").groupBy("g").agg(F.count("*").alias("kinds"))
+    kinds = materialize(classes.where("mixed").groupBy("g").agg(F.count("*").alias("kinds")), "kinds")
     reps = materialize(classes.where("mixed").join(kinds, "g").select("g", "first.u", "first.o", "first.pos", "first.lr", "kinds"), "reps")
     cut = materialize(_cut_regions(docs, reps), "regions")
+    discard(kinds, reps)
     spans = spans.union(_by_suffixes(cut.where(F.col("kinds") <= crowd), length, keep_first))
     crowded = cut.where(F.col("kinds") > crowd)
     if not crowded.isEmpty():
