@@ -34,19 +34,19 @@ def bucket(token: str) -> int:
 
 
 def _bow(texts):
-    seen: dict[str, int] = {}
+    known: dict[str, int] = {}
     for batch in texts:
-        out = []
-        for text in batch:
-            v = np.zeros(DIMS)
-            for token in _TOKEN.findall((text or "").lower()):
-                if token not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen[token] = bucket(token)
-                v[seen[token]] += 1
-            out.append(v / (np.sqrt((v * v).sum()) or 1.0))
-        yield pd.Series(out)
+        found = [_TOKEN.findall((text or "").lower()) for text in batch]
+        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        tokens = [t for f in found for t in f]
+        for t in set(tokens).difference(known):  # each token is hashed once
+            known[t] = bucket(t)
+        at = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        counts = np.bincount(rows * DIMS + at, minlength=len(found) * DIMS).reshape(-1, DIMS).astype(float)
+        size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        yield pd.Series(list(counts / np.where(size > 0, size, 1.0)))
+        if len(known) > 500_000:
+            known.clear()
 
 
 def bow_embedding(text) -> Column:
