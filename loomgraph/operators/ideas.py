@@ -71,6 +71,24 @@ def normalised_reply(ideas: Column) -> Column:
     return F.filter(shaped, lambda i: F.coalesce(i["statement"], F.lit("")) != "")
 
 
+def extraction_prompt(title: Column, journal: Column, year: Column, mesh: Column, abstract: Column) -> Column:
+    """What a model is shown of a paper: a line for each field that is there."""
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
+    return F.concat_ws("\n", line("Title", title), line("Journal", journal), line("Year", year), line("Mesh", F.array_join(mesh, ", ")), line("Abstract", abstract))
+
+
+def extracted(papers: DataFrame, make, key: str = "pmid") -> DataFrame:
+    """(key, key_finding, i): the ideas that a model finds in each paper's abstract, one row an idea; make() gives the model in a task."""
+    from loomgraph.models import replies
+    from loomgraph.prompts import TASKS
+    from loomgraph.schemas import EXTRACT_REPLY
+
+    system, schema = TASKS["extract"]
+    asked = extraction_prompt(*(F.col(c) for c in ("title", "journal", "year", "mesh", "abstract")))
+    told = papers.where("abstract <> ''").select(key, F.from_json(replies(make, system, asked, schema), EXTRACT_REPLY).alias("r"))
+    return told.select(key, strip(F.coalesce("r.key_finding", F.lit(""))).alias("key_finding"), F.explode_outer(normalised_reply(F.col("r.ideas"))).alias("i"))
+
+
 def embedded(ideas: DataFrame) -> DataFrame:
     return ideas.withColumn("vec", bow_embedding("statement"))
 

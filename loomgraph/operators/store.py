@@ -2,11 +2,14 @@
 
 An upsert joins the new rows to the old ones and writes a new version of the
 table beside the old; a small pointer file names the current version, so a
-reader never sees half a table and a lost job leaves the old one.
+reader never sees half a table and a lost job leaves the old one. Versions are
+ordered by the time they were written; the last `KEPT` stay for readers that
+still hold one. A table has one writer at a time.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +21,9 @@ KEYS = {"papers": ["pmid"], "ideas": ["slug"], "links": ["pmid", "slug"], "edges
 SCHEMAS = {"papers": schemas.PAPER, "ideas": schemas.IDEA, "links": schemas.LINK, "edges": schemas.EDGE, "vectors": schemas.VECTOR, "findings": schemas.FINDING, "nodes": schemas.NODE}
 
 
+KEPT = 2
+
+
 class Vault:
     """A named, independent set of tables below root."""
 
@@ -41,13 +47,12 @@ class Vault:
     def write(self, table: str, rows: DataFrame) -> None:
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{table}/{version}")
-        try:
-            n = self.spark.read.text(self._versions(table)).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            n = 0
-        self.spark.createDataFrame([(f"{n} {version}",)], "value string").coalesce(1).write.mode("append").text(self._versions(table))
+        self.spark.createDataFrame([(f"{time.time_ns()} {version}",)], "value string").coalesce(1).write.mode("append").text(self._versions(table))
+        lines = [r[0].split(" ") for r in self.spark.read.text(self._versions(table)).collect()]  # a line a version
+        sc = self.spark.sparkContext
+        for _, old in sorted(lines, key=lambda x: -int(x[0]))[KEPT:]:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{old}")
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         """New rows replace old ones of the same key; the others stay."""
@@ -68,6 +73,11 @@ class Vault:
             df = df.where(F.col(k) == v)
         return df
 
+    def vector(self, kind: str, ident: str) -> list[float] | None:
+        """One vector by key, or None."""
+        row = self.read("vectors").where((F.col("kind") == kind) & (F.col("id") == ident)).first()
+        return None if row is None else row["vec"]
+
     def keys(self, table: str) -> DataFrame:
         return self.read(table).select(KEYS[table][0]).distinct().orderBy(KEYS[table][0])
 

@@ -335,6 +335,66 @@ def extraction_path(spark, sf_dir):
     return S.extraction_path(papers, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pmid")), full)
 
 
+@query("SELECT o_custkey AS pmid, any_value(coalesce(nullif(c_name, ''), CAST(c_custkey AS VARCHAR))) AS title, any_value(c_mktsegment <> 'BUILDING') AS local FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
+def cited_papers(spark, sf_dir):
+    papers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pmid"), F.col("c_name").alias("title"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("source"))
+    return G.cited_papers(papers, _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pmid")))
+
+
+@query("WITH a AS (SELECT DISTINCT user_id AS pmid FROM events) SELECT pmid, CASE WHEN c_custkey IS NULL THEN 0.0 ELSE coalesce(CASE WHEN c_acctbal >= 0 THEN round(c_acctbal / 10000, 6) END, 0.3) END AS relevance, coalesce(c_mktsegment, '') AS domain FROM a LEFT JOIN customer ON c_custkey = pmid")
+def paper_signals(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "pmid")
+    asked = _table(spark, sf_dir, "events").select(F.col("user_id").alias("pmid")).distinct()
+    told = G.paper_signals(asked, c.select("pmid", F.array("c_mktsegment").alias("mesh")), c.where("c_acctbal >= 0").select("pmid", F.round(F.col("c_acctbal") / 10000, 6).alias("relevance")))
+    return told.select("pmid", "relevance", F.array_join("domains", ",").alias("domain"))
+
+
+@query(f"{_EDGES} SELECT e.source AS slug, e.target, e.relation, CAST(CASE WHEN i.level = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS relevance FROM edges e JOIN firsts i ON i.id = e.target WHERE e.source IN (SELECT id FROM firsts WHERE level = 2)")
+def edge_expansion(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    worth = g.firsts.select("slug", F.when(F.col("level") == 0, 0.9).alias("relevance"))
+    return G.expansions(g.firsts.where("level = 2"), g.edges, worth)
+
+
+@query("SELECT l_orderkey AS order_id, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS place, greatest(count(*) OVER (PARTITION BY l_orderkey) - 3, 0) AS more FROM lineitem QUALIFY place <= 3")
+def row_previews(spark, sf_dir):
+    l = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), "l_extendedprice")
+    return G.previews(l, "order_id", F.desc("l_extendedprice"), "line").select("order_id", "line", F.col("place").cast("long").alias("place"), "more")
+
+
+@query("WITH n AS (SELECT p_brand AS domain, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1) SELECT p_partkey AS slug, p_name AS statement FROM part JOIN n ON domain = p_brand WHERE (r > 8 OR p_brand = 'Brand#11') AND contains(lower(p_name), 'a')")
+def visible_domains(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("statement"), F.col("p_brand").alias("domain"))
+    return G.visible(p, "A", [G.OTHER, "Brand#11"]).select("slug", "statement")
+
+
+@query(f"{_EDGES}, n AS (SELECT source AS id, target AS o FROM edges UNION SELECT target, source FROM edges), top AS (SELECT id FROM n GROUP BY 1 ORDER BY count(*) DESC, id LIMIT 1) SELECT f.id AS slug, CAST(CASE WHEN f.level = 1 THEN 0.12 WHEN f.id IN (SELECT id FROM top) THEN 1.0 WHEN f.id IN (SELECT o FROM n WHERE id IN (SELECT id FROM top)) THEN 0.95 ELSE 0.15 END AS DOUBLE) AS weight FROM firsts f")
+def node_emphasis(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    top = G.degrees(g.firsts, g.edges).orderBy(F.desc("degree"), "slug").limit(1)
+    return G.emphasis(g.firsts, g.firsts.where("level <> 1"), g.edges, top)
+
+
+@query(f"{_EDGES}, n AS (SELECT source AS id, target AS o FROM edges UNION SELECT target, source FROM edges), deg AS (SELECT id, count(*) AS d FROM n GROUP BY 1) SELECT f.id AS slug, statement, coalesce(d, 0) AS degree FROM firsts f LEFT JOIN deg USING (id) WHERE contains(lower(statement), 'a') ORDER BY 3 DESC, 1 LIMIT 1")
+def best_match(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return G.best_match(g.firsts, G.degrees(g.firsts, g.edges), "A").select("slug", "statement", "degree")
+
+
+@query("SELECT conv_id, turn, md5('Title: ' || role || CASE WHEN turn > 1 THEN chr(10) || 'Year: ' || turn ELSE '' END || chr(10) || 'Mesh: a, b' || CASE WHEN text <> '' THEN chr(10) || 'Abstract: ' || text ELSE '' END) AS digest FROM conversations")
+def extraction_prompt(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    asked = I.extraction_prompt(F.col("role"), F.lit(None).cast("string"), F.when(F.col("turn") > 1, F.col("turn").cast("string")), F.array(F.lit("a"), F.lit("b")), F.col("text"))
+    return c.select("conv_id", "turn", F.md5(asked).alias("digest"))
+
+
+@query("SELECT a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, round(sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 6) AS norm FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_cosine(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    after = v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("next"))
+    return v.join(after, "id").select("id", F.round(V.cosine(F.col("vec"), F.col("next")), 6).alias("score"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
+
+
 @query("SELECT s_suppkey AS id, count(*) FILTER (WHERE n_nationkey IS NOT NULL) AS n FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey < 3 GROUP BY 1")
 def keyed_reads(spark, sf_dir):
     s = _table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "k")

@@ -41,14 +41,29 @@ def pdf_text(raw: bytes, min_chars: int = MIN_CHARS_PER_PAGE, ocr=None) -> str:
     return text
 
 
-def extract_text(name: str, raw: bytes) -> str:
+def paddle_ocr(raw: bytes) -> str:
+    """Lines that an OCR engine reads from a scanned PDF; needs `paddleocr`."""
+    import tempfile
+
+    try:
+        from paddleocr import PaddleOCR
+    except ImportError as e:
+        raise IngestError("reading scans needs paddleocr") from e
+    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
+        f.write(raw)
+        f.flush()
+        found = PaddleOCR(use_doc_orientation_classify=False, use_doc_unwarping=False).predict(f.name)
+        return "\n".join(t for page in found for t in (page if isinstance(page, dict) else page.res)["rec_texts"])
+
+
+def extract_text(name: str, raw: bytes, ocr=None, min_chars: int = MIN_CHARS_PER_PAGE) -> str:
     kind = name.lower().rpartition(".")[2]
     if kind in ("txt", "md", "markdown"):
         return raw.decode("utf-8", "replace")
     if kind == "docx":
         return docx_text(raw)
     if kind == "pdf":
-        return pdf_text(raw)
+        return pdf_text(raw, min_chars, ocr)
     raise IngestError(f"no reader for .{kind} files")
 
 
@@ -56,8 +71,11 @@ def document_id(raw: bytes) -> str:
     return "local-" + hashlib.sha1(raw).hexdigest()[:10]
 
 
-def read_documents(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """(pmid, title, abstract, source, error) of the files below path; equal bytes once, known ids left out."""
+def read_documents(spark: SparkSession, path: str, known: DataFrame | None = None, ocr=None, min_chars: int = MIN_CHARS_PER_PAGE) -> DataFrame:
+    """(pmid, title, abstract, source, error) of the files below path; equal bytes once, known ids left out.
+
+    ocr: a function of a PDF's bytes (as paddle_ocr) for those with less than min_chars characters a page.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     files = files.withColumn("pmid", F.concat(F.lit("local-"), F.substring(F.sha1("content"), 1, 10)))
     files = files.withColumn("_n", F.row_number().over(Window.partitionBy("pmid").orderBy("path"))).where("_n = 1")
@@ -70,7 +88,7 @@ def read_documents(spark: SparkSession, path: str, known: DataFrame | None = Non
             for pmid, path, raw in zip(b["pmid"], b["path"], b["content"], strict=True):
                 name = path.rpartition("/")[2]
                 try:
-                    out.append((pmid, name.rpartition(".")[0] or name, extract_text(name, bytes(raw)), path, None))
+                    out.append((pmid, name.rpartition(".")[0] or name, extract_text(name, bytes(raw), ocr, min_chars), path, None))
                 except (IngestError, zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
                     out.append((pmid, name, None, path, str(e)))
             yield pd.DataFrame(out, columns=["pmid", "title", "abstract", "source", "error"])

@@ -138,6 +138,10 @@ def test_vault(spark, tmp_path):
     v.upsert("vectors", spark.createDataFrame([("idea", "a", [1.0], "m1")], v.read("vectors").schema))
     with pytest.raises(ValueError):
         v.vectors("idea", "m2")
+    assert v.vector("idea", "a") == [1.0] and v.vector("idea", "z") is None
+    import os
+
+    assert sum(len(x) == 32 for x in os.listdir(f"{tmp_path}/main/ideas")) == S.KEPT
     papers = spark.createDataFrame([("p", "Title", "Abs", "J", "2020", ["M"], "", "")], v.read("papers").schema)
     links = spark.createDataFrame([("p", "a", "supports", 1), ("p", "gone", "uses", 2)], v.read("links").schema)
     edges = spark.createDataFrame([("a", "b", "part_of", "why", 1), ("a", "gone", "causes", "", 2)], v.read("edges").schema)
@@ -335,3 +339,25 @@ def test_text_helpers(spark):
     assert one(T.questions(F.lit(" a, b and c."))) == ["a", "b", "c"] and one(T.questions(F.lit(","))) == [","]
     assert one(T.html_escape(F.lit('<a href="x">&'))) == "&lt;a href=&quot;x&quot;&gt;&amp;"
     assert one(T.acronyms(F.lit("The DNA and RNA2 of a PD mouse"))) == ["DNA", "RNA2"]
+
+
+def test_extraction_by_a_model_as_columns(spark):
+    def make():
+        class Told:
+            def __init__(self, status_code, content):
+                self.status_code, self.content = status_code, content
+
+            def json(self):
+                return {"choices": [{"message": {"content": self.content}}]}
+
+        def post(url, json, headers, timeout):
+            title = json["messages"][1]["content"].split("\n")[0]
+            told = {"key_finding": f" {title} ", "ideas": [{"statement": title, "type": "x", "relation_to_paper": "uses", "domain": " A ", "entities": ["E"]}]}
+            return Told(200 if "bad" not in title else 500, __import__("json").dumps(told))
+
+        return models.HttpModel("http://x", "m", post=post)
+
+    papers = spark.createDataFrame([("1", "T", "J", "", ["M"], "text"), ("2", "bad", "", "", [], "text"), ("3", "U", "", "", [], "")], "pmid string, title string, journal string, year string, mesh array<string>, abstract string")
+    rows = {r["pmid"]: r for r in I.extracted(papers, make).collect()}
+    assert set(rows) == {"1", "2"} and rows["1"]["key_finding"] == "Title: T" and rows["2"]["i"] is None
+    assert rows["1"]["i"].asDict() == {"statement": "Title: T", "type": "finding", "relation": "uses", "domain": "a", "entities": ["E"]}
