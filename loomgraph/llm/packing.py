@@ -18,12 +18,15 @@ gets its rank among the pieces of its length from salted counts, and its rank
 names its slot. No piece's ids leave the task that made them.
 
 Defined results: a null text is an empty one and gives one piece of one end
-id; repeated rows and null doc_ids are packed like any other rows; an empty
-table gives no rows; other columns are not read.
+id; a very long text is encoded whole and gives as many pieces as it fills;
+repeated rows and null doc_ids are packed like any other rows; pieces of equal
+length take their slots in any order; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -52,26 +55,20 @@ class Encoder:
     the tokenizers library itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes, ranks: bytes | None):
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.slow = Tokenizer.from_str(vocabulary.decode())
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = self._ranks(path.removesuffix(".json") + ".tiktoken")
+        self.fast = None
+        if ranks is not None:
+            import base64
 
-    @staticmethod
-    def _ranks(path: str):
-        import base64
-        import os
+            import public_tokenizers
+            import tiktoken
 
-        if not os.path.exists(path):
-            return None
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            by_token = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_token, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
@@ -79,13 +76,26 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[int, Encoder] = {}
+
 
+def encoder_files(path: str) -> tuple[bytes, bytes | None]:
+    """The vocabulary file and, where there is one, the rank file beside it: read by the driver, whose folders executors don't see."""
+    with open(path, "rb") as f:
+        vocabulary = f.read()
+    beside = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(beside):
+        return vocabulary, None
+    with open(beside, "rb") as f:
+        return vocabulary, f.read()
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+
+def encoder(files: tuple[bytes, bytes | None]) -> Encoder:
+    """One for each worker and vocabulary."""
+    key = zlib.crc32(files[0])
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*files)
+    return _ENCODERS[key]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -100,8 +110,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
+    files = docs.sparkSession.sparkContext.broadcast(encoder_files(tokenizer))  # of the vocabulary's size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(files.value)
         for batch in batches:
             doc_ids = batch.column(0)
             _, offsets = text_bytes(batch.column(1))

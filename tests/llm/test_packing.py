@@ -57,7 +57,7 @@ def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    own, library = P.Encoder(str(path)), Tokenizer.from_file(str(path))
+    own, library = P.Encoder(*P.encoder_files(str(path))), Tokenizer.from_file(str(path))
     for t in ["", "Hello world", "  a\n\n b ", "é𝔘🙂 1234", "x<|endoftext|>y", "<|endoftext|>", "a" * 5000, "\x00​"]:
         assert own(t) == library.encode(t, add_special_tokens=False).ids
 
@@ -69,7 +69,7 @@ def test_packed_rows(spark):
     out = [x.asDict() for x in P.pack_documents(docs).collect()]
     import public_tokenizers
 
-    encode = P.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    encode = P.Encoder(*P.encoder_files(str(public_tokenizers.path("byte_bpe_50k.json"))))
     want = Counter()
     for d, t in rows:
         ids = np.array([*encode(t or ""), 0], dtype="<u4")
@@ -88,3 +88,28 @@ def test_packed_rows(spark):
     assert P.pack_documents(docs.limit(0)).count() == 0
     made = P.materialize(P.pieces(docs, str(public_tokenizers.path("byte_bpe_50k.json")), with_ids=True), "ids")
     assert P.sequences(P.pack(made)).count() == len(by)
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    import public_tokenizers
+
+    encode = P.Encoder(*P.encoder_files(str(public_tokenizers.path("byte_bpe_50k.json"))))
+    rows = [(1, "word " * 30_000, 5), (2, None, 5), (None, "", 5), (3, "same text", 5), (3, "same text", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, length int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.asDict() for r in P.op4_best_fit_packing(spark, str(tmp_path)).collect()]
+    want = []
+    for doc, text, _ in rows:
+        ids = [*encode(text or ""), P.END_ID]
+        first = len(ids) % P.CAPACITY or min(len(ids), P.CAPACITY)
+        cut = [0, *range(first, len(ids), P.CAPACITY)]
+        for k, (a, b) in enumerate(zip(cut, [*cut[1:], len(ids)])):
+            want.append((doc, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    key = lambda t: tuple(map(str, t))
+    assert sorted((tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in got), key=key) == sorted(want, key=key)
+    for s in {r["sequence_id"] for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r["sequence_id"] == s), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= P.CAPACITY
+    assert len({r["sequence_id"] for r in got}) == -(-sum(r["length"] for r in got) // P.CAPACITY)
