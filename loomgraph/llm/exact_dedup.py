@@ -49,15 +49,19 @@ def _glob(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
-def stream_state(spark: SparkSession, path: str, digest=sha256_digest, max_bytes: int = 256 << 30, where: str | None = None) -> DataFrame:
+def stream_state(spark: SparkSession, path: str, digest=sha256_digest, max_bytes: int = 256 << 30, where: str | None = None, partitions: int | None = None) -> DataFrame:
     """Run the stream over all files of path; (digest, n, keep) as the state holds it.
 
+    partitions of the state: the session's shuffle partitions unless given; a checkpoint
+    keeps those of its first run, so give what the whole corpus will need.
     max_bytes bounds one micro-batch. `where` is the folder of checkpoint and
     output: given again after new files came, the stream goes on from there.
     """
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     where = where or shared_dir(spark)
     keys = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    if partitions:
+        keys["spark.sql.shuffle.partitions"] = str(partitions)
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -81,9 +85,9 @@ def stream_state(spark: SparkSession, path: str, digest=sha256_digest, max_bytes
     return updates.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))
 
 
-def exact_dedup(spark: SparkSession, path: str, digest=sha256_digest, max_bytes: int = 256 << 30, where: str | None = None) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, digest=sha256_digest, max_bytes: int = 256 << 30, where: str | None = None, partitions: int | None = None) -> DataFrame:
     """One row per row of path: doc_id, keep_id, group_size, kept, text_sha256."""
-    state = materialize(stream_state(spark, path, digest, max_bytes, where), "digests")
+    state = materialize(stream_state(spark, path, digest, max_bytes, where, partitions), "digests")
     rows = _located(spark.read.parquet(path), digest)
     prefix = F.pmod(F.xxhash64("digest"), F.lit(PREFIXES)).alias("prefix")
     hits = state.where("n > 1").select(prefix).distinct()  # PREFIXES rows at most
