@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Row
 
 from loomgraph.llm.common import with_uid
-from loomgraph.llm.line_dedup import dedup_lines, line_classes, removed_lines
+from loomgraph.llm.line_dedup import dedup_lines, line_classes, op1_line_dedup, removed_lines
 
 SCHEMA = "doc_id long, text string, _uid string, line string"
 
@@ -81,3 +81,24 @@ def test_more_candidates_than_told_of_one_document(spark):
     names = {r["_uid"]: r["doc_id"] for r in numbered.collect()}
     got = {(names[r["_uid"]], k) for r in removed_lines(numbered).collect() for k in r["removed_lines"]}
     assert got == brute(rows)
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    rows = corpus() + [(200, "\n".join(f"line {k % 50} of very many {k % 50}" for k in range(20_000)) + "\nlast one here"), (None, "q r s")]
+    spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_lines int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    short = [(d, t if d != 200 else "\n".join(dict.fromkeys(t.split("\n")))) for d, t in rows]
+    gone = brute(short)
+    got = {r["doc_id"]: r for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        n = 0 if t is None else t.count("\n") + 1
+        assert got[d]["n_lines"] == n and got[d]["n_removed"] == len(got[d]["removed_lines"])
+        if d != 200:
+            assert got[d]["removed_lines"] == sorted(k for x, k in gone if x == d)
+    first, left = set(), set(range(20_001)) - set(got[200]["removed_lines"])
+    names = rows[-2][1].split("\n")
+    for k in sorted(left):  # of equal lines the first, unless a similar one stands before it
+        assert names[k] not in first
+        first.add(names[k])
+    assert {names[k] for k in left} == {x for k, x in enumerate(dict.fromkeys(names)) if (200, k) not in gone}
+    assert len(dedup_lines(spark.createDataFrame(rows[-2:-1], "doc_id long, text string")).first()["text"].split("\n")) == len(left)
