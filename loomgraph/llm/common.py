@@ -46,13 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     lean(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not _one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_base()
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
 
 
+def _one_process(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's process, as in tests."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 _LOCAL: list[str] = []
 
 
@@ -67,13 +73,14 @@ def _local_base() -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there.
 
-    Shuffles that led to it are of no more use; a collection in the driver's
-    JVM lets Spark delete their files now and not when it happens to collect.
+    Shuffles that led to it are of no more use; on a cluster a collection in the
+    driver's JVM lets Spark delete their files now and not when it happens to collect.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if not _one_process(spark):
+        spark.sparkContext._jvm.System.gc()
     found = spark.read.schema(df.schema).parquet(path)
     found.table_path = path
     return found

@@ -1,9 +1,10 @@
 import random
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from loomgraph.llm.common import with_uid
-from loomgraph.llm.line_dedup import dedup_lines, line_classes, op1_line_dedup, removed_lines
+from loomgraph.llm.line_dedup import _mask, dedup_lines, line_classes, op1_line_dedup, removed_lines
 
 SCHEMA = "doc_id long, text string, _uid string, line string"
 
@@ -101,4 +102,9 @@ def test_query_on_odd_rows(spark, tmp_path):
         assert names[k] not in first
         first.add(names[k])
     assert {names[k] for k in left} == {x for k, x in enumerate(dict.fromkeys(names)) if (200, k) not in gone}
-    assert len(dedup_lines(spark.createDataFrame(rows[-2:-1], "doc_id long, text string")).first()["text"].split("\n")) == len(left)
+
+
+def test_mask_of_removed_lines(spark):
+    lines = [[0], [3, 1], [70_000]]
+    got = spark.createDataFrame([(x,) for x in lines], "n array<int>").select(_mask(F.col("n"))).collect()
+    assert [[k for k, b in enumerate(bytes(r[0])) if b] for r in got] == [sorted(x) for x in lines]
