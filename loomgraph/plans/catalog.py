@@ -487,7 +487,19 @@ def node_groups(spark, sf_dir):
     return d.select("doc_id", F.posexplode(g).alias("ord", "grp")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("grp").cast("long").alias("grp"))
 
 
-@query()
+_HEAD = "substr(a.rest, 1, 1200)"
+_CUT = f"CASE WHEN contains({_HEAD}, ' ') AND length({_HEAD}) - instr(reverse({_HEAD}), ' ') > 600 THEN length({_HEAD}) - instr(reverse({_HEAD}), ' ') ELSE 1200 END"
+_LEAVES = f"""p AS ({_PARTS}),
+cut AS (SELECT doc_id, list_transform(p, lambda q: list_reduce(list_prepend({{'rest': q, 'done': []::VARCHAR[]}}, list_transform(range(length(q) * 2 // 1200), lambda i: {{'rest': '', 'done': []::VARCHAR[]}})),
+ lambda a, x: CASE WHEN length(a.rest) > 1200 THEN {{'rest': {_STRIP.format(f'substr(a.rest, {_CUT} + 1)')}, 'done': list_append(a.done, {_STRIP.format(f'substr(a.rest, 1, {_CUT})')})}} ELSE a END)) AS c FROM p WHERE len(p) > 0),
+items AS (SELECT doc_id, flatten(list_transform(c, lambda x: list_concat(list_transform(x.done, lambda d: {{'p': d, 'alone': true}}), CASE WHEN x.rest <> '' THEN [{{'p': x.rest, 'alone': false}}] ELSE [] END))) AS i FROM cut),
+grp AS (SELECT doc_id, i, list_reduce(list_prepend({{'g': -1, 's': 0::BIGINT, 'alone': true, 'o': []::INTEGER[]}}, list_transform(i, lambda x: {{'g': 0, 's': length(x.p), 'alone': x.alone, 'o': []::INTEGER[]}})),
+ lambda a, x: CASE WHEN NOT a.alone AND NOT x.alone AND a.s + x.s <= 1200 THEN {{'g': a.g, 's': a.s + x.s + 2, 'alone': false, 'o': list_append(a.o, a.g)}} ELSE {{'g': a.g + 1, 's': x.s + 2, 'alone': x.alone, 'o': list_append(a.o, a.g + 1)}} END).o AS o FROM items),
+flat AS (SELECT doc_id, unnest(i).p AS p, unnest(o) AS ord, unnest(range(len(i))) AS pos, greatest(list_max(o) - 499, 0) AS truncated FROM grp),
+leaves AS (SELECT doc_id AS paper, CAST(ord AS INTEGER) AS ord, string_agg(p, chr(10) || chr(10) ORDER BY pos) AS content, CAST(any_value(truncated) AS INTEGER) AS truncated FROM flat WHERE ord < 500 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_LEAVES} SELECT paper, ord, CAST(length(content) AS INTEGER) AS size, md5(content) AS digest, truncated FROM leaves")
 def leaf_split(spark, sf_dir):
     leaf = Tr.leaf_nodes(_table(spark, sf_dir, "documents"), "doc_id", "text", separator="\n")
     return leaf.select("paper", "ord", F.length("content").alias("size"), F.md5("content").alias("digest"), "truncated")
@@ -559,7 +571,10 @@ def fulltext_markdown(spark, sf_dir):
     return files.fulltext_markdown(c, "conv_id").select("conv_id", F.md5("markdown").alias("digest"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>|&[a-z#0-9]*;?', ' ', 'g') AS x FROM pages),
+u AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '[^\p{L}\p{N} .,\n]', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS y FROM t)
+SELECT page_id, CAST(0 AS INTEGER) AS ord, 'Page' AS section, CAST(length(y) AS INTEGER) AS size FROM u WHERE y <> ''
+UNION ALL SELECT page_id, CAST(CASE WHEN y <> '' THEN 1 ELSE 0 END AS INTEGER), 'Page', CAST(11 AS INTEGER) FROM u""")
 def section_paragraphs(spark, sf_dir):
     from loomgraph.sources.literature import bodies
 
