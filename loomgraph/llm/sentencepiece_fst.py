@@ -25,8 +25,8 @@ matched in text; a text that holds the space mark itself decodes to a space;
 bytes that are not UTF-8 decode to U+FFFD; normalisers with a character map
 are refused; an empty table gives no rows; repeated rows get equal results;
 very long texts, runs of a million spaces among them, take time in proportion
-(a run of n marks n log n); of paths of equal weight the one whose last piece
-is the longest is taken; columns to keep may have any names.
+(a run of n marks n log n); of paths of equal weight the one that is found first,
+with the longer last piece, is taken; columns to keep may have any names.
 """
 
 from __future__ import annotations
@@ -249,52 +249,52 @@ class Transducer:
             return [self.bytes[x] for x in c.encode()]
         return [self.model.unknown]
 
-    def compose(self, text: str) -> list[list[tuple[int, int]]]:
-        """The lattice: for each place the arcs (place they lead to, piece; -1: the fallback), the longest first."""
-        n, steps, ends = len(text), self.next, self.trie.ends
-        lattice = []
-        for i in range(n):
-            arcs, state, spelled = [], 0, False
-            for j in range(i, n):
-                state = steps[state].get(text[j])
-                if state is None:
-                    break
-                piece = ends[state]
-                if piece is not None:
-                    arcs.append((j + 1, piece))
-                    spelled = spelled or j == i
-            if not spelled:
-                arcs.append((i + 1, -1))
-            lattice.append(arcs[::-1])
-        return lattice
+    def compose(self, text: str, i: int) -> list[tuple[int, int]]:
+        """The lattice's arcs from place i, made when a path comes there: (place they lead to, piece; -1: the fallback)."""
+        steps, ends, arcs, state, spelled = self.next, self.trie.ends, [], 0, False
+        for j in range(i, len(text)):
+            state = steps[state].get(text[j])
+            if state is None:
+                break
+            piece = ends[state]
+            if piece is not None:
+                arcs.append((j + 1, piece))
+                spelled = spelled or j == i
+        if not spelled:
+            arcs.append((i + 1, -1))
+        return arcs
 
     def shortest(self, text: str) -> list[int]:
         """Tropical shortest path: of sums of weights the least."""
-        lattice, n = self.compose(text), len(text)
-        bpe, keeps = self.model.kind == BPE, self.keeps
-        # (cost, piece that ends here, place before); for BPE that piece is part of the state, and one state a place is reachable
-        best: list[tuple[float, int, int] | None] = [None] * (n + 1)
-        best[0] = (0.0, -1, -1)
-        for i, arcs in enumerate(lattice):
-            if best[i] is None:
+        n, bpe, keeps = len(text), self.model.kind == BPE, self.keeps
+        # by place: the least cost, the piece that ends there and the place before it; for BPE that piece is
+        # part of the state, but only one state of a place can be reached, always at cost 0
+        cost: list[float | None] = [None] * (n + 1)
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
+        for i in range(n):
+            here = cost[i]
+            if here is None:
                 continue
-            cost, last, _ = best[i]
-            for j, piece in arcs:
-                if not bpe:
-                    weight = -self.score[piece] if piece >= 0 else -self.worst
-                elif piece < 0:
-                    weight = 0.0
+            before = (last[i] + 1) << 32
+            for j, piece in self.compose(text, i):
+                if bpe:
+                    if cost[j] is not None:
+                        continue
+                    if piece >= 0:
+                        keep = keeps.get(before | piece)
+                        if not (self.boundary(last[i], piece) if keep is None else keep):
+                            continue
+                    total = 0.0
                 else:
-                    keep = keeps.get((last + 1) << 32 | piece)
-                    if not (self.boundary(last, piece) if keep is None else keep):
+                    total = here - (self.score[piece] if piece >= 0 else self.worst)
+                    if cost[j] is not None and cost[j] <= total:
                         continue
-                    weight = 0.0
-                if best[j] is None or cost + weight < best[j][0]:
-                    best[j] = (cost + weight, piece, i)
+                cost[j], last[j], back[j] = total, piece, i
         out: list[int] = []
         while n:
-            _, piece, i = best[n]
-            out += [piece] if piece >= 0 else self.fallback(text[i:n])[::-1]
+            i = back[n]
+            out += [last[n]] if last[n] >= 0 else self.fallback(text[i:n])[::-1]
             n = i
         return out[::-1]
 
