@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import with_uid
-from loomgraph.llm.line_dedup import _mask, dedup_lines, line_classes, op1_line_dedup, removed_lines
+from loomgraph.llm.line_dedup import Meeting, _mask, bitmaps, dedup_lines, line_classes, op1_line_dedup, removed_lines
 
 SCHEMA = "doc_id long, text string, _uid string, line string"
 
@@ -108,3 +109,43 @@ def test_mask_of_removed_lines(spark):
     lines = [[0], [3, 1], [70_000]]
     got = spark.createDataFrame([(x,) for x in lines], "n array<int>").select(_mask(F.col("n"))).collect()
     assert [[k for k, b in enumerate(bytes(r[0])) if b] for r in got] == [sorted(x) for x in lines]
+
+
+def _under_one_word(n, near=()):
+    """Sorted index entries of n sets under one word: unrelated ones, and copies of one set with a word changed at the places in near."""
+    r = np.random.default_rng(3)
+    some = lambda k: r.integers(0, 1 << 64, k, dtype=np.uint64)
+    base, rows = some(24), []
+    for i in range(n):
+        words = some(12 + i % 60)
+        h = np.append(base[:-1], words[0]) if i in near else words
+        y, v = bitmaps(h, np.array([0]))
+        rows.append((7, int(r.integers(0, 1 << 62)), int(y.view(np.int64)[0]), int(v.view(np.int64)[0]), len(h) << 24, i))
+    return np.array(rows, np.int64).T
+
+
+def test_few_pairs_under_a_frequent_word_are_checked_in_full(monkeypatch):
+    checked = []
+    fits = Meeting._fits
+    monkeypatch.setattr(Meeting, "_fits", lambda self, c, i, o: checked.append(len(i)) or fits(self, c, i, o))
+    n, near = 3000, set(range(5, 3000, 100))
+    rows = _under_one_word(n, near)
+    pair, marked = Meeting((4, 5)).pairs(rows)
+    ids = rows[1]
+    assert {tuple(sorted(p)) for p in pair.tolist()} >= {tuple(sorted((int(ids[5]), int(ids[105]))))}
+    assert set(marked.tolist()) <= {int(ids[i]) for i in near}
+    assert sum(checked) < n * n // 100  # of n * n / 2
+
+
+def test_crowd_leaves_unrelated_classes_settled():
+    n, near = 600, set(range(100, 600, 7))
+    rows = _under_one_word(n, near)
+    plain, _ = Meeting((4, 5), all_up_to=1 << 40).pairs(rows)
+    pair, marked = Meeting((4, 5), crowd=200, leaders=8).pairs(rows)
+    # a pair that is not told is one of a class that is met again
+    left = {tuple(p) for p in plain.tolist()} - {tuple(p) for p in pair.tolist()}
+    assert left and all({a, b} & set(marked.tolist()) for a, b in left)
+    assert set(marked.tolist()) <= {int(rows[1][i]) for i in near}
+    assert len(marked) >= len(near) - 8
+    again, _ = Meeting((4, 5), only=np.isin(np.arange(1 << 12), marked & 4095)).pairs(rows)
+    assert {tuple(p) for p in plain.tolist()} == {tuple(p) for p in np.concatenate([pair, again]).tolist()}
