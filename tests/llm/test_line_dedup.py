@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import with_uid
-from loomgraph.llm.line_dedup import Meeting, _mask, bitmaps, dedup_lines, line_classes, op1_line_dedup, removed_lines
+from loomgraph.llm.line_dedup import Meeting, _mask, _record, bitmaps, dedup_lines, line_classes, op1_line_dedup, removed_lines
 
 SCHEMA = "doc_id long, text string, _uid string, line string"
 
@@ -149,3 +149,20 @@ def test_crowd_leaves_unrelated_classes_settled():
     assert len(marked) >= len(near) - 8
     again, _ = Meeting((4, 5), only=np.isin(np.arange(1 << 12), marked & 4095)).pairs(rows)
     assert {tuple(p) for p in plain.tolist()} == {tuple(p) for p in np.concatenate([pair, again]).tolist()}
+
+
+def test_first_lines_are_told_where_lines_meet():
+    lines = [(k, 100 - u, k + 1, 0, -1 - n, w) for k in (-5, 3, 9) for u, n, w in ((7, 2, 4), (8, 0, 4), (9, 5, 4), (8, 1, 4), (6, 0, 5))]
+    batches = [_record(*np.array(lines[i : i + 4], np.int64).T) for i in range(0, len(lines), 4)]  # classes go on in the next batch
+    rows = [r for b in Meeting((4, 5))(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted((u, n) for *_, u, n, _, kind in rows if kind == 1) == sorted((u, -1 - z) for _, u, _, _, z, _ in lines)
+    assert sorted((a, b, u, n, w) for a, b, u, n, w, kind in rows if kind == 3) == [(k, k + 1, 91, 5, 4) for k in (-5, 3, 9)]
+
+
+def test_lines_reach_their_rows_without_their_classes(spark):
+    docs = with_uid(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    lines, classes = line_classes(docs)
+    assert lines.columns == ["uid", "line"]
+    stays = {(r["first"]["uid"], r["first"]["line"]) for r in classes.where("first_stays").collect()}
+    gone = {(r["_uid"], k) for r in removed_lines(docs).collect() for k in r["removed_lines"]}
+    assert {tuple(r) for r in lines.collect()} == gone | stays and not gone & stays
