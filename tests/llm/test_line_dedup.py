@@ -166,3 +166,14 @@ def test_lines_reach_their_rows_without_their_classes(spark):
     stays = {(r["first"]["uid"], r["first"]["line"]) for r in classes.where("first_stays").collect()}
     gone = {(r["_uid"], k) for r in removed_lines(docs).collect() for k in r["removed_lines"]}
     assert {tuple(r) for r in lines.collect()} == gone | stays and not gone & stays
+
+
+def test_lines_need_one_python_worker_a_task(spark, tmp_path):
+    rows = [(k, "one line of words that others have too\nand one more", "x", "y") for k in range(4)]
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(str(tmp_path / "docs"))
+    numbered = with_uid(spark.read.parquet(str(tmp_path / "docs")).drop("_uid"))
+    assert "ExistingRDD" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert numbered.select("_uid").distinct().count() == 4
+    got = dedup_lines(spark.read.parquet(str(tmp_path / "docs")))
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 1
