@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, components, discard, fold_slices, materialize, mix64, near_keys, shelve, slice_rows, text_bytes, trimming, with_uid, word_hashes
+from loomgraph.llm.common import CELLS, among, chunks, components, discard, fold_slices, materialize, mix64, shelve, slice_rows, text_bytes, trimming, with_uid, word_hashes
 from loomgraph.llm.line_dedup import SKETCH_BITS, _order_key, rarity_order
 
 WORDS = 5
@@ -165,13 +165,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the rows whose _uid is among ids; few others are shuffled."""
-    return near_keys(docs, "_uid", ids, "id").select(F.col("_uid").alias("id"), "text").join(ids, "id", "left_semi")
+    """(id, text) of the rows whose _uid is in the table ids."""
+    return among(docs, "_uid", ids, "id").select(F.col("_uid").alias("id"), "text")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(a, b, m, all): aligned and all shingles of each pair."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
     texts = materialize(_texts_of(docs, ends), "texts")
     both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
 
@@ -365,6 +365,7 @@ def _prefix_pairs(docs: DataFrame, ids: DataFrame, threshold: tuple[int, int], l
 def _told(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(a, b, same) of pairs, as a table."""
     num, den = threshold
+    pairs = materialize(pairs.select("a", "b"), "pairs")
     return materialize(_verify(docs, pairs, threshold).select("a", "b", (F.col("m") * den >= F.col("all") * num).alias("same")), "told")
 
 
@@ -380,7 +381,7 @@ def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, led: bo
     drawn = classes.select("id", "by", F.explode("sketch").alias("v"))
     # what is joined with hot values is a table by then, so that Spark can split those values
     shared = materialize(drawn.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    drawn = materialize(drawn.join(shared, "v"), "buckets")
+    drawn = materialize(drawn.join(F.broadcast(shared) if shared.count() <= CELLS else shared, "v"), "buckets")
     discard(shared)
     known = docs.sparkSession.createDataFrame([], "a long, b long, same boolean")
     if led:

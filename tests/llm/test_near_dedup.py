@@ -3,7 +3,8 @@ from collections import Counter
 
 import numpy as np
 
-from loomgraph.llm.common import with_uid
+from loomgraph.llm import common
+from loomgraph.llm.common import among, materialize, with_uid
 from loomgraph.llm.near_dedup import aligned, dedup_near, near_groups, op10_minhash_near_dedup, shingles
 
 
@@ -196,3 +197,21 @@ def test_very_long_texts(spark):
     r = random.Random(5)
     long = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
     assert [g for g, _ in groups_of(spark, [" ".join(long), " ".join(edited(r, long, 500)), " ".join(edited(r, long, 9000))])] == [0, 0, 2]
+
+
+def test_few_keys_are_met_without_a_shuffle(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id AS _uid", "'t' || id AS text")
+    ids = materialize(spark.range(0, 9000, 7).select("id"), "ids")
+    want = [(k, f"t{k}") for k in range(0, 5000, 7)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = among(rows, "_uid", ids, "id")
+        assert "Exchange hashpartitioning" not in told._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, told.collect())) == want
+        monkeypatch.setattr(common, "CELLS", 100)  # more keys than may be broadcast
+        told = among(rows, "_uid", ids, "id")
+        assert "Exchange hashpartitioning" in told._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, told.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
