@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from loomgraph.llm import line_dedup
 from loomgraph.llm.common import with_uid
 from loomgraph.llm.line_dedup import Meeting, _mask, _record, bitmaps, dedup_lines, line_classes, op1_line_dedup, removed_lines
 
@@ -177,3 +178,21 @@ def test_lines_need_one_python_worker_a_task(spark, tmp_path):
     got = dedup_lines(spark.read.parquet(str(tmp_path / "docs")))
     assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 1
+
+
+def test_first_lines_are_not_shuffled_for_few_candidates(spark, monkeypatch):
+    docs = with_uid(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    plans, write = {}, line_dedup.materialize
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line_classes(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("Exchange hashpartitioning" not in plans[name] for name in ("wanted", "open"))
