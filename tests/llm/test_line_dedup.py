@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.llm import line_dedup
 from loomgraph.llm.common import with_uid
-from loomgraph.llm.line_dedup import Meeting, _mask, _record, bitmaps, dedup_lines, line_classes, op1_line_dedup, removed_lines
+from loomgraph.llm.line_dedup import THRESHOLD, Meeting, _entries, _mask, _record, bitmaps, bucket_bits, deal, dedup_lines, line_classes, op1_line_dedup, removed_lines, undealt, word_sketch
 
 SCHEMA = "doc_id long, text string, _uid string, line string"
 
@@ -196,3 +197,35 @@ def test_first_lines_are_not_shuffled_for_few_candidates(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert all("Exchange hashpartitioning" not in plans[name] for name in ("wanted", "open"))
+
+
+def test_index_is_shuffled_in_blocks(spark):
+    docs = with_uid(spark.createDataFrame([(k, " ".join(f"w{(k * 7 + i * i) % 5000}" for i in range(60))) for k in range(4000)], "doc_id long, text string").coalesce(1))
+    docs = docs.withColumn("_by", F.col("doc_id"))
+    sketch = word_sketch(docs)
+    blocks = _entries(docs, sketch, THRESHOLD)
+    assert blocks.count() <= 2 * (1 << bucket_bits(line_dedup.COUNTED * int(sketch.sum()))) < 4000
+    rows = np.concatenate([np.stack([c.to_numpy() for c in b.columns]) for b in undealt(iter(blocks.orderBy("bucket").toArrow().to_batches()))], axis=1)
+    assert (rows[4] < 0).sum() == 4000
+    assert (rows[4] >= 0).sum() > 4000
+
+
+def test_blocks_hold_their_rows(monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUFFER", 100)
+    r = np.random.default_rng(4)
+    for own in (False, True):
+        rows = r.integers(-(1 << 63), (1 << 63) - 1, (6, 1000))
+        rows[0, :50] = rows[0, 0]
+        rows[1], rows[2] = 0, rows[2] >> 40
+        rows[4] = -1 - (rows[4] & 0xFFFFF) if own else rows[4] & 0xFFFFFFFFFF
+        rows[0] = rows[0] if own else rows[0] & 0xFFFFFFFF
+        dealt = [x for part in (rows[:, :600], rows[:, 600:]) for b in deal(part.copy(), own, 6) for x in b.to_pylist()]
+        dealt.sort(key=lambda x: x["bucket"])
+        got = np.concatenate([np.stack([c.to_numpy() for c in b.columns]) for b in undealt(iter([pa.RecordBatch.from_pylist(dealt[i : i + 9]) for i in range(0, len(dealt), 9)]))], axis=1)
+        assert (np.diff(got[0].astype(object)) >= 0).all()
+        assert sorted(map(tuple, got.T.tolist())) == sorted(map(tuple, rows.T.tolist()))
+
+
+def test_words_that_share_their_told_bits_keep_both_places():
+    rows = np.array([(1, 7, 0, 0, (20 << 24) | 4, 0), (1, 7, 0, 0, 20 << 24, 0), (1, 8, 0, 0, (20 << 24) | 4, 1), (1, 8, 0, 0, 20 << 24, 1)], np.int64).T
+    assert Meeting((4, 5)).pairs(rows)[0].tolist() == [[7, 8]]
