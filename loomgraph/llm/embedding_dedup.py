@@ -39,14 +39,17 @@ THRESHOLD = 0.98
 SAMPLE = 4096
 CELLS, MOST_CELLS = 16, 256
 BLOCK = 2048
-_EPS = 1e-9
 
 
 class CoverTree:
-    """Nested levels with halving radii over unit vectors; points of a node lie together in `order`."""
+    """Nested levels with halving radii over unit vectors; points of a node lie together in `order`.
+
+    Radii hold however the products are rounded, which differs between machines and places in a matrix.
+    """
 
     def __init__(self, x: np.ndarray):
         self.x = x
+        self.slack = math.sqrt(2 * (x.shape[1] + 2) * np.finfo(float).eps)  # computed distances of equal vectors reach it at most
         self.order = np.empty(len(x), dtype=np.int64)
         self.nodes: list[tuple[int, float, int, int, list[int]]] = []  # centre, radius, from, to, children
         self.root = self._build(np.arange(len(x)), 2.0, 0)
@@ -61,17 +64,17 @@ class CoverTree:
             d = _far(self.x[points], self.x[centre])
             radius = float(d.max())
             me = len(self.nodes)
-            self.nodes.append((centre, radius, at, at + len(points), []))
+            self.nodes.append((centre, radius + self.slack, at, at + len(points), []))
             if parent is None:
                 root = me
             else:
                 self.nodes[parent][4].append(me)
-            if radius <= _EPS or len(points) == 1:
+            if radius <= self.slack or len(points) == 1:
                 self.order[at : at + len(points)] = points
                 if len(points) > 1:  # vectors that differ by rounding only
                     for k, p in enumerate(points):
                         self.nodes[me][4].append(len(self.nodes))
-                        self.nodes.append((int(p), 0.0, at + k, at + k + 1, []))
+                        self.nodes.append((int(p), self.slack, at + k, at + k + 1, []))
                 continue
             while bound / 2 >= radius:
                 bound /= 2

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 
+from loomgraph.llm import embedding_dedup
 from loomgraph.llm.embedding_dedup import CoverTree, dual_links, near_vectors
 
 
@@ -76,3 +77,21 @@ def test_bulk_counts_equal_pair_counts():
             link[:split, :split] = False
             link[split:, split:] = False
         assert (gain == link @ w).all()
+
+
+def test_radii_hold_however_products_are_rounded(monkeypatch):
+    far, calls = embedding_dedup._far, []
+
+    def other(x, c):
+        calls.append(len(x))
+        assert len(calls) < 2000, "the tree does not end"
+        d = far(x, c)
+        return np.where(d < 5e-8, np.where(np.arange(len(x)) == 0, 2e-8, 0.0), d)  # the first row by another path
+
+    monkeypatch.setattr(embedding_dedup, "_far", other)
+    x = cloud(2, 200).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = CoverTree(np.concatenate([x, x[:1], x[:1]]))
+    for c, radius, a, b, _ in tree.nodes:
+        for p in tree.order[a:b]:
+            assert math.sqrt(max(0.0, 2 - 2 * math.fsum(tree.x[p] * tree.x[c]))) <= radius
