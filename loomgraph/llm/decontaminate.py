@@ -237,20 +237,21 @@ class Finds:
 
 def item_pieces(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, words) of all pieces of the items that have words; pieces share window - 1 words."""
+    size, limit = PIECE, SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             whole: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
-            for i, j, h, row, _ in texts_in_shards(data, offsets, 0):
+            for i, j, h, row, _ in texts_in_shards(data, offsets, 0, limit):
                 for r, part in enumerate(np.split(h, np.searchsorted(row, np.arange(1, j - i)))):
                     whole[i + r].append(part)
             items, pieces = [], []
             for item, parts in zip(b.column(0).to_pylist(), whole, strict=True):
                 h = np.concatenate(parts)
-                for at in range(0, max(len(h) - window + 1, min(len(h), 1)), PIECE):
+                for at in range(0, max(len(h) - window + 1, min(len(h), 1)), size):
                     items.append(item)
-                    pieces.append(h[at : at + PIECE + window - 1].tobytes())
+                    pieces.append(h[at : at + size + window - 1].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(pieces, pa.binary())], names=["item", "words"])
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
@@ -261,14 +262,14 @@ def _pass(docs: DataFrame, test: Suffixes, window: int) -> DataFrame:
     """One pass over docs with one block: their columns and FOUND."""
     sent = docs.sparkSession.sparkContext.broadcast(test)
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(FOUND).fields])
-    where = docs.columns.index("text")
+    where, limit = docs.columns.index("text"), SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = sent.value
         for b in batches:
             data, offsets = text_bytes(b.column(where))
             finds = Finds(b.num_rows)
-            for shard in texts_in_shards(data, offsets, max(window, min(test.longest, SHARD_BYTES >> 4)) - 1):
+            for shard in texts_in_shards(data, offsets, max(window, min(test.longest, limit >> 4)) - 1, limit):
                 finds.shard(test, *shard)
             yield pa.RecordBatch.from_arrays([*b.columns, *finds.columns(test)], names=schema.names)
 
@@ -278,7 +279,8 @@ def _pass(docs: DataFrame, test: Suffixes, window: int) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Docs (with a column text) and n_words, spans of hit words, items with windows in the text, words of the longest match.
 
-    Docs' other columns must have other names; decontaminate takes any.
+    Of a text above SHARD_BYTES the longest match is told within its parts. Docs' other
+    columns must have other names; decontaminate takes any.
     """
     lean(docs.sparkSession)
     pieces = materialize(item_pieces(benchmark, window), "pieces")
