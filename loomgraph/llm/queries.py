@@ -1,6 +1,6 @@
 """Registry of the training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from loomgraph.llm import collocations, decontaminate, embedding_dedup, exact_dedup, langid, line_dedup, near_dedup, packing, sentencepiece_fst, suffix_dedup, toxicity, url_filter
+from loomgraph.llm import collocations, decontaminate, embedding_dedup, exact_dedup, langid, line_dedup, near_dedup, packing, prefix_trie, sentencepiece_fst, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,12 +13,14 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_collocations": collocations.op12_collocations,
     "op13_decontamination": decontaminate.op13_decontamination,
 }
 ORACLES = {
     "op2_embedding_near_dedup": embedding_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_collocations": collocations.ORACLE,
     "op13_decontamination": decontaminate.ORACLE,
 }
