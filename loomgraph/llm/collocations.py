@@ -8,10 +8,9 @@ size, which are broadcast. A bitmap only ever lets too much through (where
 hashes meet, or where a huge corpus fills it), and the exact counts decide.
 Longer phrases are put into buckets only if their shorter parts are frequent.
 
-Tasks count the phrases of some megabytes of text at once in NumPy, by two
-64-bit hashes, and hand on one row for each different phrase with its text;
-Spark adds those up, on each task first, so a very common phrase costs a row
-a chunk. Scores are exact: products are decimals of 38 digits.
+Tasks count phrases in NumPy by two 64-bit hashes, hold a bounded number of
+different ones, and hand on a row for each with its text; Spark adds those up,
+so a very common phrase costs few rows a task. Scores are exact: products are decimals of 38 digits.
 
 Words: A-Z lower-cased, pieces end at .,;:!? and the bytes 0A to 0D, words at
 spaces and tabs. All is counted for each lang.
@@ -33,18 +32,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.llm.common import chunks, lean, materialize, mix64, text_bytes, trimming, word_hashes
+from loomgraph.llm.common import chunks, discard, lean, materialize, mix64, text_bytes, trimming, word_hashes
 
 SUPPORT = 10
 LONGEST = 3
 TOP = 2000
 #: Percent of a phrase's count from which a longer phrase takes its place.
 SHARE = 50
-#: Buckets and bits of a bitmap; one byte a bucket in a task, one bit when broadcast.
-BUCKETS = 1 << 22
-SLICE = 1 << 16
+#: Buckets, and bits of a bitmap: a power of two from about an eighth of the texts' bytes, within these
+#: bounds. A bucket is a byte in a task (128 MB at most) and a bit when broadcast (16 MB at most).
+BUCKETS = (1 << 20, 1 << 27)
+SLICE = 1 << 20
 #: Bytes of text of one chunk.
 CHUNK = 1 << 21
+#: Phrases that a task holds before it hands them on.
+HELD = 1 << 20
 #: Phrases, and their bytes, up to which a side of a join is broadcast.
 FEW, FEW_BYTES = 1 << 18, 16 << 20
 
@@ -132,19 +134,49 @@ def _langs(col: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), kinds, np.array(table, np.uint64)
 
 
-def _rows(words: Words, first: np.ndarray, key: np.ndarray, n: int, langs: pa.Array) -> pa.RecordBatch:
-    """One row for each different phrase. Phrases that share the key but not the second hash are rows of their own."""
-    order = np.argsort(key)
-    first, key = first[order], key[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[1:] != key[:-1]
-    other = words.key(words.g, first, n)
-    head = np.flatnonzero(fresh)
-    odd = other != other[head][np.cumsum(fresh) - 1] if len(head) else fresh
-    times = np.add.reduceat((~odd).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
-    pick = np.concatenate([first[head], first[odd]])
-    f = np.concatenate([times, np.ones(int(odd.sum()), np.int64)])
-    return _batch(langs.take(pa.array(words.kind[pick])), words.texts(pick, n).cast(pa.binary()), pa.array(f))
+class Gathered:
+    """The different phrases of a task so far, HELD at most, with their counts and texts."""
+
+    def __init__(self, n: int, held: int):
+        self.n, self.held, self.size = n, held, 0
+        self.langs: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+
+    def add(self, words: Words, first: np.ndarray, key: np.ndarray, langs: list[str]) -> Iterator[pa.RecordBatch]:
+        order, head, times = self._same(key, words.key(words.g, first, self.n), np.ones(len(first), np.int64))
+        pick = first[order[head]]
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)
+        self.parts.append((key[order[head]], words.key(words.g, pick, self.n), lang[words.kind[pick]], times, words.texts(pick, self.n)))
+        self.size += len(pick)
+        if self.size > self.held:
+            self._merge()
+            if self.size > self.held // 2:
+                yield from self.rows()
+
+    @staticmethod
+    def _same(key: np.ndarray, other: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, heads in it, counts). Phrases that share the key but not the second hash may have several heads."""
+        order = np.argsort(key)
+        k, o = key[order], other[order]
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+        head = np.flatnonzero(fresh)
+        return order, head, np.add.reduceat(f[order], head) if len(head) else f[:0]
+
+    def _merge(self) -> None:
+        key, other, lang, f = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
+        order, head, times = self._same(key, other, f)
+        pick = order[head]
+        texts = pa.chunked_array([p[4] for p in self.parts]).take(pa.array(pick)).combine_chunks()
+        self.parts, self.size = [(key[pick], other[pick], lang[pick], times, texts)], len(pick)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self._merge()
+            _, _, lang, f, texts = self.parts[0]
+            out = _batch(pa.array(list(self.langs)).take(pa.array(lang)), texts.cast(pa.binary()), pa.array(f))
+            yield from (out.slice(k, 1 << 16) for k in range(0, len(f), 1 << 16))
+        self.parts, self.size = [], 0
 
 
 def _batch(lang: pa.Array, phrase: pa.Array, f: pa.Array, slices: list[int] | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
@@ -153,67 +185,65 @@ def _batch(lang: pa.Array, phrase: pa.Array, f: pa.Array, slices: list[int] | No
 
 
 def _tallied(tally: np.ndarray, slice_: int) -> tuple[list[int], list[bytes]]:
-    """The slices of a task's buckets that hold anything."""
+    """The slices of a task's buckets that hold anything, compressed: most buckets are empty."""
     cut = tally.reshape(-1, slice_)
-    some = np.flatnonzero(cut.any(axis=1)).tolist()
-    return some, [cut[k].tobytes() for k in some]
+    some = [k for k in range(len(cut)) if cut[k].any()]
+    return some, [pa.compress(cut[k], "zstd", asbytes=True) for k in some]
 
 
-def _folded(slices: DataFrame, support: int) -> np.ndarray:
+def _folded(slices: DataFrame, support: int, size: int, slice_: int) -> np.ndarray:
     """A bit for each bucket that reaches the support in all tasks together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                now = np.frombuffer(data, np.uint8)
+            for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                now = np.frombuffer(pa.decompress(data.as_buffer(), slice_, "zstd"), np.uint8)
                 total[k] = np.minimum(total[k] + now, support).astype(np.uint8) if k in total else now
         bits = [np.packbits(v >= support, bitorder="little").tobytes() for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], names=["slice", "data"])
 
-    out = np.zeros((BUCKETS // SLICE, SLICE // 8), np.uint8)
-    for r in slices.repartition("slice").mapInArrow(trimming(run), "slice int, data binary").collect():  # BUCKETS bits
+    out = np.zeros((size // slice_, slice_ // 8), np.uint8)
+    for r in slices.repartition("slice").mapInArrow(trimming(run), "slice int, data binary").collect():  # size bits
         out[r["slice"]] = np.frombuffer(r["data"], np.uint8)
     return out.reshape(-1)
 
 
-def counted(docs: DataFrame, n: int, parts: np.ndarray | None, buckets: np.ndarray | None, longest: int = LONGEST, support: int = SUPPORT) -> tuple[DataFrame, np.ndarray | None]:
-    """(lang, phrase, f) of the phrases of n words that parts and buckets let through, and the next length's buckets."""
+def counted(docs: DataFrame, n: int, parts: np.ndarray | None, buckets: np.ndarray | None, size: int, longest: int = LONGEST, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """A table of (lang, phrase, f) of the phrases of n words that parts and buckets let through, and of the next length's bucket slices."""
     sent = docs.sparkSession.sparkContext.broadcast((parts, buckets))
-    size, slice_, chunk = BUCKETS, SLICE, CHUNK
+    slice_, chunk, held = min(SLICE, size), CHUNK, HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, buckets = sent.value
         tally = np.zeros(size if n < longest else 0, np.uint8)
+        gathered = Gathered(n, held)
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             number, langs, table = _langs(b.column(0))
             for i, j in chunks(offsets, chunk):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], number[i:j], table)
                 first, key = _hopeful(words, n, parts, buckets)
-                if len(first):
-                    yield _rows(words, first, key, n, langs)
+                yield from gathered.add(words, first, key, langs.to_pylist())
                 if len(tally):
                     good = np.zeros(len(words.h) + 1, bool)
                     good[first] = True
                     ahead = words.phrases(n + 1)
                     ahead = ahead[good[ahead] & good[ahead + 1]]
-                    at, times = np.unique(words.key(words.h, ahead, n + 1) & np.uint64(size - 1), return_counts=True)
-                    at = at.astype(np.int64)
+                    at, times = np.unique((words.key(words.h, ahead, n + 1) & np.uint64(size - 1)).view(np.int64), return_counts=True)
                     tally[at] = np.minimum(tally[at] + times, support)
+        yield from gathered.rows()
         if len(tally):
             slices, data = _tallied(tally, slice_)
-            yield _batch(pa.nulls(len(slices), pa.string()), pa.nulls(len(slices), pa.binary()), pa.nulls(len(slices), pa.int64()), slices, data)
+            for k in range(len(slices)):
+                yield _batch(pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), slices[k : k + 1], data[k : k + 1])
 
-    both = materialize(docs.select("lang", "text").mapInArrow(trimming(run), "lang string, phrase binary, f long, slice int, data binary"), f"counts{n}")
-    found = both.where("slice IS NULL").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    found = found.select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
-    return found, _folded(both.where("slice IS NOT NULL").select("slice", "data"), support) if n < longest else None
+    return materialize(docs.select("lang", "text").mapInArrow(trimming(run), "lang string, phrase binary, f long, slice int, data binary"), f"counts{n}")
 
 
-def bitmap(frequent: DataFrame, n: int) -> np.ndarray:
+def bitmap(frequent: DataFrame, n: int, size: int) -> np.ndarray:
     """The bits of the hashes of the given phrases of n words."""
-    size, slice_, chunk = BUCKETS, SLICE, CHUNK
+    slice_, chunk = min(SLICE, size), CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros(size, np.uint8)
@@ -226,7 +256,7 @@ def bitmap(frequent: DataFrame, n: int) -> np.ndarray:
         slices, data = _tallied(tally, slice_)
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
 
-    return _folded(frequent.select("lang", "phrase").mapInArrow(trimming(run), "slice int, data binary"), 1)
+    return _folded(frequent.select("lang", "phrase").mapInArrow(trimming(run), "slice int, data binary"), 1, size, slice_)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT) -> tuple[list[DataFrame], DataFrame]:
@@ -235,13 +265,19 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, support: int = SUP
         raise ValueError("a bucket counts in one byte: support must be from 1 to 127")
     lean(docs.sparkSession)
     tables, totals, parts, buckets = [], None, None, None
+    long = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = min(max(1 << (long >> 3).bit_length(), BUCKETS[0]), BUCKETS[1])
     for n in range(1, longest + 1):
-        found, buckets = counted(docs, n, parts, buckets, longest, support)
+        both = counted(docs, n, parts, buckets, size, longest, support)
+        found = both.where("slice IS NULL").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        found = found.select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
         if n == 1:
-            totals = materialize(found.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+            totals = materialize(both.where("slice IS NULL").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
         tables.append(materialize(found.where(F.col("f") >= support), f"frequent{n}"))
         if n < longest:
-            parts = bitmap(tables[-1], n)
+            buckets = _folded(both.where("slice IS NOT NULL").select("slice", "data"), support, size, min(SLICE, size))
+            parts = bitmap(tables[-1], n, size)
+        discard(both)
     return tables, totals
 
 

@@ -52,7 +52,8 @@ def test_equals_brute_force(spark, seed):
 def test_full_bitmaps_and_shared_hashes_only_add_work(spark, monkeypatch):
     rows = texts(9)
     docs = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(C, "BUCKETS", 64)
+    monkeypatch.setattr(C, "BUCKETS", (64, 64))
+    monkeypatch.setattr(C, "HELD", 7)
     monkeypatch.setattr(C, "SLICE", 8)
     monkeypatch.setattr(C, "CHUNK", 300)
     monkeypatch.setattr(C, "FEW", 0)
@@ -63,11 +64,12 @@ def test_phrases_that_share_a_hash_are_rows_of_their_own():
     text = b"a b a c a b"
     words = C.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.zeros(1, np.int64), np.zeros(1, np.uint64))
     first = words.phrases(2)
-    got = C._rows(words, first, np.zeros(len(first), np.uint64), 2, C.pa.array(["en"]))
+    gathered = C.Gathered(2, 3)
+    got = [*gathered.add(words, first, np.zeros(len(first), np.uint64), ["en"]), *gathered.add(words, first, np.zeros(len(first), np.uint64), ["en"]), *gathered.rows()]
     total = Counter()
-    for p, f in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True):
+    for p, f in (x for b in got for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
         total[p] += f
-    assert total == {b"a b": 2, b"b a": 1, b"a c": 1, b"c a": 1}
+    assert total == {b"a b": 4, b"b a": 2, b"a c": 2, b"c a": 2}
 
 
 def test_score_is_exact_beyond_64_bits(spark):
