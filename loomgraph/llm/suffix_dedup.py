@@ -391,7 +391,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep_first: bool = T
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of a repeated 400-byte string goes: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Every copy of a repeated 400-byte string goes: doc_id, n_bytes, n_removed, n_spans, kept_sha256; further: kept_text, without characters of which a byte went."""
     docs = with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     joined = docs.join(covered(docs), "_uid", "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -402,8 +402,9 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             for k in range(b.num_rows):
                 raw = (b.column(1)[k].as_py() or "").encode()
                 spans = _spans_of(b.column(2), k)
-                rows.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
+                kept = _kept(raw, spans)
+                rows.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), pa.int64()) for c in cols[:3]), pa.array(list(cols[3]), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), pa.int64()) for c in cols[:3]), *(pa.array(list(c), pa.string()) for c in cols[3:])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    return joined.mapInArrow(trimming(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(trimming(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -85,5 +85,8 @@ def test_texts_and_query(spark, tmp_path):
     want = brute(rows + [(200, "q" * 900), (201, "é" * 399)], 400, False)
     for r in S.op3_suffix_array_dedup(spark, str(tmp_path)).collect():
         raw = (dict(rows + [(200, "q" * 900), (201, "é" * 399)])[r["doc_id"]] or "").encode()
-        kept = bytes(c for i, c in enumerate(raw) if i not in want[r["doc_id"]])
-        assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (len(raw), len(raw) - len(kept), hashlib.sha256(kept).hexdigest())
+        gone = want[r["doc_id"]]
+        kept = bytes(c for i, c in enumerate(raw) if i not in gone)
+        runs = sum(i - 1 not in gone for i in gone)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest())
+        assert r["kept_text"] == kept.decode("utf-8", "ignore")
