@@ -17,7 +17,8 @@ never pairs, so a large group of near copies costs its size and not its square.
 
 Defined results: a vector that is null, empty, zero or holds null or
 non-finite components, or has no label, links with nothing and is its own
-component; vectors of different lengths don't link; repeated rows are equal
+component; vectors of different lengths don't link; labels may have any type that can be
+grouped by, and NaN labels are equal; repeated rows are equal
 vectors; a null vec_id counts as larger than any other; an empty table gives
 no rows; other columns are not read.
 """
@@ -209,7 +210,7 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
     dealt = materialize(_dealt(classes, pivots), "dealt")
     cells = materialize(dealt.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("far").alias("radius")).withColumn("blocks", F.ceil(F.col("size") / block)), "cells")
     apart = [(k[0], k[1], i, j, float(d)) for k, p in pivots.items() for i in range(len(p)) for j, d in enumerate(np.sqrt(np.maximum(0, 2 - 2 * p[i] @ p.T)).tolist()) if j >= i]
-    gaps = classes.sparkSession.createDataFrame(apart or [(0, 0, 0, 0, 0.0)], "label int, dim int, a int, b int, gap double")
+    gaps = classes.sparkSession.createDataFrame(apart or [(0, 0, 0, 0, 0.0)], "label long, dim int, a int, b int, gap double")
     side = lambda p: cells.select("label", "dim", F.col("cell").alias(p), F.col("radius").alias(f"r{p}"), F.col("blocks").alias(f"n{p}"))
     met = side("a").join(side("b"), ["label", "dim"]).where("a <= b").join(gaps, ["label", "dim", "a", "b"], "left")
     met = met.where((F.col("a") == F.col("b")) | F.col("gap").isNull() | (F.col("gap") <= F.col("ra") + F.col("rb") + math.sqrt(2 - 2 * threshold) + 1e-6))
@@ -241,10 +242,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     vec = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.forall("embedding", lambda c: c.isNotNull() & (F.abs(c.cast("double")) < F.lit(math.inf))) & F.exists("embedding", lambda c: c != 0)
     valid = F.coalesce(F.col("label").isNotNull() & fine, F.lit(False))
-    rows = v.select("_uid", "vec_id", F.col("label").cast("int").alias("label"), F.when(valid, vec).alias("vec"))
+    rows = v.select("_uid", "vec_id", "label", F.when(valid, vec).alias("vec"))
     classes = rows.where("vec IS NOT NULL").groupBy("label", "vec").agg(F.min("_uid").alias("id"), F.count("*").alias("n"), F.min("vec_id").alias("low"))
     classes = materialize(classes.select("id", "label", F.size("vec").alias("dim"), "vec", "n", "low"), "classes")
-    parts = materialize(class_links(classes.select("id", "label", "dim", "vec", "n"), threshold, block), "parts")
+    # labels of any type are numbered, since tasks are told of them
+    numbers = materialize(classes.select(F.col("label").alias("_label")).distinct().withColumn("number", F.monotonically_increasing_id()), "labels")
+    numbered = classes.join(numbers, F.col("label") == F.col("_label")).select("id", F.col("number").alias("label"), "dim", "vec", "n")
+    parts = materialize(class_links(materialize(numbered, "numbered"), threshold, block), "parts")
     linked = parts.groupBy("id").agg(F.sum("n_linked").alias("n_linked"))
     roots = components(parts.select(F.col("id").alias("a"), F.col("root").alias("b")))
     joined = classes.join(linked, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -95,3 +95,14 @@ def test_radii_hold_however_products_are_rounded(monkeypatch):
     for c, radius, a, b, _ in tree.nodes:
         for p in tree.order[a:b]:
             assert math.sqrt(max(0.0, 2 - 2 * math.fsum(tree.x[p] * tree.x[c]))) <= radius
+
+
+def test_labels_of_any_type(spark):
+    rows = [(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(12)]
+    for kind, label in (("string", lambda k: "ab"[k % 3 == 0]), ("bigint", lambda k: (1 << 40) + (k % 3 == 0)), ("double", lambda k: 0.5 + (k % 3 == 0))):
+        v = spark.createDataFrame([(k, e, label(k)) for k, e in rows] + [(99, [1.0, 0.0], None)], f"vec_id long, embedding array<float>, label {kind}")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(v).collect()}
+        for k, e in rows:
+            same = [j for j, f in rows if f == e and label(j) == label(k)]
+            assert got[k] == (len(same) - 1, min(same))
+        assert got[99] == (0, 99)
