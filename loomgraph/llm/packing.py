@@ -348,7 +348,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = offsets.select("length", "_salt", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32", F.xxhash64(*made.columns))) - 1
     ranked = salted.withColumn("_rank", within).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_salt", "_before")
     names = [c for c in made.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields) + ", sequence_id long, offset long"
