@@ -157,8 +157,8 @@ class Model:
             out[self.first[k] : self.first[k + 1]] = np.where(total > 0, p, lower)
         return out
 
-    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each text under each language."""
+    def bits(self, data: np.ndarray, offsets: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Code length of each text under each language; its first `skip` bytes are context alone."""
         n = np.diff(offsets)
         out = np.zeros((len(n), len(self.langs)))
         part, begins = _padded(data, offsets, self.order)
@@ -167,22 +167,23 @@ class Model:
         for k in range(self.order, 0, -1):
             state[self.order :] = state[self.order :] * self.size + sym[self.order - k : len(sym) - k]
         row = self.states[state] * np.int64(self.size) + sym
-        full = n > 0
+        full = n > skip
         if full.any():
             # sums run from each text's begin to the next text's padding
-            edges = np.stack([begins[full], begins[full] + n[full]], 1).ravel()
+            edges = np.stack([begins[full] + skip, begins[full] + n[full]], 1).ravel()
             edges = edges[:-1] if edges[-1] == len(row) else edges
             for i in range(len(self.langs)):
                 out[full, i] = np.add.reduceat(self.table[row, i].astype(np.float64), edges)[::2]
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """bits(), a block of a very long text at a time (a block starts a fresh context)."""
+        """bits(), a block of a very long text at a time; a block begins with the bytes that its first contexts need."""
         if len(data) <= 4 * _BLOCK:
             return self.bits(data, offsets)
         assert len(offsets) == 2
         cut = np.append(np.arange(0, len(data), _BLOCK), len(data))
-        return sum(self.bits(data[a:b], np.array([0, b - a])) for a, b in zip(cut, cut[1:], strict=False))
+        lead = [min(int(a), self.order) for a in cut]
+        return sum(self.bits(data[a - k : b], np.array([0, b - a + k]), k) for a, b, k in zip(cut, cut[1:], lead, strict=False))
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Model:
