@@ -20,7 +20,8 @@ are runs of letters, ASCII case folded; they and the beginnings of longer ones
 are known by 64-bit hashes.
 
 Defined results: a null or empty text has the score of no evidence; where no
-row is labelled toxic, or all are, every score is 0; repeated rows get equal
+row is labelled toxic every score is 0, where all that are labelled are, 1; of
+few toxic rows a word needs fewer to vote, and where none votes the patterns do; repeated rows get equal
 scores; of words that tell equally much the one of smaller hash is taken; a
 document with several labels is toxic if one says so; an empty table gives no
 rows; very long texts are read whole; columns of any other name may be there
@@ -49,6 +50,8 @@ UNLABELLED = 6_000
 VOTERS, CLEAN = 256, 64
 WORDS = 1024
 PATTERNS = 5
+#: Toxic rows that hold a word of the lexicon, and other rows that hold a clean one; a fourth of such rows if they are few.
+ENOUGH = (6, 20)
 #: Rounds of expectation maximisation, and those after which correlations are estimated.
 ROUNDS, CORRELATE = 10, (2, 6)
 #: Sums of shares are added as whole numbers of this unit, so that their order doesn't matter.
@@ -127,10 +130,11 @@ def mined_words(sample: DataFrame) -> tuple[np.ndarray, int, int, float]:
 
     sizes = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
     if not sizes[0] or not sizes[1]:
-        return np.zeros(0, dtype=np.uint64), 0, 0, 0.0
+        return np.zeros(0, dtype=np.uint64), 0, 0, float(bool(sizes[0]))
+    bad, good = (min(most, max(2, sizes[k] // 4)) for k, most in ((0, ENOUGH[0]), (1, ENOUGH[1])))
     counts = sample.mapInArrow(trimming(run), "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (sizes[0] + 1)) - F.log((F.col("good") + 0.5) / (sizes[1] + 1))
-    counts = materialize(counts.where("bad >= 6 OR good >= 20").withColumn("odds", odds).where("bad >= 6 AND odds > 1.5 OR good >= 20 AND odds < -1"), "words")
+    counts = materialize(counts.where(f"bad >= {bad} OR good >= {good}").withColumn("odds", odds).where(f"bad >= {bad} AND odds > 1.5 OR good >= {good} AND odds < -1"), "words")
     told = counts.where("odds > 0").withColumn("gain", F.col("odds") * F.sqrt(F.col("bad"))).orderBy(F.desc("gain"), "h").limit(WORDS - CLEAN).toPandas()
     clean = counts.where("odds < 0").withColumn("gain", F.col("odds") * F.sqrt(F.col("good"))).orderBy("gain", "h").limit(CLEAN).toPandas()
     sure = told["bad"] * sizes[1] > 20 * (told["good"] + 0.5) * sizes[0]
@@ -332,8 +336,8 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     train = docs.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text")
     told = materialize(_sample(spark, train, labels, labelled), "labelled")
     words, lexicon, clean, share = mined_words(told)
-    if not lexicon:
-        return None
+    if share in (0.0, 1.0):
+        return Scorer(words, np.zeros(PATTERNS), 700.0) if share else None
     voters = Voters(len(words), lexicon, clean)
     kinds = _kinds(train, words, voters)
     known, truth = votes(told, words)

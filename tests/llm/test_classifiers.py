@@ -69,6 +69,68 @@ def test_language_edges(spark):
     assert L.predict(docs, L.learn(docs.limit(0)), "doc_id").where("lang_pred <> 'und'").count() == 0
 
 
+def test_long_texts_have_the_code_length_of_the_whole():
+    rng = np.random.default_rng(3)
+    keys, counts = np.unique(rng.integers(97, 105, 4000) * 256**3 + rng.integers(97, 105, 4000) * 65536 + rng.integers(97, 105, 4000) * 256 + rng.integers(97, 105, 4000), return_counts=True)
+    model = L.Model(["a", "b"], {"a": (keys, counts.astype(float)), "b": (keys[::2], counts[::2].astype(float))})
+    data = rng.integers(97, 106, 3_000_000).astype(np.uint8)
+    offsets = np.array([0, len(data)])
+    assert np.allclose(model.score(data, offsets), model.bits(data, offsets), rtol=1e-9, atol=1e-6)
+    assert np.allclose(model.bits(data[:50], np.array([0, 50]), 3) + model.bits(data[:3], np.array([0, 3])), model.bits(data[:50], np.array([0, 50])))
+
+
+def test_code_lengths_by_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.learn(docs.where(~L.held_out(F.col("doc_id"), 4, 2)))
+    table, states = model.table.reshape(-1, model.size, len(model.langs)), model.states
+    for r in L.op7_language_id(spark, "/root/testdata/sf0.001").join(docs.select("doc_id", "text"), "doc_id").where("doc_id % 20 = 0").collect():
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (r["text"] or "").encode())
+        bits = np.zeros(len(model.langs))
+        for i in range(len(raw)):
+            state = 0
+            for c in (b"   " + raw)[i : i + 3]:
+                state = state * model.size + int(model.symbol[c])
+            bits += table[states[state], model.symbol[raw[i]]]
+        score = 1 / np.exp2(np.maximum(bits.min() - bits, -1000)).sum()
+        assert r["lang_pred"] == (model.langs[int(bits.argmin())] if any(c.isalpha() for c in r["text"] or "") else "und")
+        assert abs(r["score"] - (score if r["lang_pred"] != "und" else 0)) < 1e-6
+
+
+def test_toxicity_of_few_rows(spark):
+    docs = spark.createDataFrame([(i, f"you {'zblork' if i % 10 == 3 else 'friend'} number {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 3)) for i in range(60)], "doc_id long, toxic int")
+    rows = X.scored(docs, X.learn(docs, labels), "doc_id").collect()
+    assert min(r["score"] for r in rows if r["doc_id"] % 10 == 3) > 0.5 > max(r["score"] for r in rows if r["doc_id"] % 10 != 3)
+    every = X.learn(docs, labels.withColumn("toxic", F.lit(1)))
+    assert X.scored(docs, every, "doc_id").where("score < 0.99 OR predicted <> 1").count() == 0
+    shouts = spark.createDataFrame([(i, ("LOUD WORDS! " if i % 3 == 0 else "quiet words ") + "".join(chr(97 + (i * k) % 26) for k in range(1, 9))) for i in range(40)], "doc_id long, text string")
+    plain = X.learn(shouts, labels.where("doc_id < 40").withColumn("toxic", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)))
+    of = {r["doc_id"]: r["score"] for r in X.scored(shouts, plain, "doc_id").collect()}
+    assert min(of[i] for i in range(0, 40, 3)) > max(of[i] for i in range(40) if i % 3)
+
+
+def test_toxicity_small_tables_tell_held_out_rows(spark):
+    out = X.op5_toxicity(spark, "/root/testdata/sf0.001").toPandas()
+    truth = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.001/labels.parquet'").df()
+    held = out[out["held_out"]].merge(truth, on="doc_id")
+    bad, good = held[held["toxic"] == 1]["score"], held[held["toxic"] == 0]["score"]
+    assert len(good) and (not len(bad) or np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.6)
+    every = out.merge(truth, on="doc_id")
+    assert every[every["toxic"] == 1]["score"].mean() > every[every["toxic"] == 0]["score"].mean()
+
+
+def test_scores_by_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = X.learn(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weights, strict=False))
+    for r in X.scored(docs, model, "doc_id", "text").where("doc_id % 10 = 0").collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        h, _, n = X.tokens_of(raw, np.array([0, len(raw)]))
+        z = model.bias + sum(weight.get(x, 0.0) for x in set(h.tolist())) + float(X.patterns(raw, np.array([0, len(raw)]), n)[0] @ model.weights[len(model.words) :])
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_toxicity_held_out(spark):
     out = X.op5_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     truth = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").df()
