@@ -370,7 +370,7 @@ def _told(docs: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> Data
 
 
 def near_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, led: bool = True, list_size: int = LIST) -> DataFrame:
-    """(_uid, keep_uid, class_size) of every row of docs with _uid.
+    """(_uid, keep_uid, class_size) of every row of docs with _uid. Where doc_id is no whole number, the first row of a group stays, by _uid.
 
     led: compare with leaders first; without, the exact filter alone finds the same groups with more work.
     """
