@@ -109,10 +109,13 @@ def paper_signals(asked: DataFrame, papers: DataFrame, relevance: DataFrame) ->
     return found.select("pmid", worth.alias("relevance"), subjects.alias("domains"))
 
 
-def similar_unlinked(vectors: DataFrame, edges: DataFrame, k: int = 25) -> DataFrame:
-    """(query, candidate, score, rank): the k nearest other ideas (id, vec) of each, of any score, that are no neighbours."""
+def similar_unlinked(vectors: DataFrame, edges: DataFrame, k: int = 25, asked: DataFrame | None = None) -> DataFrame:
+    """(query, candidate, score, rank): the k nearest other ideas (id, vec) of each, of any score, that are no neighbours.
+
+    asked: the ideas that search; all if absent, which scores every pair.
+    """
     linked = neighbours(edges).select(F.col("id").alias("query"), F.col("other").alias("candidate"))
-    return knn_join(vectors, vectors, k, exclude=linked).select("query", "candidate", "score", "rank")
+    return knn_join(vectors if asked is None else asked, vectors, k, exclude=linked).select("query", "candidate", "score", "rank")
 
 
 def best_match(ideas: DataFrame, degree: DataFrame, text: str, nearest: DataFrame | None = None) -> DataFrame:

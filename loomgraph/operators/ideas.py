@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import acronyms, collapse, sentences, slugify, strip, without_headers
 from loomgraph.functions.vectors import bow_embedding
 from loomgraph.operators.similarity import knn_join
+from loomgraph.plans.tables import scratch
 from loomgraph.schemas import IDEA_RELATIONS, IDEA_TYPES, PAPER_RELATIONS
 
 MERGE = 0.80
@@ -102,10 +103,12 @@ def candidates(ideas: DataFrame, merge: float = MERGE, link: float = LINK, k: in
     """(id, candidate, rank, score, eligibility) of canonical ideas against those created before them.
 
     ideas: id (order of arrival), statement. Only first wordings enter the index, so an idea sees
-    those of smaller ids; at most k, at least `link` similar. vectors: of the first wordings, if at hand.
+    those of smaller ids; at most k, at least `link` similar. vectors: of the first wordings, as a
+    table; without, they are computed and written once.
     """
     if vectors is None:
-        vectors = embedded(first_wordings(ideas).where("id = canon").select("id", "statement"))
+        found = embedded(first_wordings(ideas).where("id = canon").select("id", "statement"))
+        vectors = scratch(ideas.sparkSession)(found.select("id", "vec"), "vectors")
     near = knn_join(vectors, vectors, k, link, earlier=True)
     return near.select(F.col("query").alias("id"), "candidate", "rank", "score", F.when(F.col("score") >= merge, "merge-eligible").otherwise("link-only").alias("eligibility"))
 
