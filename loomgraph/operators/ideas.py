@@ -7,12 +7,14 @@ merges, a near idea of another level is a part.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import acronyms, collapse, sentences, slugify, strip, without_headers
 from loomgraph.functions.vectors import bow_embedding
-from loomgraph.operators.similarity import knn_join
+from loomgraph.operators.edges import components
+from loomgraph.operators.similarity import id_ranges, knn_join
 from loomgraph.plans.tables import scratch
 from loomgraph.schemas import IDEA_RELATIONS, IDEA_TYPES, PAPER_RELATIONS
 
@@ -138,48 +140,115 @@ def decisions(ideas: DataFrame, merge: float = MERGE, link: float = LINK, k: int
 
 
 def guarded(decision: Column, target: Column, ranked: Column, merge: float) -> Column:
-    """A model's decision made safe: unknown ones are new; a merge needs an eligible candidate, else it links or is new.
+    """A model's decision made safe: unknown ones and those for what was not shown are new; a merge needs an eligible candidate, else it links.
 
     ranked: array of structs (slug, score).
     """
-    listed = F.exists(ranked, lambda r: r["slug"] == target)
+    listed = F.coalesce(F.exists(ranked, lambda r: r["slug"] == target), F.lit(False))
     able = F.exists(ranked, lambda r: (r["slug"] == target) & (r["score"] >= merge))
-    known = F.when(decision.isin("merge", "link", "new"), decision).otherwise("new")
-    return F.when((known == "merge") & ~F.coalesce(able, F.lit(False)), F.when(F.coalesce(listed, F.lit(False)), "link").otherwise("new")).otherwise(known)
+    return F.when(listed & (decision == "merge") & able, "merge").when(listed & decision.isin("merge", "link"), "link").otherwise("new")
 
 
-def fold_decisions(ideas: DataFrame, decide, merge: float = MERGE, link: float = LINK, k: int = NEIGHBOURS) -> DataFrame:
+def guard(decision: str | None, target, shown: dict, merge: float) -> tuple[str, object]:
+    """What guarded says of one reply, and the target it is left with. shown: the scores of what the model was shown."""
+    if decision not in ("merge", "link") or target not in shown:
+        return "new", None
+    return "merge" if decision == "merge" and shown[target] >= merge else "link", target
+
+
+#: Ideas of one component that are folded in one task at a time.
+GROUP = 4096
+
+
+def fold_decisions(ideas: DataFrame, decide, merge: float = MERGE, link: float = LINK, k: int = NEIGHBOURS, group: int = GROUP) -> DataFrame:
     """Canonicalise with any model: decide(idea, ranked) -> {decision, target, relation}.
 
-    Spark finds all earlier ideas within the link threshold; that sparse list alone is folded in
-    order, one task a vault (column vault), since each idea sees what the ones before it became.
-    """
-    import pandas as pd
+    Each idea of a vault (columns vault, id, statement, level) sees what the ones before it became, at
+    most the k nearest that were not merged. One that is worded like an earlier one of its vault (but
+    for case) becomes what that one became, without being asked about. Only ideas that the threshold
+    links, over others too, bear on each other: components are folded apart, each in order in a task.
+    Of components of more than `group` ideas the ideas come in ranges of ids, one range of each in a
+    round; a round is shown the k best of earlier rounds, and of its own range all. Decisions are those
+    of one fold over all first wordings.
 
-    vectors = embedded(ideas.select("id", "statement"))
-    near = knn_join(vectors, vectors, None, link, earlier=True).groupBy(F.col("query").alias("id")).agg(F.collect_list(F.struct("candidate", "score")).alias("near"))
-    rows = ideas.join(near, "id", "left").select("vault", "id", "statement", "level", "near")
+    Lists of neighbours are cut at 4 * k; where merges leave an idea fewer than k of a cut list, its
+    list is made four times as long and the fold repeated, so that no group is paired off whole.
+    """
+    write = scratch(ideas.sparkSession)
+    wording = Window.partitionBy("vault", F.lower("statement"))
+    rows = write(ideas.select("vault", "id", "statement", "level").withColumn("first", F.min("id").over(wording)), "ideas")
+    firsts = write(rows.where("id = first").drop("first"), "firsts")
+    vectors = write(embedded(firsts.select("vault", "id", "statement")).select("vault", "id", "vec"), "vectors")
+    depth = 4 * k
+    near = write(_listed(vectors, vectors, link, depth), "near")
+    while True:
+        found = fold_components(firsts, near, decide, merge, k, group)
+        short = write(found.where("short").select("id"), f"short{depth}")
+        if short.isEmpty():
+            break
+        depth *= 4
+        deeper = _listed(vectors.join(short, "id", "left_semi"), vectors, link, depth)
+        near = write(near.join(short, "id", "left_anti").unionByName(deeper), f"near{depth}")
+    told = found.drop("short")
+    again = rows.where("id <> first").select("vault", F.col("id").alias("_id"), F.col("first").alias("id")).join(told.drop("vault"), "id")
+    again = again.select("vault", F.col("_id").alias("id"), F.lit("merge").alias("decision"), F.when(F.col("decision") == "merge", F.col("target")).otherwise(F.col("id")).alias("target"), F.lit(None).cast("string").alias("relation"))
+    return told.unionByName(again)
+
+
+def _listed(asked: DataFrame, vectors: DataFrame, link: float, depth: int) -> DataFrame:
+    """(id, candidate, score, cut): the `depth` nearest earlier ideas of the same vault; cut where the list may go on."""
+    numbers = vectors.select("vault").distinct().withColumn("domain", F.monotonically_increasing_id())
+    numbers = scratch(vectors.sparkSession)(numbers, "vaults")
+    one = lambda v: v.join(numbers.withColumnRenamed("vault", "_v"), F.col("vault").eqNullSafe(F.col("_v"))).select("id", "vec", "domain")
+    near = knn_join(one(asked), one(vectors), depth, link, earlier=True, same_domain=True)
+    return near.select(F.col("query").alias("id"), "candidate", "score", (F.col("rank") == depth).alias("cut"))
+
+
+def fold_components(rows: DataFrame, near: DataFrame, decide, merge: float, k: int, group: int) -> DataFrame:
+    """fold_decisions over given pairs (id, earlier candidate, score, cut); short: fewer than k of a cut list were left."""
+    spark = rows.sparkSession
+    write = scratch(spark)
+    roots = components(near.select(F.col("id").alias("a"), F.col("candidate").alias("b")), write)
+    placed = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("size"))
+    placed = write(placed.join(sizes, "root"), "placed")
+    large = placed.where(F.col("size") > group)
+    n = large.count()
+    cuts = id_ranges(large, n, -(-2 * n // group)) if n else []
+    ends = near.groupBy("id").agg(F.max("cut").alias("cut"))
+    placed = placed.join(ends, "id", "left")
+    turn = F.lit(0) if not cuts else F.when(F.col("size") > group, sum((F.col("id") >= F.lit(x)).cast("int") for x in cuts)).otherwise(0)
+    placed = write(placed.withColumn("turn", turn), "turns")
+    turns = placed.select(F.col("id").alias("candidate"), F.col("turn").alias("theirs"), F.col("statement").alias("wording"), F.col("level").alias("their"))
+    pairs = write(near.drop("cut").join(placed.select("id", "turn"), "id").join(turns, "candidate"), "pairs")
+    vault = rows.schema["vault"].dataType.simpleString()
+    kinds = f"vault {vault}, id long, decision string, target long, relation string, short boolean"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        made, out = {}, []
+        made, out = set(), []
         for r in pdf.sort_values("id").itertuples():
-            ranked = sorted(((c["candidate"], c["score"]) for c in (r.near if r.near is not None else []) if c["candidate"] in made), key=lambda c: (-c[1], c[0]))[:k]
-            told = {"decision": "new"}
-            if ranked:
-                told = dict(decide({"id": r.id, "statement": r.statement, "level": r.level}, [(*c, made[c[0]]) for c in ranked]))
-                if told.get("decision") not in ("merge", "link", "new"):
-                    told["decision"] = "new"
-                if told["decision"] == "merge" and dict(ranked).get(told.get("target"), -1) < merge:
-                    told["decision"] = "link" if told.get("target") in dict(ranked) else "new"
-            if told["decision"] != "merge":
-                made[r.id] = {"statement": r.statement, "level": r.level}
-            target = told.get("target") if told["decision"] != "new" and told.get("target") in made else None
+            seen = [c for c in (r.near if r.near is not None else ()) if c["known"] or c["candidate"] in made]
+            ranked = sorted(((c["candidate"], c["score"], {"statement": c["wording"], "level": c["their"]}) for c in seen), key=lambda c: (-c[1], c[0]))[:k]
+            told = dict(decide({"id": r.id, "statement": r.statement, "level": r.level}, ranked)) if ranked else {}
+            decision, target = guard(told.get("decision"), told.get("target"), {c: s for c, s, _ in ranked}, merge)
+            if decision != "merge":
+                made.add(r.id)
             relation = told.get("relation") if told.get("relation") in IDEA_RELATIONS else "related_to"
-            out.append((r.vault, r.id, told["decision"], target, relation if told["decision"] == "link" else None))
-        return pd.DataFrame(out, columns=["vault", "id", "decision", "target", "relation"]).astype({"target": "Int64"})
-
-    kinds = f"vault {ideas.schema['vault'].dataType.simpleString()}, id long, decision string, target long, relation string"
-    return rows.groupBy("vault").applyInPandas(fold, kinds)
+            out.append((r.vault, r.id, decision, target, relation if decision == "link" else None, bool(r.cut) and len(ranked) < k))
+        return pd.DataFrame(out, columns=["vault", "id", "decision", "target", "relation", "short"]).astype({"target": "Int64"})
+
+    done = spark.createDataFrame([], kinds)
+    for t in range(len(cuts) + 1):
+        own = pairs.where((F.col("turn") == t) & (F.col("theirs") == t)).withColumn("known", F.lit(False))
+        shown = own
+        if t:
+            before = pairs.where((F.col("turn") == t) & (F.col("theirs") < t)).join(done.where("decision <> 'merge'").select(F.col("id").alias("candidate")), "candidate", "left_semi")
+            best = before.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "candidate"))).where(F.col("_n") <= k)
+            shown = own.unionByName(best.drop("_n").withColumn("known", F.lit(True)))
+        lists = shown.groupBy("id").agg(F.collect_list(F.struct("candidate", "score", "wording", "their", "known")).alias("near"))
+        now = placed.where(F.col("turn") == t).join(lists, "id", "left").select("root", "vault", "id", "statement", "level", "near", F.coalesce("cut", F.lit(False)).alias("cut"))
+        done = write(done.union(now.groupBy("root").applyInPandas(fold, kinds)), f"done{t}")
+    return done
 
 
 def with_slugs(ideas: DataFrame) -> DataFrame:

@@ -236,6 +236,22 @@ def idea_decisions(spark, sf_dir):
     return I.decisions(_ideas(spark, sf_dir))
 
 
+def _told(idea: dict, ranked: list) -> dict:
+    """The deterministic model as one that is asked idea by idea."""
+    for target, score, made in ranked:
+        if score >= I.MERGE and made["statement"].lower() == idea["statement"].lower():
+            return {"decision": "merge", "target": target}
+    other = [target for target, _, made in ranked if made["level"] != idea["level"]]
+    return {"decision": "link", "target": (other or [ranked[0][0]])[0], "relation": "part_of" if other else "related_to"}
+
+
+@query(f"{_DECIDED} SELECT * FROM decided")
+def folded_decisions(spark, sf_dir):
+    """The decisions of a model that is asked for each idea, in order, about what the ones before it became."""
+    ideas = _ideas(spark, sf_dir).select(F.lit("v").alias("vault"), "id", "statement", "level")
+    return I.fold_decisions(ideas, _told).drop("vault")
+
+
 @query(f"WITH {_IDEAS}, {_CANON} SELECT canon AS id, count(*) AS papers, min(lower(statement)) AS wording FROM canon GROUP BY 1")
 def canonical_ideas(spark, sf_dir):
     return I.first_wordings(_ideas(spark, sf_dir)).groupBy(F.col("canon").alias("id")).agg(F.count("*").alias("papers"), F.min(F.lower("statement")).alias("wording"))

@@ -69,6 +69,11 @@ def test_guard(spark):
     ranked = F.array(F.struct(F.lit("x").alias("slug"), F.lit(0.7).alias("score")), F.struct(F.lit("y").alias("slug"), F.lit(0.9).alias("score")))
     told = lambda d, t: spark.range(1).select(I.guarded(F.lit(d), F.lit(t), ranked, 0.8)).first()[0]
     assert (told("merge", "y"), told("merge", "x"), told("merge", "z"), told("what", "y")) == ("merge", "link", "new", "new")
+    shown = {"x": 0.7, "y": 0.9}
+    for d in ("merge", "link", "new", "what", None):
+        for t in ("x", "y", "z", None):
+            decision, target = I.guard(d, t, shown, 0.8)
+            assert decision == told(d, t) and target == (t if decision != "new" else None)
     assert I.default_link(0.8) == 0.62 and I.default_link(0.6) == 0.5
 
 
