@@ -157,7 +157,7 @@ def guard(decision: str | None, target, shown: dict, merge: float) -> tuple[str,
 
 
 #: Ideas of one component that are folded in one task at a time.
-GROUP = 4096
+GROUP = 16_384
 
 
 def fold_decisions(ideas: DataFrame, decide, merge: float = MERGE, link: float = LINK, k: int = NEIGHBOURS, group: int = GROUP) -> DataFrame:
@@ -216,7 +216,10 @@ def fold_components(rows: DataFrame, near: DataFrame, decide, merge: float, k: i
     n = large.count()
     cuts = id_ranges(large, n, -(-2 * n // group)) if n else []
     ends = near.groupBy("id").agg(F.max("cut").alias("cut"))
-    placed = placed.join(ends, "id", "left")
+    # small components lie together, in order of ids as well: they don't bear on each other
+    small = F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * placed.count() // group)))
+    own = F.when(F.col("size") > group, F.struct(F.lit(True).alias("large"), F.col("root").alias("of"))).otherwise(F.struct(F.lit(False).alias("large"), small.cast("long").alias("of")))
+    placed = placed.join(ends, "id", "left").withColumn("task", own)
     turn = F.lit(0) if not cuts else F.when(F.col("size") > group, sum((F.col("id") >= F.lit(x)).cast("int") for x in cuts)).otherwise(0)
     placed = write(placed.withColumn("turn", turn), "turns")
     turns = placed.select(F.col("id").alias("candidate"), F.col("turn").alias("theirs"), F.col("statement").alias("wording"), F.col("level").alias("their"))
@@ -246,8 +249,8 @@ def fold_components(rows: DataFrame, near: DataFrame, decide, merge: float, k: i
             best = before.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "candidate"))).where(F.col("_n") <= k)
             shown = own.unionByName(best.drop("_n").withColumn("known", F.lit(True)))
         lists = shown.groupBy("id").agg(F.collect_list(F.struct("candidate", "score", "wording", "their", "known")).alias("near"))
-        now = placed.where(F.col("turn") == t).join(lists, "id", "left").select("root", "vault", "id", "statement", "level", "near", F.coalesce("cut", F.lit(False)).alias("cut"))
-        done = write(done.union(now.groupBy("root").applyInPandas(fold, kinds)), f"done{t}")
+        now = placed.where(F.col("turn") == t).join(lists, "id", "left").select("task", "vault", "id", "statement", "level", "near", F.coalesce("cut", F.lit(False)).alias("cut"))
+        done = write(done.union(now.groupBy("task").applyInPandas(fold, kinds)), f"done{t}")
     return done
 
 
