@@ -15,7 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import WS, strip
-from loomgraph.operators.ideas import mock_idea_sentence, mock_summary
+from loomgraph.models import replies as column_of
+from loomgraph.operators.ideas import mock_idea_sentence, mock_summary, normalised_reply
+from loomgraph.operators.replies import Replies
+from loomgraph.prompts import TASKS
+from loomgraph.schemas import SUMMARY_REPLY
 
 LEAF = 1200
 GROUP = 3500
@@ -108,109 +112,135 @@ def grow(text: str, condense, leaf: int = LEAF, limit: int = GROUP, most: int =
     return {"nodes": nodes, "truncated": max(0, len(texts) - most)}
 
 
+#: A tree is known by its row's number: rows of one key, or of none, are trees of their own.
+KEY = ["paper", "tree"]
+
+
 def leaf_nodes(docs: DataFrame, key: str, text: str, limit: int = LEAF, separator: str = "\n\n", most: int = MOST) -> DataFrame:
-    """(paper, level 0, ord, content) of the first `most` leaves of each text, and how many were cut off."""
-    cut = docs.select(F.col(key).alias("paper"), leaves(F.col(text), limit, separator).alias("_l"))
-    return cut.select("paper", F.greatest(F.size("_l") - most, F.lit(0)).alias("truncated"), F.posexplode(F.slice("_l", 1, most)).alias("ord", "content")).select("paper", F.lit(0).alias("level"), "ord", "content", "truncated")
+    """(paper, tree, level 0, ord, content) of the first `most` leaves of each text, and how many were cut off.
+
+    tree numbers the rows of docs. Null and blank texts have no leaves.
+    """
+    cut = docs.select(F.col(key).alias("paper"), F.monotonically_increasing_id().alias("tree"), leaves(F.col(text), limit, separator).alias("_l"))
+    return cut.select(*KEY, F.greatest(F.size("_l") - most, F.lit(0)).alias("truncated"), F.posexplode(F.slice("_l", 1, most)).alias("ord", "content")).select(*KEY, F.lit(0).alias("level"), "ord", "content", "truncated")
 
 
 def grouped(nodes: DataFrame, limit: int = GROUP) -> DataFrame:
-    """Add group to the nodes (paper, ord, content) of one level.
+    """A row for each tree of nodes of one level: nodes in order, and the number of the group of each.
+
+    A level of a tree has `MOST` leaves at most, so a row has a bounded size. Where every group would
+    hold one node and so no level would ever shrink, neighbours are paired.
+    """
+    rest = [c for c in nodes.columns if c not in (*KEY, "ord")]
+    packs = nodes.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("ord", *rest))).alias("nodes"))
+    packs = packs.withColumn("groups", packed(F.transform("nodes", lambda n: F.length(n["content"]).cast("long")), limit))
+    stuck = (F.size("nodes") > 1) & (F.array_max("groups") + 1 == F.size("nodes"))
+    return packs.withColumn("groups", F.when(stuck, F.transform("groups", lambda g: (g / 2).cast("int"))).otherwise(F.col("groups")))
+
+
+def placed(level: DataFrame) -> DataFrame:
+    """The nodes of a grouped level, each with its parent's ordinal."""
+    return level.select(*KEY, F.explode(F.zip_with("nodes", "groups", lambda n, g: n.withField("parent", g))).alias("n")).select(*KEY, "n.*")
 
-    Where every group would hold one node and so no level would ever shrink, neighbours are paired.
+
+def joined(level: DataFrame) -> DataFrame:
+    """The groups of a grouped level: (paper, tree, level, ord, text, children, first, last); last: it is the tree's only one."""
+    start = lambda g: F.array_position("groups", g).cast("int")
+    size = lambda g: F.when(g == F.array_max("groups"), F.size("nodes") + 1).otherwise(start(g + 1)) - start(g)
+    parts = F.transform(F.sequence(F.lit(0), F.array_max("groups")), lambda g: F.struct(g.alias("ord"), F.slice("nodes", start(g), size(g)).alias("of")))
+    rows = level.select(*KEY, F.explode(parts).alias("p"), (F.array_max("groups") == 0).alias("last"))
+    return rows.select(*KEY, (F.col("p.of")[0]["level"] + 1).alias("level"), "p.ord", F.array_join("p.of.content", "\n\n").alias("text"), F.size("p.of").alias("children"), F.col("p.of")[0]["first"].alias("first"), "last")
+
+
+def offline(groups: DataFrame) -> DataFrame:
+    """content, key_finding and idea of each group's text by the deterministic model."""
+    summary, finding = mock_summary(F.col("text"))
+    return groups.withColumns({"content": summary, "key_finding": finding, "idea": mock_idea_sentence(F.col("text"))}).drop("text")
+
+
+def by_model(make, replies: Replies):
+    """condense for build: content, key_finding and ideas as a model tells them.
+
+    make() gives the model in a task. What was told before is taken from the table of replies; a level
+    of which calls failed keeps the others' replies and raises, so that a new run asks the rest only.
     """
-    packs = nodes.groupBy("paper").agg(F.sort_array(F.collect_list(F.struct("ord", F.length("content").cast("long").alias("n")))).alias("_n"))
-    packs = packs.withColumn("_g", packed(F.transform("_n", lambda x: x["n"]), limit))
-    stuck = (F.size("_n") > 1) & (F.array_max("_g") + 1 == F.size("_n"))
-    packs = packs.withColumn("_g", F.when(stuck, F.transform("_g", lambda g: (g / 2).cast("int"))).otherwise(F.col("_g")))
-    of = packs.select("paper", F.explode(F.arrays_zip(F.col("_n.ord").alias("ord"), F.col("_g").alias("g"))).alias("x")).select("paper", F.col("x.ord").alias("ord"), F.col("x.g").alias("group"))
-    return nodes.join(of, ["paper", "ord"])
+    system, schema = TASKS["condense"]
 
+    def condense(groups: DataFrame) -> DataFrame:
+        user = F.concat(F.when(F.col("level") == 1, "Paragraphs").otherwise("Summaries of its parts"), F.lit(":\n\n"), "text")
+        told = replies.ask(groups.withColumn("_user", user), "_user", lambda u: column_of(make, system, u, schema), system).withColumn("_r", F.from_json("reply", SUMMARY_REPLY))
+        said = lambda c: strip(F.coalesce(f"_r.{c}", F.lit("")))
+        return told.withColumns({"content": said("summary"), "key_finding": said("key_finding"), "ideas": normalised_reply(F.col("_r.ideas"))}).drop("text", "_user", "_r", "reply")
 
-def condensed(nodes: DataFrame, limit: int = GROUP) -> DataFrame:
-    """The next level: one node a group, its content the summary of its children's contents."""
-    level = grouped(nodes, limit)
-    whole = level.groupBy("paper", "group").agg(F.sort_array(F.collect_list(F.struct("ord", "content"))).alias("_c"), F.max("level").alias("level"))
-    text = F.array_join(F.col("_c.content"), "\n\n")
-    summary, finding = mock_summary(text)
-    return whole.select("paper", (F.col("level") + 1).alias("level"), F.col("group").alias("ord"), summary.alias("content"), finding.alias("key_finding"), mock_idea_sentence(text).alias("idea"), F.size("_c").alias("children"))
+    return condense
 
 
-def build(leaf: DataFrame, limit: int = GROUP, write=None) -> DataFrame:
-    """All nodes of all trees: (paper, level, ord, parent, content, key_finding, idea, children, truncated).
+def build(leaf: DataFrame, limit: int = GROUP, write=None, condense=offline) -> DataFrame:
+    """All nodes of all trees: (paper, tree, level, ord, parent, content, key_finding, children, first, truncated) and what condense adds.
 
-    write(df, name) cuts lineage between levels (a table in the shared folder); a single leaf
-    still gets one level above it. The leaf's own content is its text.
+    condense takes groups (see joined) and gives content and key_finding for text. write(df, name)
+    cuts lineage between levels (a table in the shared folder); a single leaf still gets one level
+    above it. The leaf's own content is its text; first is the ordinal of a node's first leaf.
+    A level is one shuffle, of the trees that still have several nodes.
     """
     write = write or (lambda df, name: df.persist())
-    now = write(leaf.select("paper", "level", "ord", "content", "truncated"), "level0")
-    parts = []
-    k = 0
-    while True:
-        named = grouped(now, limit).withColumnRenamed("group", "parent")
-        up = write(condensed(now, limit), f"level{k + 1}")
-        extra = {"truncated": F.lit(0)} if "key_finding" in named.columns else {"key_finding": F.lit(None).cast("string"), "idea": F.lit(None).cast("string"), "children": F.lit(0)}
-        parts.append(named.withColumns(extra))
-        more = up.withColumn("_n", F.count("*").over(Window.partitionBy("paper")))
-        roots = more.where("_n = 1").drop("_n").withColumns({"parent": F.lit(None).cast("int"), "truncated": F.lit(0)})
-        parts.append(roots)
-        now = write(more.where("_n > 1").drop("_n"), f"open{k + 1}")
-        k += 1
-        if now.isEmpty():
-            break
-    columns = ["paper", "level", "ord", "parent", "content", "key_finding", "idea", "children", "truncated"]
-    out = parts[0].select(*columns)
+    now = leaf.select(*KEY, "level", "ord", "content", "truncated", F.col("ord").alias("first"))
+    parts: list[DataFrame] = []
+    while not parts or not now.isEmpty():
+        level = write(grouped(now, limit), f"level{len(parts)}")
+        up = write(condense(joined(level)), f"above{len(parts)}")
+        parts += [placed(level), up.where("last").drop("last")]
+        now = up.where("NOT last").drop("last")
+    out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p.select(*columns))
-    return out
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.withColumns({"children": F.coalesce("children", F.lit(0)), "truncated": F.coalesce("truncated", F.lit(0))})
 
 
 def structure_edges(nodes: DataFrame) -> DataFrame:
     """part_of edges from each child's idea to its parent's first idea, unless the parent has the same one.
 
-    nodes: paper, level, ord, parent, slugs (array).
+    nodes: tree, level, ord, parent, slugs (array).
     """
-    up = nodes.select("paper", (F.col("level") - 1).alias("level"), F.col("ord").alias("parent"), F.col("slugs").alias("above"))
-    joined = nodes.where("level > 0").join(up, ["paper", "level", "parent"]).where(F.size("above") > 0)
-    child = joined.select("above", F.explode("slugs").alias("source"))
+    up = nodes.select("tree", (F.col("level") - 1).alias("level"), F.col("ord").alias("parent"), F.col("slugs").alias("above"))
+    pairs = nodes.where("level > 0").join(up, ["tree", "level", "parent"]).where(F.size("above") > 0)
+    child = pairs.select("above", F.explode("slugs").alias("source"))
     return child.where(~F.array_contains("above", F.col("source"))).select("source", F.element_at("above", 1).alias("target"), F.lit("part_of").alias("relation")).distinct()
 
 
 def totals(nodes: DataFrame) -> DataFrame:
-    """Per paper: nodes, leaves, depth, ideas, paragraphs cut off, the key finding of the last built node that has one."""
+    """Per tree: nodes, leaves, depth, ideas, paragraphs cut off, the key finding of the last built node that has one."""
     built = F.struct("level", "ord")
-    return nodes.groupBy("paper").agg(
+    ideas = F.coalesce(F.sum(F.size("ideas")), F.lit(0)) if "ideas" in nodes.columns else F.count("idea")
+    return nodes.groupBy(*KEY).agg(
         F.count("*").alias("n_nodes"), F.count_if(F.col("level") == 0).alias("n_leaves"), F.max("level").cast("long").alias("depth"),
-        F.count("idea").alias("n_ideas"), F.max("truncated").cast("long").alias("truncated"),
+        ideas.alias("n_ideas"), F.max("truncated").cast("long").alias("truncated"),
         F.max_by(F.nullif("key_finding", F.lit("")), F.when(F.coalesce(F.col("key_finding"), F.lit("")) != "", built)).alias("key_finding"),
     )
 
 
 def outline(nodes: DataFrame) -> DataFrame:
-    """Pre-order rank of the nodes of each tree: the path of ordinals from the root sorts them."""
-    top = nodes.groupBy("paper").agg(F.max("level").alias("_top"))
-    placed = nodes.join(top, "paper")
-    first = placed.where("level = _top").select("paper", "level", "ord", F.lpad(F.col("ord").cast("string"), 8, "0").alias("path"))
-    out, now = first, first
-    depth = nodes.agg(F.max("level")).first()[0] or 0
-    for k in range(depth):
-        above = now.select("paper", F.col("level").alias("_l"), F.col("ord").alias("parent"), "path")
-        now = nodes.select("paper", "level", "ord", "parent").join(above, ["paper", "parent"]).where("level = _l - 1").select("paper", "level", "ord", F.concat_ws("/", "path", F.lpad(F.col("ord").cast("string"), 8, "0")).alias("path"))
-        out = out.unionByName(now)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("paper").orderBy("path")))
+    """Nodes with their pre-order rank in their tree.
+
+    Groups are consecutive, so a node comes before all that begin at a later leaf, and before those below it.
+    """
+    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("first", F.desc("level"))))
 
 
 EXCERPT = 110
 
 
 def outline_text(nodes: DataFrame) -> DataFrame:
-    """(paper, text): the tree as an indented list, root first; of leaves the first `EXCERPT` characters.
+    """(paper, tree, text): the tree as an indented list, root first; of leaves the first `EXCERPT` characters.
 
+    nodes may have ideas, an array of (slug, statement): a line each below their node.
     A tree has some hundreds of nodes at most, so its list is gathered in one row.
     """
-    ranked = outline(nodes).join(nodes.select("paper", "level", "ord", "content"), ["paper", "level", "ord"])
-    depth = F.size(F.split("path", "/")) - 1
+    ideas = F.col("ideas") if "ideas" in nodes.columns else F.array().cast("array<struct<slug:string,statement:string>>")
+    pad = F.repeat(F.lit("  "), F.max("level").over(Window.partitionBy(*KEY)) - F.col("level"))
     own = F.when(F.col("level") == 0, F.concat(F.lit("“"), F.translate(F.substring("content", 1, EXCERPT), "\n", " "), F.lit("…”"))).otherwise(F.concat(F.lit("["), F.col("level").cast("string"), F.lit("."), F.col("ord").cast("string"), F.lit("] "), F.col("content")))
-    line = F.concat(F.repeat(F.lit("  "), depth), F.lit("- "), own)
-    lines = ranked.groupBy("paper").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("_t"))
-    return lines.select("paper", F.array_join(F.col("_t.line"), "\n").alias("text"))
+    below = F.transform(F.coalesce(ideas, F.array()), lambda i: F.concat(F.lit("  - 💡 ["), i["statement"], F.lit("]("), i["slug"], F.lit(")")))
+    lines = outline(nodes).select(*KEY, "rank", pad.alias("_p"), F.concat(F.array(F.concat(F.lit("- "), own)), below).alias("_l"))
+    lines = lines.withColumn("line", F.array_join(F.transform("_l", lambda x: F.concat("_p", x)), "\n"))
+    whole = lines.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_t"))
+    return whole.select(*KEY, F.array_join("_t.line", "\n").alias("text"))

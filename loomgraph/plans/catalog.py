@@ -21,6 +21,7 @@ from loomgraph.operators import ideas as I
 from loomgraph.operators import report as R
 from loomgraph.operators import store as S
 from loomgraph.operators import tree as Tr
+from loomgraph.operators.ranks import ranked
 from loomgraph.operators.similarity import knn_join
 from loomgraph.plans.tables import scratch
 from loomgraph.sources import files
@@ -464,10 +465,9 @@ def frontier_order(spark, sf_dir):
 
 @query("SELECT item_id, round(1.0 - (row_number() OVER (ORDER BY item_id) - 1) / (SELECT count(*) FROM benchmark) * 0.3, 6) AS relevance, 'seed result #' || row_number() OVER (ORDER BY item_id) AS reason FROM benchmark")
 def seed_relevance(spark, sf_dir):
-    b = _table(spark, sf_dir, "benchmark").select("item_id")  # a search's results: some tens of rows
-    rank = F.row_number().over(Window.orderBy("item_id"))
+    b = _table(spark, sf_dir, "benchmark").select("item_id")
     n = b.agg(F.count("*").alias("n"))
-    return b.withColumn("rank", rank).crossJoin(F.broadcast(n)).select("item_id", F.round(1.0 - (F.col("rank") - 1) / F.greatest("n", F.lit(1)) * 0.3, 6).alias("relevance"), F.concat(F.lit("seed result #"), F.col("rank").cast("string")).alias("reason"))
+    return ranked(b, ["item_id"]).crossJoin(F.broadcast(n)).select("item_id", F.round(1.0 - (F.col("rank") - 1) / F.greatest("n", F.lit(1)) * 0.3, 6).alias("relevance"), F.concat(F.lit("seed result #"), F.col("rank").cast("string")).alias("reason"))
 
 
 @query("SELECT event_type AS kind, user_id AS id, min(event_id) AS seq FROM events WHERE NOT (event_type = 'view' AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) GROUP BY 1, 2")
@@ -524,31 +524,51 @@ def leaf_split(spark, sf_dir):
     return leaf.select("paper", "ord", F.length("content").alias("size"), F.md5("content").alias("digest"), "truncated")
 
 
+_SPLIT = f"list_filter(list_transform(string_split(regexp_replace(body, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP.format('s')}), lambda s: s <> '')"
+_TREE = f"""WITH RECURSIVE {_LEAVES},
+tree AS (SELECT paper, 0 AS level, ord, content, CAST(NULL AS VARCHAR) AS key_finding, CAST(NULL AS VARCHAR) AS idea, []::INTEGER[] AS members, ord AS first, truncated FROM leaves
+ UNION ALL
+ SELECT paper, level + 1, g, substr(CASE WHEN array_to_string(s[1:2], ' ') = '' THEN body ELSE array_to_string(s[1:2], ' ') END, 1, 400), substr(coalesce(s[1], ''), 1, 200), list_filter(s, lambda x: length(x) >= 50)[1], members, first, 0
+ FROM (SELECT *, {_SPLIT} AS s FROM (SELECT *, {_BODY} AS body FROM (
+  SELECT paper, any_value(r.level) AS level, g, string_agg(r.content, chr(10) || chr(10) ORDER BY r.ord) AS text, list(r.ord ORDER BY r.ord) AS members, min(r.first) AS first
+  FROM (SELECT paper, unnest(rows) AS r, unnest(CASE WHEN len(rows) > 1 AND list_max(gs) + 1 = len(rows) THEN list_transform(range(len(rows)), lambda i: CAST(i // 2 AS INTEGER)) ELSE gs END) AS g
+   FROM (SELECT paper, rows, {_FOLD.format(sizes='list_transform(rows, lambda q: length(q.content))', limit=3500)} AS gs
+    FROM (SELECT paper, list({{'ord': ord, 'level': level, 'content': content, 'first': first}} ORDER BY ord) AS rows FROM tree GROUP BY paper HAVING count(*) > 1 OR max(level) = 0)))
+  GROUP BY paper, g)))),
+up AS (SELECT paper, level - 1 AS level, unnest(members) AS ord, ord AS parent, idea AS above FROM tree WHERE level > 0),
+nodes AS (SELECT t.*, parent, above FROM tree t LEFT JOIN up USING (paper, level, ord))"""
+_SLUG = "coalesce(nullif(array_to_string(list_slice(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> ''), 1, 6), '-'), ''), 'idea') || '-' || substr(sha1({0}), 1, 6)"
+
+
 def _tree(spark, sf_dir):
     return Tr.build(Tr.leaf_nodes(_table(spark, sf_dir, "documents"), "doc_id", "text", separator="\n"), write=scratch(spark))
 
 
-@query()
+@query(f"{_TREE} SELECT paper, CAST(level AS INTEGER) AS level, ord, parent, md5(content) AS digest, CAST(len(members) AS INTEGER) AS children FROM nodes")
 def tree_levels(spark, sf_dir):
     return _tree(spark, sf_dir).select("paper", "level", "ord", "parent", F.md5("content").alias("digest"), "children")
 
 
-@query()
+@query(f"{_TREE} SELECT paper, count(*) AS n_nodes, count(*) FILTER (WHERE level = 0) AS n_leaves, CAST(max(level) AS BIGINT) AS depth, count(idea) AS n_ideas, CAST(max(truncated) AS BIGINT) AS truncated, arg_max(key_finding, level * 1000 + ord) FILTER (WHERE key_finding <> '') AS key_finding FROM tree GROUP BY 1")
 def tree_totals(spark, sf_dir):
-    return Tr.totals(_tree(spark, sf_dir))
+    return Tr.totals(_tree(spark, sf_dir)).drop("tree")
 
 
-@query()
+@query(f"{_TREE} SELECT paper, CAST(level AS INTEGER) AS level, ord, CAST(row_number() OVER (PARTITION BY paper ORDER BY first, level DESC) AS INTEGER) AS rank FROM tree")
 def tree_outline(spark, sf_dir):
     return Tr.outline(_tree(spark, sf_dir)).select("paper", "level", "ord", "rank")
 
 
-@query()
+@query(f"""{_TREE}, padded AS (SELECT *, repeat('  ', CAST(max(level) OVER (PARTITION BY paper) - level AS INTEGER)) AS pad FROM tree),
+lines AS (SELECT paper, first, level, pad || '- ' || CASE WHEN level = 0 THEN '“' || replace(substr(content, 1, 110), chr(10), ' ') || '…”' ELSE '[' || level || '.' || ord || '] ' || content END || CASE WHEN idea IS NULL THEN '' ELSE chr(10) || pad || '  - 💡 [' || idea || '](' || {_SLUG.format('idea')} || ')' END AS line FROM padded),
+texts AS (SELECT paper, string_agg(line, chr(10) ORDER BY first, level DESC) AS text FROM lines GROUP BY 1)
+SELECT paper, md5(text) AS digest, CAST(length(text) AS INTEGER) AS size FROM texts""")
 def tree_outline_text(spark, sf_dir):
-    return Tr.outline_text(_tree(spark, sf_dir)).select("paper", F.md5("text").alias("digest"), F.length("text").alias("size"))
+    told = F.filter(F.array(F.struct(T.slugify(F.coalesce("idea", F.lit(""))).alias("slug"), F.col("idea").alias("statement"))), lambda i: i["statement"].isNotNull())
+    return Tr.outline_text(_tree(spark, sf_dir).withColumn("ideas", told)).select("paper", F.md5("text").alias("digest"), F.length("text").alias("size"))
 
 
-@query()
+@query(f"{_TREE} SELECT DISTINCT {_SLUG.format('idea')} AS source, {_SLUG.format('above')} AS target, 'part_of' AS relation FROM nodes WHERE idea IS NOT NULL AND above IS NOT NULL AND idea <> above")
 def structure_edges(spark, sf_dir):
     n = _tree(spark, sf_dir).withColumn("slugs", F.when(F.col("idea").isNull(), F.array().cast("array<string>")).otherwise(F.array(T.slugify(F.coalesce("idea", F.lit(""))))))
     return Tr.structure_edges(n)
@@ -603,7 +623,19 @@ def section_paragraphs(spark, sf_dir):
     return bodies(p.select("page_id", xml.alias("xml")), "page_id", "xml").select("page_id", "ord", "section", F.length("text").alias("size"))
 
 
-@query()
+_RUN = "{{'n': {n}, 'w': {w}, 'ever': {ever}, 'counted': {counted}, 'out': {out}, 'id': {id}, 'v': {v}}}"
+_BLANK = {"n": "0::BIGINT", "w": "[]::STRUCT(s DOUBLE, q BIGINT, id VARCHAR)[]", "ever": "[]::VARCHAR[]", "counted": "[]::VARCHAR[]", "out": "[]::STRUCT(step BIGINT, id VARCHAR, score DOUBLE)[]", "id": "''", "v": "0::DOUBLE"}
+_PUSH = _RUN.format(
+    n="a.n + 1", ever="CASE WHEN list_contains(a.ever, x.id) THEN a.ever ELSE list_append(a.ever, x.id) END", counted="a.counted", out="a.out", id="''", v="0::DOUBLE",
+    w="CASE WHEN list_contains(a.ever, x.id) THEN a.w ELSE list_append(a.w, {'s': -round(0.55 * x.v + CASE WHEN list_contains(a.counted, x.id) THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END, 4), 'q': len(a.ever), 'id': x.id}) END",
+)
+_POP = _RUN.format(n="b.n", w="list_sort(b.w)[2:]", ever="b.ever", counted="list_append(b.counted, list_sort(b.w)[1].id)", out="list_append(b.out, {'step': b.n, 'id': list_sort(b.w)[1].id, 'score': -list_sort(b.w)[1].s})", id="''", v="0::DOUBLE")
+
+
+@query(f"""WITH p AS (SELECT CAST(user_id AS VARCHAR) AS run, list({{'id': event_type, 'v': value}} ORDER BY event_id) AS xs FROM events GROUP BY 1),
+f AS (SELECT run, list_reduce(list_prepend({_RUN.format(**_BLANK)}, list_transform(xs, lambda x: {_RUN.format(**(_BLANK | {'id': 'x.id', 'v': 'x.v'}))})),
+ lambda a, x: list_transform([{_PUSH}], lambda b: CASE WHEN b.n % 3 = 0 AND len(b.w) > 0 THEN {_POP} ELSE b END)[1]).out AS o FROM p)
+SELECT run, i.step, 'idea' AS kind, i.id, i.score FROM (SELECT run, unnest(o) AS i FROM f)""")
 def frontier_replay(spark, sf_dir):
     from loomgraph.streaming.frontier import replay
 

@@ -130,8 +130,16 @@ def test_outlines_and_structure(spark, trees):
     got = {(r["paper"], r["level"], r["ord"]): r["rank"] for r in catalog.QUERIES["tree_outline"](spark, SF).collect()}
     assert got == order
     assert {(r["source"], r["target"], r["relation"]) for r in catalog.QUERIES["structure_edges"](spark, SF).collect()} == edges
-    sizes = {r["paper"]: r["size"] for r in catalog.QUERIES["tree_outline_text"](spark, SF).collect()}
-    assert set(sizes) == {d for d, (nodes, _) in trees.items() if nodes} and min(sizes.values()) > 10
+    texts = {}
+    for d, level, k in order:  # root first
+        nodes = trees[d][0]
+        content, idea = nodes[level, k][0], nodes[level, k][3]
+        pad = "  " * (max(nodes)[0] - level)
+        texts.setdefault(d, []).append(pad + ("- “" + content[:110].replace("\n", " ") + "…”" if level == 0 else f"- [{level}.{k}] {content}"))
+        if idea:
+            texts[d].append(f"{pad}  - 💡 [{idea}]({slug(idea)})")
+    got = {r["paper"]: r["digest"] for r in catalog.QUERIES["tree_outline_text"](spark, SF).collect()}
+    assert got == {d: md5("\n".join(lines)) for d, lines in texts.items()}
 
 
 def test_grown_tree_has_the_same_shape(trees, spark):
@@ -143,7 +151,7 @@ def test_grown_tree_has_the_same_shape(trees, spark):
 
 
 def test_frontier_replay(spark):
-    got = {(r["run"], r["step"]): r["id"] for r in catalog.QUERIES["frontier_replay"](spark, SF).collect()}
+    got = {(r["run"], r["step"]): (r["id"], r["score"]) for r in catalog.QUERIES["frontier_replay"](spark, SF).collect()}
     want = {}
     rows = sorted(spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "event_type", "value").collect())
     for run in {r["user_id"] for r in rows}:
@@ -159,5 +167,5 @@ def test_frontier_replay(spark):
                     best = min(waiting)
                     waiting.remove(best)
                     counted.add(best[2])
-                    want[str(run), n] = best[2]
+                    want[str(run), n] = best[2], -best[0]
     assert got == want
