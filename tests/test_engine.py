@@ -18,7 +18,6 @@ from loomgraph.operators import tree as Tr
 from loomgraph.operators.frontier import Frontier
 from loomgraph.operators.similarity import knn_join
 from loomgraph.sources import files, literature
-from loomgraph.streaming import frontier as stream
 
 
 def unit(degrees):
@@ -120,17 +119,6 @@ def test_frontier_scores_and_order():
     assert again.pop() is None
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    rows = [("r1" if i % 2 else "r2", i, "idea", f"k{i % 7}", (i * 37 % 11) / 11, [f"d{i % 3}"]) for i in range(60)]
-    df = spark.createDataFrame(rows, "run string, seq long, kind string, id string, relevance double, domains array<string>")
-    for k in range(3):
-        df.where(f"seq >= {20 * k} AND seq < {20 * k + 20}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    s = stream.stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "breadth", 2)
-    q = s.writeStream.format("memory").queryName("pops").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("pops").collect())) == sorted(map(tuple, stream.replay(df, "breadth", 2).collect()))
-
-
 def test_vault(spark, tmp_path):
     v = S.Vault(spark, str(tmp_path), "main")
     assert v.read("ideas").count() == 0
