@@ -33,18 +33,23 @@ def bucket(token: str) -> int:
     return int.from_bytes(hashlib.sha1(token.encode()).digest()[:4], "big") % DIMS
 
 
+def bow(texts, known: dict[str, int]) -> np.ndarray:
+    """A row for each text: its token counts in hashed buckets, of length 1 or 0. known: buckets of tokens seen."""
+    found = [_TOKEN.findall((text or "").lower()) for text in texts]
+    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    tokens = [t for f in found for t in f]
+    for t in set(tokens).difference(known):  # each token is hashed once
+        known[t] = bucket(t)
+    at = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    counts = np.bincount(rows * DIMS + at, minlength=len(found) * DIMS).reshape(-1, DIMS).astype(float)
+    size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return counts / np.where(size > 0, size, 1.0)
+
+
 def _bow(texts):
     known: dict[str, int] = {}
     for batch in texts:
-        found = [_TOKEN.findall((text or "").lower()) for text in batch]
-        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        tokens = [t for f in found for t in f]
-        for t in set(tokens).difference(known):  # each token is hashed once
-            known[t] = bucket(t)
-        at = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        counts = np.bincount(rows * DIMS + at, minlength=len(found) * DIMS).reshape(-1, DIMS).astype(float)
-        size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        yield pd.Series(list(counts / np.where(size > 0, size, 1.0)))
+        yield pd.Series(list(bow(batch, known)))
         if len(known) > 500_000:
             known.clear()
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.models import ModelError
+from loomgraph.models import ModelError, vectors_of
 
 
 class Replies:
@@ -49,3 +49,12 @@ class Replies:
         if failed := wanted.join(known.select("key"), "key", "left_anti").count():
             raise ModelError(f"{failed} calls failed; what was said is stored, so a new run asks these only")
         return keyed.join(known.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
+def embedded_by(rows: DataFrame, text: str, make, replies: Replies) -> DataFrame:
+    """rows with vec, the vector of column `text` by the model that make() gives in a task; null for null.
+
+    replies (kind array<double>) keeps vectors by model and text: only new texts are asked, and those of
+    two models never meet.
+    """
+    return replies.ask(rows, text, lambda t: vectors_of(make, t), "embed").withColumnRenamed("reply", "vec")

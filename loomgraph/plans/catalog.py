@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions import vectors as V
-from loomgraph.models import extract_json
+from loomgraph.models import OfflineModel, extract_json
 from loomgraph.operators import edges as E
 from loomgraph.operators import frontier as Q
 from loomgraph.operators import graph as G
@@ -22,8 +22,9 @@ from loomgraph.operators import report as R
 from loomgraph.operators import store as S
 from loomgraph.operators import tree as Tr
 from loomgraph.operators.ranks import ranked
+from loomgraph.operators.replies import Replies, embedded_by
 from loomgraph.operators.similarity import knn_join
-from loomgraph.plans.tables import scratch
+from loomgraph.plans.tables import folder, scratch
 from loomgraph.sources import files
 
 #: A search is asked by these rows of a table, against all its rows.
@@ -161,6 +162,13 @@ def bow_embedding(spark, sf_dir):
     return v.select("doc_id", F.posexplode("v").alias("bucket", "w")).where("w > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("weight"))
 
 
+@query(f"WITH u AS (SELECT doc_id AS id, text AS statement FROM documents), {_BOW.format(src='u')} SELECT id AS doc_id, bucket, round(c / n, 6) AS weight FROM bow JOIN nrm USING (id)")
+def model_vectors(spark, sf_dir):
+    kept = Replies(spark, f"{folder(spark)}/vectors", OfflineModel.vectors, "array<double>")
+    v = embedded_by(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", OfflineModel, kept)
+    return v.select("doc_id", F.posexplode("vec").alias("bucket", "w")).where("w > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("weight"))
+
+
 @query(r"""SELECT item_id, list_slice(CASE WHEN len(p) > 0 THEN p ELSE [text] END, 1, 5)[1] AS first_question, CAST(CASE WHEN len(p) > 5 THEN 5 WHEN len(p) = 0 THEN 1 ELSE len(p) END AS BIGINT) AS n
 FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(text, ',| and '), lambda x: trim(x, ' .')), lambda x: x <> '') AS p FROM benchmark)""")
 def topic_questions(spark, sf_dir):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import time
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 RECORD = "pmid string, title string, abstract string, journal string, year string, mesh array<string>"
 #: Seconds between calls, without and with a key.
@@ -97,8 +99,9 @@ def bodies(replies: DataFrame, key: str, column: str) -> DataFrame:
 class Client:
     """Search and fetch over HTTP, one call at a time, paced."""
 
-    def __init__(self, base: str, email: str = "", key: str = "", get=None):
-        self.base, self.key, self.last = base.rstrip("/"), key, 0.0
+    def __init__(self, base: str, email: str = "", key: str = "", get=None, sharers: int = 1):
+        """sharers: so many clients work at once and divide the service's rate among them."""
+        self.base, self.last, self.pace = base.rstrip("/"), 0.0, PACE[bool(key)] * sharers
         self.common = {k: v for k, v in (("email", email), ("api_key", key)) if v}
         if get is None:
             import requests
@@ -107,7 +110,7 @@ class Client:
         self.get = get
 
     def _call(self, name: str, timeout: float, **params):
-        wait = self.last + PACE[bool(self.key)] - time.monotonic()
+        wait = self.last + self.pace - time.monotonic()
         if wait > 0:
             time.sleep(wait)
         self.last = time.monotonic()
@@ -119,6 +122,15 @@ class Client:
         found = self._call("esearch", 60, db="pubmed", term=term, retmax=most, retmode="json", sort="relevance").json()
         return found.get("esearchresult", {}).get("idlist", [])
 
+    def search_days(self, term: str, first: str, last: str) -> list[str]:
+        """All ids that match and were entered from day first to day last, page by page."""
+        out: list[str] = []
+        while True:
+            page = self._call("esearch", 60, db="pubmed", term=term, retmax=PAGE, retstart=len(out), retmode="json", datetype="edat", mindate=first.replace("-", "/"), maxdate=last.replace("-", "/")).json().get("esearchresult", {})
+            out += (new := page.get("idlist", []))
+            if not new or len(out) >= int(page.get("count", 0)):
+                return out
+
     def fetch(self, ids: list[str]) -> list[tuple]:
         return parse_records(self._call("efetch", 120, db="pubmed", id=",".join(ids), retmode="xml").content) if ids else []
 
@@ -128,10 +140,18 @@ class Client:
         return (parse_body(self._call("efetch", 120, db="pmc", id=ids[0], retmode="xml").content) or None) if ids else None
 
 
+#: Ids of one fetch, and of one page of a search.
+BATCH, PAGE = 200, 1000
+DAY = datetime.timedelta(days=1)
+
+
 class LiteratureSource(DataSource):
-    """spark.read.format("literature") with options base, term, retmax, email, key: records of a search, most relevant first.
+    """spark.read.format("literature") and readStream, over the records that match a term.
 
-    One partition: the service allows a few calls a second in all.
+    Options: base, email, key; term, unless a filter on the column gives it; retmax (20); tasks (3): so many
+    partitions work at once and share the service's rate. Filters term = and pmid = or IN are pushed
+    (see register); ids without a term are fetched without a search, unranked.
+    Stream: day by day of entry, from option start to the day before today or option until.
     """
 
     @classmethod
@@ -139,23 +159,114 @@ class LiteratureSource(DataSource):
         return "literature"
 
     def schema(self) -> str:
-        return "rank int, " + RECORD
+        return "term string, rank int, " + RECORD
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Days(dict(self.options))
+
+
+class _Share(InputPartition):
+    """One task's part: (rank, id) to fetch, or days to search."""
+
+    def __init__(self, number: int, of: int, items: list):
+        self.number, self.of, self.items = number, of, items
+
+
+def _shares(items: list, tasks: int, least: int) -> list[_Share]:
+    n = max(1, min(tasks, -(-len(items) // least)))
+    return [_Share(i, n, items[i::n]) for i in range(n)]
+
 
-class _Reader(DataSourceReader):
+class _Calls:
     def __init__(self, options: dict):
         self.options = options
 
+    def client(self, share: _Share | None = None) -> Client:
+        o = self.options
+        client = Client(o["base"], o.get("email", ""), o.get("key", ""), sharers=share.of if share else 1)
+        if share:  # clients of one rate begin one after another
+            client.last = time.monotonic() - client.pace * (1 - share.number / share.of)
+        return client
+
+    def records(self, client: Client, ranked: list, term: str | None) -> Iterator[tuple]:
+        for at in range(0, len(ranked), BATCH):
+            places = {p: r for r, p in ranked[at : at + BATCH]}
+            for record in client.fetch(list(places)):
+                yield term, places.get(record[0]), *record
+
+
+class _Reader(_Calls, DataSourceReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.term, self.ids = options.get("term"), None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("term",) and self.term in (None, f.value):
+                self.term = f.value
+            elif isinstance(f, EqualTo | In) and f.attribute == ("pmid",):
+                ids = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.ids = ids if self.ids is None else self.ids & ids
+            else:
+                yield f
+
     def partitions(self):
-        return [InputPartition(0)]
+        if self.term is None and self.ids is None:
+            raise ValueError("a term or ids must be given")
+        found = list(enumerate(self.client().search(self.term, int(self.options.get("retmax", 20))))) if self.term is not None else [(None, i) for i in sorted(self.ids)]
+        return _shares([x for x in found if self.ids is None or x[1] in self.ids], int(self.options.get("tasks", 3)), BATCH)
 
     def read(self, partition):
-        o = self.options
-        client = Client(o["base"], o.get("email", ""), o.get("key", ""))
-        ids = client.search(o["term"], int(o.get("retmax", 20)))
-        rank = {p: i for i, p in enumerate(ids)}
-        for r in sorted(client.fetch(ids), key=lambda r: rank.get(r[0], len(ids))):
-            yield (rank.get(r[0], len(ids)), *r)
+        if partition.items:
+            yield from self.records(self.client(partition), partition.items, self.term)
+
+
+class _Days(_Calls, DataSourceStreamReader):
+    """Offsets are days: all up to and with that day were read. A day is read when it is over."""
+
+    def initialOffset(self) -> dict:
+        return {"day": str(datetime.date.fromisoformat(self.options["start"]) - DAY)}
+
+    def latestOffset(self) -> dict:
+        return {"day": self.options.get("until") or str(datetime.date.today() - DAY)}
+
+    def partitions(self, start: dict, end: dict):
+        first, last = (datetime.date.fromisoformat(x["day"]) for x in (start, end))
+        days = [str(first + DAY * (k + 1)) for k in range((last - first).days)]
+        return _shares(days, int(self.options.get("tasks", 3)), 1) if days else []
+
+    def read(self, partition):
+        client = self.client(partition)
+        for day in partition.items:
+            ids = client.search_days(self.options["term"], day, day)
+            yield from self.records(client, [(None, i) for i in ids], self.options["term"])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known to a session, which must push filters to sources in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(LiteratureSource)
+
+
+def fulltexts(records: DataFrame, options: dict, tasks: int = 3, get=None) -> DataFrame:
+    """(pmid, ord, section, text) of the articles that have one; tasks share the service's rate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = Client(options["base"], options.get("email", ""), options.get("key", ""), get, tasks)
+        for b in batches:
+            rows = [(p, i, s, t) for p in b["pmid"] for i, (s, t) in enumerate(client.fulltext(p) or [])]
+            yield pd.DataFrame(rows, columns=["pmid", "ord", "section", "text"])
+
+    return records.where("pmid IS NOT NULL").select("pmid").distinct().repartition(tasks, "pmid").mapInPandas(run, "pmid string, ord int, section string, text string")
+
+
+def with_fulltext(records: DataFrame, texts: DataFrame) -> DataFrame:
+    """records with paragraphs, an array of (ord, section, text); null for those without full text."""
+    whole = texts.groupBy("pmid").agg(F.sort_array(F.collect_list(F.struct("ord", "section", "text"))).alias("paragraphs"))
+    return records.join(whole, "pmid", "left")
