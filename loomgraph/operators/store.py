@@ -1,81 +1,67 @@
-"""The vault: tables of papers, ideas, links, edges, vectors and findings, one folder each.
+"""The vault: tables of papers, ideas, links, edges, vectors and findings, one keyed log each.
 
-An upsert joins the new rows to the old ones and writes a new version of the
-table beside the old; a small pointer file names the current version, so a
-reader never sees half a table and a lost job leaves the old one. Versions are
-ordered by the time they were written; the last `KEPT` stay for readers that
-still hold one. A table has one writer at a time.
+An upsert appends its rows to the buckets of their keys; see `keyed_log` for what readers and
+other writers see.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph import schemas
+from loomgraph.operators.keyed_log import BUCKETS, KeyedLog
 
 KEYS = {"papers": ["pmid"], "ideas": ["slug"], "links": ["pmid", "slug"], "edges": ["source", "target", "relation"], "vectors": ["kind", "id"], "findings": ["run", "seq"], "nodes": ["paper", "id"]}
 SCHEMAS = {"papers": schemas.PAPER, "ideas": schemas.IDEA, "links": schemas.LINK, "edges": schemas.EDGE, "vectors": schemas.VECTOR, "findings": schemas.FINDING, "nodes": schemas.NODE}
 
 
-KEPT = 2
-
-
 class Vault:
-    """A named, independent set of tables below root."""
+    """A named, independent set of tables below root. A vault of many terabytes should begin with more buckets."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str = "main"):
-        self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
+    def __init__(self, spark: SparkSession, root: str, name: str = "main", buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, f"{root.rstrip('/')}/{name}", buckets
 
-    def _versions(self, table: str) -> str:
-        return f"{self.path}/{table}/current"
+    def table(self, table: str) -> KeyedLog:
+        return KeyedLog(self.spark, f"{self.path}/{table}", KEYS[table], SCHEMAS[table], self.buckets)
 
     def read(self, table: str) -> DataFrame:
-        try:
-            at = self.spark.read.text(self._versions(table)).orderBy(F.desc(F.split("value", " ")[0].cast("long"))).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            at = None
-        if at is None:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}/{at[0].split(' ')[1]}")
+        return self.table(table).read()
 
     def write(self, table: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{table}/{version}")
-        self.spark.createDataFrame([(f"{time.time_ns()} {version}",)], "value string").coalesce(1).write.mode("append").text(self._versions(table))
-        lines = [r[0].split(" ") for r in self.spark.read.text(self._versions(table)).collect()]  # a line a version
-        sc = self.spark.sparkContext
-        for _, old in sorted(lines, key=lambda x: -int(x[0]))[KEPT:]:
-            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{old}")
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        """Rows become the whole table."""
+        self.table(table).replace(rows)
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         """New rows replace old ones of the same key; the others stay."""
-        old = self.read(table)
-        rows = rows.select(*old.columns)
-        self.write(table, old.join(rows.select(*KEYS[table]).distinct(), KEYS[table], "left_anti").select(*old.columns).unionByName(rows))
+        self.table(table).upsert(rows)
 
     def create_ideas(self, rows: DataFrame) -> None:
         """Add ideas whose slug is new; those that exist are left as they are."""
         old = self.read("ideas")
         n = F.row_number().over(Window.partitionBy("slug").orderBy("statement"))
         fresh = rows.join(old.select("slug"), "slug", "left_anti").withColumn("_n", n).where("_n = 1").select(*old.columns)
-        self.write("ideas", old.unionByName(fresh))
+        self.upsert("ideas", fresh)
+
+    def adopt(self, tables: dict[str, DataFrame]) -> None:
+        """Take in another vault's tables, such as those of `sources.vault_folder`; rows here of the same key are replaced."""
+        for table, rows in tables.items():
+            self.upsert(table, rows)
+
+    def compact(self) -> None:
+        """Merge the changes of every table, and delete what no reader of the last week can hold."""
+        for table in KEYS:
+            log = self.table(table)
+            if log.snapshots():
+                log.compact()
+                log.vacuum()
 
     def point(self, table: str, **key) -> DataFrame:
-        df = self.read(table)
-        for k, v in key.items():
-            df = df.where(F.col(k) == v)
-        return df
+        return self.table(table).point(**key)
 
     def vector(self, kind: str, ident: str) -> list[float] | None:
         """One vector by key, or None."""
-        row = self.read("vectors").where((F.col("kind") == kind) & (F.col("id") == ident)).first()
+        row = self.point("vectors", kind=kind, id=ident).first()
         return None if row is None else row["vec"]
 
     def keys(self, table: str) -> DataFrame:
