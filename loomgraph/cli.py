@@ -55,6 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from loomgraph.operators.store import Vault
+    from loomgraph.sources import vault_folder
 
     args = parser().parse_args(argv)
     if args.command == "pdf":
@@ -68,6 +69,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     root = os.path.abspath(settings["vaults"])
     vault = Vault(spark, root, args.vault)
+    if args.vault == "main" and not os.path.exists(vault.path) and os.path.isdir("vault"):  # the older layout's only vault
+        vault.adopt(vault_folder.tables(spark, "file://" + os.path.abspath("vault")))
     bad: list[str] = []
 
     def complain(name: str, error: str) -> None:
