@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph import schemas
-from loomgraph.operators.keyed_log import BUCKETS, KeyedLog
+from loomgraph.operators.keyed_log import KeyedLog
 
 KEYS = {"papers": ["pmid"], "ideas": ["slug"], "links": ["pmid", "slug"], "edges": ["source", "target", "relation"], "vectors": ["kind", "id"], "findings": ["run", "seq"], "nodes": ["paper", "id"]}
 SCHEMAS = {"papers": schemas.PAPER, "ideas": schemas.IDEA, "links": schemas.LINK, "edges": schemas.EDGE, "vectors": schemas.VECTOR, "findings": schemas.FINDING, "nodes": schemas.NODE}
@@ -19,7 +19,7 @@ SCHEMAS = {"papers": schemas.PAPER, "ideas": schemas.IDEA, "links": schemas.LINK
 class Vault:
     """A named, independent set of tables below root. A vault of many terabytes should begin with more buckets."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str = "main", buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, name: str = "main", buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, f"{root.rstrip('/')}/{name}", buckets
 
     def table(self, table: str) -> KeyedLog:
