@@ -443,18 +443,14 @@ CASE WHEN toxic = 1 THEN 'toxic' WHEN quality IS NOT NULL THEN 'quality ' || qua
 FROM d LEFT JOIN q USING (doc_id)""")
 def vault_upserts(spark, sf_dir):
     """Every document is a paper; three upserts: all, those that are labelled, those that are labelled toxic. Then the latest rows."""
-    vault = S.Vault(spark, folder(spark), "v")
-    d = _table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("source").alias("source"))
-    q = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-
-    def papers(rows, summary):
-        none = F.lit(None).cast("string")
-        return rows.select(F.col("doc_id").cast("string").alias("pmid"), none.alias("title"), F.col("text").alias("abstract"), none.alias("journal"), none.alias("year"), F.array().cast("array<string>").alias("mesh"), "source", summary.cast("string").alias("summary"))
-
-    labelled = d.join(q, "doc_id")
-    vault.upsert("papers", papers(d, F.lit(None)))
-    vault.upsert("papers", papers(labelled, F.concat(F.lit("quality "), "quality")))
-    vault.upsert("papers", papers(labelled.where("toxic = 1"), F.lit("toxic")))
+    vault, none = S.Vault(spark, folder(spark), "v"), F.lit(None).cast("string")
+    d = _table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("text").alias("abstract"), F.max("source").alias("source"))
+    paper = [F.col("doc_id").cast("string").alias("pmid"), none.alias("title"), "abstract", none.alias("journal"), none.alias("year"), F.array().cast("array<string>").alias("mesh"), "source", none.alias("summary")]
+    vault.upsert("papers", d.select(*paper))
+    q = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").cast("string").alias("pmid")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    labelled = scratch(spark)(vault.read("papers").join(q, "pmid"), "labelled")  # two upserts read it
+    vault.upsert("papers", labelled.withColumn("summary", F.concat(F.lit("quality "), "quality")))
+    vault.upsert("papers", labelled.where("toxic = 1").withColumn("summary", F.lit("toxic")))
     return vault.read("papers").select("pmid", F.md5("abstract").alias("abstract"), "source", "summary")
 
 
