@@ -4,6 +4,7 @@ import datetime
 import io
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -100,16 +101,33 @@ def test_tree_levels(spark):
     assert total[1]["n_leaves"] == sum(r["level"] == 0 for r in by[1]) and total[1]["key_finding"]
 
 
-def test_frontier_scores_and_order():
-    for mode, first in (("depth", "old"), ("breadth", "new")):
-        q = Frontier(mode)
-        for i in range(5):
-            q.push("paper", str(i), 0.1, ["oncology"], "")
-            q.pop()
-        q.push("idea", "old", 0.9, ["Oncology"], "")
-        q.push("idea", "new", 0.5, ["botany"], "")
-        q.push("idea", "old", 1.0, [], "")
-        assert len(q) == 2 and q.pop()["id"] == first
+@pytest.mark.parametrize("mode", ["depth", "breadth"])
+def test_frontier_equals_a_list(mode):
+    """Random pushes and pops against a list that is searched for the best score, the queue written and read in between."""
+    alpha, beta = {"depth": (1.0, 0.15), "breadth": (0.55, 1.0)}[mode]
+    rng, q, waiting, ever, met = random.Random(mode), Frontier(mode), [], set(), set()
+    for turn in range(400):
+        if rng.random() < 0.6:
+            kind, ident, near = rng.choice(["query", "paper", "idea"]), str(rng.randrange(90)), rng.choice([0, 0.25, 0.5, 0.75, 1])
+            fields = rng.sample(["Soil", "soil", "Metal", "Light", "Tide"], rng.randrange(4))
+            q.push(kind, ident, near, fields, "why")
+            if (kind, ident) not in ever:
+                new = sum(f.lower() not in met for f in fields) / len(fields) if fields else 0.5
+                waiting.append((-round(alpha * near + beta * new, 4), len(ever), kind, ident, fields))
+                ever.add((kind, ident))
+        else:
+            best = min(waiting, default=None)
+            got = q.pop()
+            assert (got and (got["kind"], got["id"])) == (best and best[2:4])
+            if best:
+                waiting.remove(best)
+                met |= {f.lower() for f in best[4]}
+        if turn % 50 == 49:
+            q = Frontier(mode, json.loads(json.dumps(q.state())))
+        assert len(q) == len(waiting)
+
+
+def test_frontier_ties_and_visited():
     q = Frontier("depth")
     for i in "abc":
         q.push("idea", i, 0.5, [], "")
