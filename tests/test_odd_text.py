@@ -25,3 +25,8 @@ def both(spark, tmp_path, name, texts=ODD):
 def test_idea_query_string_words_end_as_in_ascii(spark, tmp_path):
     got, told = both(spark, tmp_path, "idea_query_string")
     assert got == told and len(got) == 3
+
+
+def test_mock_idea_entities_end_as_in_ascii(spark, tmp_path):
+    got, told = both(spark, tmp_path, "mock_idea")
+    assert got == told and len(got) == 3
