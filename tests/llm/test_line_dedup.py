@@ -229,3 +229,9 @@ def test_blocks_hold_their_rows(monkeypatch):
 def test_words_that_share_their_told_bits_keep_both_places():
     rows = np.array([(1, 7, 0, 0, (20 << 24) | 4, 0), (1, 7, 0, 0, 20 << 24, 0), (1, 8, 0, 0, (20 << 24) | 4, 1), (1, 8, 0, 0, 20 << 24, 1)], np.int64).T
     assert Meeting((4, 5)).pairs(rows)[0].tolist() == [[7, 8]]
+
+
+def test_sketch_counts_every_word_of_all_pieces(spark):
+    texts = [f"{'alpha beta ' * 4000}gamma{i}\n{'delta ' * 3000}" for i in range(12)]  # pieces of 64 kB and more
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert int(word_sketch(docs).sum()) == sum(len(t.split()) for t in texts)
