@@ -30,3 +30,20 @@ def test_idea_query_string_words_end_as_in_ascii(spark, tmp_path):
 def test_mock_idea_entities_end_as_in_ascii(spark, tmp_path):
     got, told = both(spark, tmp_path, "mock_idea")
     assert got == told and len(got) == 3
+
+
+LONG = ["a - b\tc  é f\ng h", "", "  ", "É é", "--- a1", "one two three four five six seven", " 1 2 3 4 5é 6ñx y", "İstanbul K ΑΣ x", "é" * 40_000 + " a b", "- " * 40_000 + "z", "w" * 40_000 + " v", "x " * 40_000]
+
+
+def test_slugs_of_odd_texts(spark, tmp_path):
+    got, told = both(spark, tmp_path, "slugify", LONG)
+    assert got == told and len(got) == len(LONG)
+
+
+def test_slugs_read_no_more_than_six_words(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.functions.text import slugify
+
+    plan = spark.range(1).select(F.repeat(F.lit("some words "), 9).alias("s")).select(slugify(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(regexp_replace(lower(" not in plan
