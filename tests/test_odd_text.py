@@ -62,3 +62,24 @@ def test_slugs_read_no_more_than_six_words(spark):
 
     plan = spark.range(1).select(F.repeat(F.lit("some words "), 9).alias("s")).select(slugify(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(regexp_replace(lower(" not in plan
+
+
+def test_ideas_of_long_texts_whose_heads_end_anywhere(spark, tmp_path):
+    long, short = "words, more words and then some more words to be long enough", "short ones. "
+    ends = [long + ". Next words", long + "\nContent (a. b\nc): d", long + "!\nTitle: x. y", long + "\n Title: x. y " + long + ". z", long + "\x01" + long, long + ".  \n ", long + "?", "Title: " + long + ". ", "no gap." + long, "Abstract: \n \n" + long + ". "]
+    pads = [short * n + "w" * m + " " for n in (0, 1, 70, 75, 76, 77, 80, 82, 83, 84, 170) for m in (1, 7, 48)]
+    texts = [p + e + tail for p in pads for e in ends for tail in ("", " and the end", ". " + long)]
+    texts += ["Content (" + "x. " * 500 + "): " + long, "Content (" + "x. " * 500 + long + ". more"]
+    got, told = both(spark, tmp_path, "mock_idea", texts)
+    assert got == told and len(got) > 800
+
+
+def test_ideas_split_no_more_than_heads(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.ideas import mock_idea_sentence
+
+    texts = spark.range(2).select(F.concat(F.lit("words " * 20 + ". next. "), F.repeat(F.lit("a. "), 3000)).alias("t"))
+    found = texts.select(mock_idea_sentence(F.col("t")).alias("s")).where(F.length("s") < 200)
+    assert found.count() == 2
+    assert "substring(t" in texts.localCheckpoint().select(mock_idea_sentence(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
