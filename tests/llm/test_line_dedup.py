@@ -235,3 +235,26 @@ def test_sketch_counts_every_word_of_all_pieces(spark):
     texts = [f"{'alpha beta ' * 4000}gamma{i}\n{'delta ' * 3000}" for i in range(12)]  # pieces of 64 kB and more
     docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     assert int(word_sketch(docs).sum()) == sum(len(t.split()) for t in texts)
+
+
+def test_lines_that_were_read_are_not_read_again(spark, monkeypatch):
+    docs = with_uid(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    plain = sorted(map(tuple, line_classes(docs)[1].collect()))
+    seen, texts, words = [], line_dedup._texts, line_dedup._prefix_words
+    monkeypatch.setattr(line_dedup, "_texts", lambda *a: seen.append("texts") or texts(*a))
+    monkeypatch.setattr(line_dedup, "_prefix_words", lambda *a: seen.append("words") or words(*a))
+    assert sorted(map(tuple, line_classes(docs, all_up_to=1, best=1)[1].collect())) == plain
+    assert seen == ["texts", "words", "texts"]  # open classes were among the ends of pairs
+
+
+def test_one_sort_orders_words_and_entries():
+    r = np.random.default_rng(7)
+    for top in (2, 1 << 30, (1 << 63) - 1):
+        k, x, w = np.sort(r.integers(0, 40, 900)), r.integers(-top, top, 900), r.integers(0, 3, 900)
+        x[300:600] = x[:300]
+        assert [c[line_dedup.by_word(k, x, w)].tolist() for c in (k, x, w)] == [c[np.lexsort((w, x, k))].tolist() for c in (k, x, w)]
+    h = r.integers(0, 1 << 63, 500).astype(np.uint64)
+    h = np.concatenate([h, h[:200], (h[:50] ^ np.uint64(1))])  # repeated, and alike in their upper bits
+    line, count = np.sort(r.integers(0, 9, len(h))), (h >> np.uint64(61)).astype(np.int64)
+    got = line_dedup.word_sets(h, line, count)
+    assert list(zip(*(c.tolist() for c in got[::-1]), strict=True)) == [(i, x) for i, _, x in sorted(set(zip(line.tolist(), count.tolist(), h.tolist(), strict=True)))]
