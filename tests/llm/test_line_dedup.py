@@ -258,3 +258,26 @@ def test_one_sort_orders_words_and_entries():
     line, count = np.sort(r.integers(0, 9, len(h))), (h >> np.uint64(61)).astype(np.int64)
     got = line_dedup.word_sets(h, line, count)
     assert list(zip(*(c.tolist() for c in got[::-1]), strict=True)) == [(i, x) for i, _, x in sorted(set(zip(line.tolist(), count.tolist(), h.tolist(), strict=True)))]
+
+
+def test_lines_are_counted_where_their_text_is(spark):
+    texts = [None, "", "\n", "a b\n \t\n\n\x0bc\n", " \u00a0 ", "x\r\ny", *(t for _, t in corpus())]
+    docs = with_uid(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_lines"], r["worded"]) for r in line_dedup.worded_lines(docs).collect()}
+    lines = [[] if t is None else t.split("\n") for t in texts]
+    assert got == {k: (len(x), [i for i, y in enumerate(x) if y.encode().split()]) for k, x in enumerate(lines)}
+    assert 1 not in {r["kind"] for r in line_dedup.met(_entries(docs.withColumn("_by", F.col("doc_id")), word_sketch(docs), THRESHOLD), Meeting(THRESHOLD, lines=False)).select("kind").distinct().collect()}
+
+
+def test_lines_that_no_wanted_word_indexes_are_passed_over():
+    texts = ["\n".join(f"r{k} s{k} " + " ".join(f"c{i}" for i in range(9)) for k in range(40))]
+    batch = pa.RecordBatch.from_pydict({"_uid": [0], "_by": [0], "text": texts})
+    sketch, only = np.zeros(1 << line_dedup.SKETCH_BITS, np.int64), np.zeros(1 << line_dedup.WANTED_BITS, bool)
+    h, *_, line = line_dedup.word_hashes(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])]))
+    np.add.at(sketch, (h & np.uint64(len(sketch) - 1)).astype(np.int64), 1)
+    only[(h[[0, 5]] & np.uint64(len(only) - 1)).astype(np.int64)] = True  # one line's rare word, and a word of all lines
+    entries = lambda only: [(int(x), int(k), int(p)) for (lo, *_), (x, o, k, p) in line_dedup._prefixes(iter([batch]), sketch, THRESHOLD, only) for x, k, p in zip(x, lo[o], p, strict=True)]
+    every, some = entries(None), entries(only)
+    assert len({k for _, k, _ in some}) == 1 and len({k for _, k, _ in every}) == 40
+    wanted = lambda found: {e for e in found if only[e[0] & (len(only) - 1)]}
+    assert wanted(some) == wanted(every) and len(wanted(some)) == 1
