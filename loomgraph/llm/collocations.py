@@ -1,7 +1,7 @@
 """Phrase collocation mining by hash-bucket counting: one pass over the texts for each length.
 
 While a pass counts phrases of n words, it counts the next length's phrases
-in BUCKETS buckets by hash (counts stop at the support, so a bucket is one
+in BUCKETS buckets by hash (counts stop at the support, so a bucket is half a
 byte). The next pass counts exactly only phrases whose bucket reached the
 support and whose two parts of n - 1 words did: both are bitmaps of a fixed
 size, which are broadcast. A bitmap only ever lets too much through (where
@@ -40,11 +40,13 @@ TOP = 2000
 #: Percent of a phrase's count from which a longer phrase takes its place.
 SHARE = 50
 #: Buckets, and bits of a bitmap: a power of two from about an eighth of the texts' bytes, within these
-#: bounds. A bucket is a byte in a task (128 MB at most) and a bit when broadcast (16 MB at most).
+#: bounds. A bucket is half a byte in a task (64 MB at most) and a bit when broadcast (16 MB at most).
 BUCKETS = (1 << 20, 1 << 27)
 SLICE = 1 << 20
-#: Bytes of text of one chunk.
-CHUNK = 1 << 21
+#: Bytes of text of one chunk: a task takes some 60 times that while it looks at one.
+CHUNK = 1 << 19
+#: Phrases whose texts are made, or handed on, at once.
+AT_ONCE = 1 << 16
 #: Phrases that a task holds before it hands them on.
 HELD = 1 << 20
 #: Phrases, and their bytes, up to which a side of a join is broadcast.
@@ -69,7 +71,8 @@ class Words:
         self.g = word_hashes(self.data, offsets, _OTHER)[0]
         self.kind = number[row]
         self.lang = table[self.kind] if len(row) else np.zeros(0, np.uint64)
-        ends = np.cumsum(np.concatenate([[0], _ENDS[self.data]]), dtype=np.int32)
+        ends = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum(_ENDS[self.data], out=ends[1:])
         if len(row):
             self.next = (row[1:] == row[:-1]) & (ends[self.start[1:]] == ends[self.end[:-1]])
         else:
@@ -93,7 +96,8 @@ class Words:
 
     def texts(self, first: np.ndarray, n: int) -> pa.Array:
         """The phrases' words with one space between them."""
-        first = first.reshape(-1)
+        if len(first) > AT_ONCE:  # places of all their bytes are eight times the texts
+            return pa.concat_arrays([self.texts(first[k : k + AT_ONCE], n) for k in range(0, len(first), AT_ONCE)])
         word = (first[:, None] + np.arange(n)).reshape(-1)
         size = self.end[word] - self.start[word] + 1  # with a space after it
         to = np.concatenate([[0], np.cumsum(size)])
@@ -135,18 +139,26 @@ def _langs(col: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 class Gathered:
-    """The different phrases of a task so far, HELD at most, with their counts and texts."""
+    """The different phrases of a task so far, HELD at most, with their counts and texts.
+
+    Both hashes, lang, count and text are lists of pieces. They are merged a column
+    at a time and stay in the order they came in, so that no two copies of all are held.
+    """
 
     def __init__(self, n: int, held: int):
-        self.n, self.held, self.size = n, held, 0
+        self.n, self.held, self.size, self.merged = n, held, 0, 0
         self.langs: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        self.columns: tuple[list, ...] = ([], [], [], [], [])
 
     def add(self, words: Words, first: np.ndarray, key: np.ndarray, langs: list[str]) -> Iterator[pa.RecordBatch]:
         order, head, times = self._same(key, words.key(words.g, first, self.n), np.ones(len(first), np.int64))
         pick = first[order[head]]
+        if not len(pick):
+            return
         lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)
-        self.parts.append((key[order[head]], words.key(words.g, pick, self.n), lang[words.kind[pick]], times, words.texts(pick, self.n)))
+        piece = key[order[head]], words.key(words.g, pick, self.n), lang[words.kind[pick]], times, words.texts(pick, self.n)
+        for column, values in zip(self.columns, piece, strict=True):
+            column.append(values)
         self.size += len(pick)
         if self.size > self.held:
             self._merge()
@@ -164,19 +176,41 @@ class Gathered:
         return order, head, np.add.reduceat(f[order], head) if len(head) else f[:0]
 
     def _merge(self) -> None:
-        key, other, lang, f = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
-        order, head, times = self._same(key, other, f)
-        pick = order[head]
-        texts = pa.chunked_array([p[4] for p in self.parts]).take(pa.array(pick)).combine_chunks()
-        self.parts, self.size = [(key[pick], other[pick], lang[pick], times, texts)], len(pick)
+        key, other, lang, f, texts = self.columns
+        if len(key) == 1 or self.merged == self.size:
+            return
+        for column in (key, other, f):
+            column[:] = [np.concatenate(column)]
+        share, found = (key[0] >> np.uint64(60)).astype(np.uint8), []
+        for k in range(16):  # sorts of a sixteenth of the phrases each
+            some = np.flatnonzero(share == k)
+            order, head, times = self._same(key[0][some], other[0][some], f[0][some])
+            found.append((some[order[head]], times))
+        pick, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        back = np.argsort(pick)
+        pick, f[:] = pick[back], [times[back]]
+        del share, found, order, times, back
+        for column in (key, other):
+            column[:] = [column[0][pick]]
+        lang[:] = [np.concatenate(lang)[pick]]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        cut = np.searchsorted(pick, at)
+        for k in range(len(texts)):
+            texts[k] = texts[k].take(pa.array(pick[cut[k] : cut[k + 1]] - at[k]))
+        texts[:] = [t for t in texts if len(t)]
+        pa.default_memory_pool().release_unused()
+        self.size = self.merged = len(pick)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             self._merge()
-            _, _, lang, f, texts = self.parts[0]
-            out = _batch(pa.array(list(self.langs)).take(pa.array(lang)), texts.cast(pa.binary()), pa.array(f))
-            yield from (out.slice(k, 1 << 16) for k in range(0, len(f), 1 << 16))
-        self.parts, self.size = [], 0
+            _, _, (lang,), (f,), texts = self.columns
+            self.columns, names = ([], [], [], [], []), pa.array(list(self.langs))
+            texts = pa.chunked_array(texts)
+            for k in range(0, len(f), AT_ONCE):
+                phrases = texts.slice(k, AT_ONCE).combine_chunks().cast(pa.binary())
+                yield _batch(names.take(pa.array(lang[k : k + AT_ONCE])), phrases, pa.array(f[k : k + AT_ONCE]))
+        self.size = self.merged = 0
 
 
 def _batch(lang: pa.Array, phrase: pa.Array, f: pa.Array, slices: list[int] | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
@@ -184,11 +218,30 @@ def _batch(lang: pa.Array, phrase: pa.Array, f: pa.Array, slices: list[int] | No
     return pa.RecordBatch.from_arrays([lang, phrase, f, *rest], names=["lang", "phrase", "f", "slice", "data"])
 
 
-def _tallied(tally: np.ndarray, slice_: int) -> tuple[list[int], list[bytes]]:
-    """The slices of a task's buckets that hold anything, compressed: most buckets are empty."""
-    cut = tally.reshape(-1, slice_)
-    some = [k for k in range(len(cut)) if cut[k].any()]
-    return some, [pa.compress(cut[k], "zstd", asbytes=True) for k in some]
+class Tally:
+    """Counts of buckets that stop at the support: half a byte each, or a byte for a support beyond 15."""
+
+    def __init__(self, size: int, support: int):
+        self.size, self.support, self.half = size, support, support < 16 and size > 1
+        self.data = np.zeros(size // 2 if self.half else size, np.uint8)
+
+    def add(self, bucket: np.ndarray, times: np.ndarray) -> None:
+        """Different buckets, and how often each was met."""
+        if not self.half:
+            self.data[bucket] = np.minimum(self.data[bucket] + times, self.support)
+            return
+        for odd in (0, 1):
+            some = np.flatnonzero((bucket & 1) == odd)
+            at, shift = bucket[some] >> 1, 4 * odd
+            now = self.data[at]
+            n = np.minimum((now >> shift & 15) + times[some], self.support).astype(np.uint8)
+            self.data[at] = now & (15 << 4 - shift) | n << shift
+
+    def slices(self, slice_: int) -> Iterator[tuple[int, bytes]]:
+        """The slices that hold anything, a byte a bucket, compressed: most buckets are empty."""
+        for k, cut in enumerate(self.data.reshape(self.size // slice_, -1)):
+            if cut.any():
+                yield k, pa.compress(np.stack([cut & 15, cut >> 4], 1).reshape(-1) if self.half else cut, "zstd", asbytes=True)
 
 
 def _folded(slices: DataFrame, support: int, size: int, slice_: int) -> np.ndarray:
@@ -216,7 +269,7 @@ def counted(docs: DataFrame, n: int, parts: np.ndarray | None, buckets: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, buckets = sent.value
-        tally = np.zeros(size if n < longest else 0, np.uint8)
+        tally = Tally(size, support) if n < longest else None
         gathered = Gathered(n, held)
         for b in batches:
             data, offsets = text_bytes(b.column(1))
@@ -225,18 +278,17 @@ def counted(docs: DataFrame, n: int, parts: np.ndarray | None, buckets: np.ndarr
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], number[i:j], table)
                 first, key = _hopeful(words, n, parts, buckets)
                 yield from gathered.add(words, first, key, langs.to_pylist())
-                if len(tally):
+                if tally:
                     good = np.zeros(len(words.h) + 1, bool)
                     good[first] = True
                     ahead = words.phrases(n + 1)
                     ahead = ahead[good[ahead] & good[ahead + 1]]
                     at, times = np.unique((words.key(words.h, ahead, n + 1) & np.uint64(size - 1)).view(np.int64), return_counts=True)
-                    tally[at] = np.minimum(tally[at] + times, support)
+                    tally.add(at, times)
         yield from gathered.rows()
-        if len(tally):
-            slices, data = _tallied(tally, slice_)
-            for k in range(len(slices)):
-                yield _batch(pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), slices[k : k + 1], data[k : k + 1])
+        if tally:
+            for k, data in tally.slices(slice_):
+                yield _batch(pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), [k], [data])
 
     return materialize(docs.select("lang", "text").mapInArrow(trimming(run), "lang string, phrase binary, f long, slice int, data binary"), f"counts{n}")
 
@@ -246,15 +298,15 @@ def bitmap(frequent: DataFrame, n: int, size: int) -> np.ndarray:
     slice_, chunk = min(SLICE, size), CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros(size, np.uint8)
+        tally = Tally(size, 1)
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             number, _, table = _langs(b.column(0))
             for i, j in chunks(offsets, chunk):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], number[i:j], table)
-                tally[(words.key(words.h, words.phrases(n), n) & np.uint64(size - 1)).astype(np.int64)] = 1
-        slices, data = _tallied(tally, slice_)
-        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(data, pa.binary())], names=["slice", "data"])
+                tally.add(*np.unique((words.key(words.h, words.phrases(n), n) & np.uint64(size - 1)).view(np.int64), return_counts=True))
+        for k, data in tally.slices(slice_):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["slice", "data"])
 
     return _folded(frequent.select("lang", "phrase").mapInArrow(trimming(run), "slice int, data binary"), 1, size, slice_)
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -72,6 +73,47 @@ def test_phrases_that_share_a_hash_are_rows_of_their_own():
     assert total == {b"a b": 4, b"b a": 2, b"a c": 2, b"c a": 2}
 
 
+def test_half_bytes_count_as_bytes_do():
+    rng = np.random.default_rng(5)
+    for support in (1, 10, 15, 16, 127):
+        tally, want = C.Tally(64, support), np.zeros(64, np.int64)
+        assert len(tally.data) == (32 if support < 16 else 64)
+        for _ in range(9):
+            bucket = rng.permutation(50)[:30]
+            times = rng.integers(1, 4, 30)
+            tally.add(bucket, times)
+            want[bucket] = np.minimum(want[bucket] + times, support)
+        tally.add(np.array([3]), np.array([1_000]))
+        want[3] = support
+        got = np.zeros(64, np.uint8)
+        for k, data in tally.slices(8):
+            got[8 * k : 8 * k + 8] = np.frombuffer(C.pa.decompress(data, 8, "zstd", asbytes=True), np.uint8)
+        assert got.tolist() == want.tolist()
+
+
+def test_a_task_holds_little(monkeypatch):
+    """What a task of a pass takes at once, over its tally and the phrases that it holds."""
+    held = 1 << 16
+    text = " ".join(f"w{k % 90_000:05d}" for k in range(400_000)).encode()
+    seen = Counter()
+    tracemalloc.start()
+    tally, gathered = C.Tally(1 << 22, 10), C.Gathered(2, held)
+    for at in range(0, len(text), C.CHUNK):
+        part = np.frombuffer(text[at : at + C.CHUNK], np.uint8)
+        words = C.Words(part, np.array([0, len(part)]), np.zeros(1, np.int64), np.zeros(1, np.uint64))
+        first = words.phrases(2)
+        key = words.key(words.h, first, 2)
+        tally.add(*np.unique((key & np.uint64((1 << 22) - 1)).view(np.int64), return_counts=True))
+        for b in gathered.add(words, first, key, ["en"]):
+            assert b.num_rows <= C.AT_ONCE
+            seen["f"] += sum(b.column(2).to_pylist())
+        seen["n"] += len(first)
+    seen["f"] += sum(sum(b.column(2).to_pylist()) for b in gathered.rows())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen["f"] == seen["n"] and peak < 64 << 20
+
+
 def test_score_is_exact_beyond_64_bits(spark):
     a, x, y = 3_000_000_019, 3_000_000_021, 3_000_000_037
     assert spark.range(1).selectExpr(f"(1000000 * cast({a} as decimal(38,0)) * cast({a} as decimal(38,0))) div (cast({x} as decimal(38,0)) * cast({y} as decimal(38,0)))").first()[0] == 10**6 * a * a // (x * y)
