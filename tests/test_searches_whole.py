@@ -7,7 +7,7 @@ from loomgraph.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["cosine_topk"])
+@pytest.mark.parametrize("name", ["cosine_topk", "int8_topk"])
 def test_every_vector_asks(spark, name):
     asked = {r["vec_id"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     got = catalog.QUERIES[name](spark, SF).collect()
